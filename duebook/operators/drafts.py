@@ -107,7 +107,9 @@ def with_subject(staged: DataFrame) -> DataFrame:
     )
 
 
-def draft_inputs(staged: DataFrame, feedback: Column | None = None) -> DataFrame:
+def draft_inputs(
+    staged: DataFrame, feedback: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The 14 fields a draft is written from, with the key (job_id, invoice_no)."""
     feedback = F.lit(None).cast("string") if feedback is None else feedback
     return with_subject(staged).select(
@@ -127,6 +129,7 @@ def draft_inputs(staged: DataFrame, feedback: Column | None = None) -> DataFrame
         F.lit(fv.FINANCE_CONTACT).alias("finance_contact"),
         F.coalesce(feedback, F.lit(fv.NO_FEEDBACK)).alias("validation_feedback"),
         F.col("expected_subject").alias("subject"),
+        *keep,
     )
 
 
@@ -152,9 +155,9 @@ def render_prompts(
     return inputs.select("job_id", "invoice_no", F.inline(F.array(*texts)))
 
 
-def template_drafts(staged: DataFrame) -> DataFrame:
+def template_drafts(staged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Revision 0 of a draft for every invoice in an e-mail stage, from fixed wording."""
-    inputs = draft_inputs(staged.filter(F.col("stage_key").isin(*DRAFT_TEXTS)))
+    inputs = draft_inputs(staged.filter(F.col("stage_key").isin(*DRAFT_TEXTS)), keep=keep)
     values = {name: F.col(name) for name in INPUT_FIELDS}
 
     def by_stage(part: int) -> Column:
@@ -173,4 +176,5 @@ def template_drafts(staged: DataFrame) -> DataFrame:
         by_stage(1).alias("body"),
         F.lit(DRAFT_CLOSING).alias("closing"),
         "tone",
-    ).select("job_id", "invoice_no", "revision", *DRAFT_FIELDS)
+        *keep,
+    ).select("job_id", "invoice_no", "revision", *DRAFT_FIELDS, *keep)

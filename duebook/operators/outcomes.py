@@ -139,7 +139,7 @@ def decide_outcomes(
     drafts: DataFrame,
     send_results: DataFrame | None = None,
     attempts: DataFrame | None = None,
-    revisions: int = fv.MAX_QUEUE_RETRIES,
+    revisions: int = fv.MAX_REVISIONS,
     strict: bool = False,
 ) -> DataFrame:
     """Route, validate and settle every staged invoice.
@@ -147,7 +147,8 @@ def decide_outcomes(
     Only invoices in an e-mail stage are joined, so the many that are not overdue or long overdue
     never enter a shuffle. Drafts, attempts and send results are reduced to one row per invoice
     before they meet the invoices, all on the same key. Without ``send_results`` every approved
-    draft counts as sent (dry run); without ``attempts`` none failed.
+    draft counts as sent (dry run); without ``attempts`` none failed. ``revisions`` must be at
+    least the largest max_retries - retry_count of the rows.
     """
     routed = with_subject(staged).withColumn("route", initial_route())
     mailed = _with_draft(

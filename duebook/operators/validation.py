@@ -13,6 +13,7 @@ from duebook.schemas import DRAFT_FIELDS
 
 KEY = ["job_id", "invoice_no"]
 EMAIL_ADDRESS = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
+_DRAFT_TYPE = "struct<" + ",".join(f"{name}:string" for name in DRAFT_FIELDS) + ">"
 CHECKED_VALUES = ["client", "invoice_no", "days_overdue", "payment_link"]
 
 
@@ -109,21 +110,23 @@ def judge_drafts(invoices: DataFrame, drafts: DataFrame, strict: bool = False) -
 
 
 def drafts_by_invoice(drafts: DataFrame, revisions: int) -> DataFrame:
-    """One row per invoice with its first ``revisions`` revisions as structs _draft0, _draft1, ...
+    """One row per invoice with the array ``_drafts`` of its first revisions, null where one lacks.
 
     The aggregation is partial on the map side, so a key with very many rows arrives as one row
     per task. It also leaves the drafts partitioned by the join key.
     """
-    return drafts.groupBy(*KEY).agg(
-        *[
-            F.min(F.when(F.col("revision") == k, F.struct(*DRAFT_FIELDS))).alias(f"_draft{k}")
-            for k in range(revisions)
-        ]
+    return drafts.filter(F.col("revision") < revisions).groupBy(*KEY).agg(
+        F.array(
+            *[
+                F.min(F.when(F.col("revision") == k, F.struct(*DRAFT_FIELDS)))
+                for k in range(revisions)
+            ]
+        ).alias("_drafts")
     )
 
 
 def fold_revisions(
-    invoices: DataFrame, drafts: DataFrame, revisions: int = fv.MAX_QUEUE_RETRIES, strict: bool = False
+    invoices: DataFrame, drafts: DataFrame, revisions: int = fv.MAX_REVISIONS, strict: bool = False
 ) -> DataFrame:
     """Examine each invoice's revisions in order until one settles it.
 
@@ -131,57 +134,47 @@ def fold_revisions(
     ``draft_feedback``, ``draft_rule`` and ``draft``, the last one examined. An invoice looks at
     max(1, max_retries - retry_count) revisions; ``revisions`` is the largest such number the plan
     is made for, and a row that needs more stops the job rather than being judged on fewer.
-    """
-    limit = F.greatest(F.lit(1), F.col("max_retries") - F.col("retry_count"))
-    rows = invoices.join(drafts_by_invoice(drafts, revisions), KEY, "left").withColumn("_limit", limit)
-    rows = rows.withColumns(
-        {f"_ruling{k}": judge(F.col(f"_draft{k}"), strict) for k in range(revisions)}
-    )
-
-    def settled(state: str, rejections: int, ruling: Column | None, draft: Column | None) -> Column:
-        return F.struct(
-            F.lit(state).alias("state"),
-            F.lit(rejections).alias("rejections"),
-            (F.lit("") if ruling is None else ruling["feedback"]).alias("feedback"),
-            (F.lit(None).cast("int") if ruling is None else ruling["rule"]).alias("rule"),
-            (F.lit(None).cast(rows.schema["_draft0"].dataType) if draft is None else draft).alias(
-                "draft"
-            ),
-        )
 
-    fold = F
-    for k in range(revisions):
-        ruling, draft = F.col(f"_ruling{k}"), F.col(f"_draft{k}")
-        last_ruling = F.col(f"_ruling{k - 1}") if k else None
-        last_draft = F.col(f"_draft{k - 1}") if k else None
-        if k:
-            fold = fold.when(F.col("_limit") <= k, settled("exhausted", k, last_ruling, last_draft))
-        fold = fold.when(draft.isNull(), settled("awaiting_draft", k, last_ruling, last_draft))
-        for state in ("approved", "invalid"):
-            fold = fold.when(ruling["status"] == state, settled(state, k, ruling, draft))
+    The rules are one expression applied to the array of drafts. Written out once per revision
+    they would make more generated code than the JVM compiles.
+    """
+    nothing = F.array_repeat(F.lit(None).cast(_DRAFT_TYPE), revisions)
+    limit = F.greatest(F.lit(1), F.col("max_retries") - F.col("retry_count")).cast("int")
     too_many = F.raise_error(
-        F.concat(F.lit("fold_revisions needs revisions >= "), F.col("_limit").cast("string"))
+        F.concat(F.lit("fold_revisions needs revisions >= "), limit.cast("string"))
+    ).cast("int")
+    rows = invoices.join(drafts_by_invoice(drafts, revisions), KEY, "left").withColumns(
+        {
+            "_drafts": F.coalesce("_drafts", nothing),
+            "_limit": F.when(limit > revisions, too_many).otherwise(limit),
+        }
     )
-    fold = fold.when(F.col("_limit") > revisions, too_many.cast(_fold_type(rows))).otherwise(
-        settled(
-            "exhausted", revisions, F.col(f"_ruling{revisions - 1}"), F.col(f"_draft{revisions - 1}")
-        )
-    )
-    return rows.withColumn("_fold", fold).select(
+
+    def rule_on(draft: Column) -> Column:
+        return F.when(
+            draft.isNull(),
+            _ruling("awaiting_draft", 0, ""),
+        ).otherwise(judge(draft, strict))
+
+    rows = rows.withColumn("_rulings", F.transform(F.slice("_drafts", F.lit(1), F.col("_limit")), rule_on))
+    ends = F.transform("_rulings", lambda ruling: ruling["status"] != "rejected")
+    rows = rows.withColumn("_end", F.array_position(ends, True).cast("int"))
+    rows = rows.withColumn("_at", F.when(F.col("_end") > 0, F.col("_end")).otherwise(F.col("_limit")))
+    rows = rows.withColumn("_status", F.get(F.col("_rulings"), F.col("_at") - 1)["status"])
+    waiting = F.col("_status") == "awaiting_draft"
+    last = F.col("_at") - F.when(waiting, F.lit(2)).otherwise(F.lit(1))
+    ruling = F.get(F.col("_rulings"), last)
+    exhausted = F.col("_status") == "rejected"
+    return rows.select(
         *invoices.columns,
-        F.col("_fold.state").alias("draft_state"),
-        F.col("_fold.rejections").alias("rejections"),
-        F.col("_fold.feedback").alias("draft_feedback"),
-        F.col("_fold.rule").alias("draft_rule"),
-        F.col("_fold.draft").alias("draft"),
+        F.when(exhausted, F.lit("exhausted")).otherwise(F.col("_status")).alias("draft_state"),
+        F.when(exhausted, F.col("_at")).otherwise(F.col("_at") - 1).alias("rejections"),
+        F.coalesce(ruling["feedback"], F.lit("")).alias("draft_feedback"),
+        ruling["rule"].alias("draft_rule"),
+        F.get(F.col("_drafts"), last).alias("draft"),
     )
 
 
-def _fold_type(rows: DataFrame) -> str:
-    draft = rows.schema["_draft0"].dataType.simpleString()
-    return f"struct<state:string,rejections:int,feedback:string,rule:int,draft:{draft}>"
-
-
 def next_step(status: Column, retry_count: Column, max_retries: Column) -> Column:
     """Where a validated draft goes next."""
     return (

@@ -26,7 +26,10 @@ def retry_outcomes(
     """(outcomes of the due entries, entries whose stored state cannot be read)."""
     readable, broken = split_states(due)
     again = restored_invoices(readable, F.lit(restage_at) if restage_at else None)
-    return decide_outcomes(again, drafts, send_results, attempts), broken
+    outcomes = decide_outcomes(
+        again, drafts, send_results, attempts, revisions=fv.MAX_QUEUE_RETRIES
+    )
+    return outcomes, broken
 
 
 def run_retry_cycle(

@@ -126,13 +126,9 @@ def drafts(spark: SparkSession, folder: str) -> DataFrame:
     ``o_orderkey % 8`` picks the fault, ``o_orderkey / 16 % 4`` the first faultless revision and
     ``o_orderkey / 64 % 4 + 1`` how many there are.
     """
-    rows = staged(spark, folder)
-    clean = template_drafts(rows).drop("revision").join(
-        rows.select("job_id", "invoice_no", "o_orderkey", "client", F.col("tone").alias("stage_tone")),
-        ["job_id", "invoice_no"],
-    )
     key = F.col("o_orderkey")
     count = F.floor(key / 64).cast("long") % 4
+    clean = template_drafts(staged(spark, folder), keep=("o_orderkey",)).drop("revision")
     clean = clean.withColumn("revision", F.explode(F.sequence(F.lit(0), count.cast("int"))))
     fault = F.when(F.col("revision") < F.floor(key / 16).cast("long") % 4, key % 8).otherwise(
         F.lit(0)
@@ -144,7 +140,7 @@ def drafts(spark: SparkSession, folder: str) -> DataFrame:
         "recipient": F.when(bad == 2, F.lit("someone.else@example.com")),
         "tone": F.when(
             bad == 3,
-            F.when(F.col("stage_tone") == "Warm & Friendly", F.lit("Stern & Urgent")).otherwise(
+            F.when(F.col("tone") == "Warm & Friendly", F.lit("Stern & Urgent")).otherwise(
                 F.lit("Warm & Friendly")
             ),
         ).when(bad == 7, F.lit("Cheerful")),

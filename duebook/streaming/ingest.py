@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from duebook.operators.audit import AUDIT_KEY, first_per_key, same_key
@@ -14,6 +15,8 @@ from duebook.operators.outcomes import audit_rows, decide_outcomes
 from duebook.schemas import AUDIT
 from duebook.sources.invoice_csv import header_schema
 
+_WITH_BATCH = T.StructType([*AUDIT.fields, T.StructField("batch", T.LongType())])
+
 
 def invoice_stream(spark: SparkSession, folder: str, columns: list[str], files_per_batch: int = 1000) -> DataFrame:
     """New invoice files of a folder, all with the same columns, as text."""
@@ -61,7 +64,7 @@ def stream_follow_up(
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).parquet(f"{path}/batch=*")
+    return spark.read.schema(_WITH_BATCH).parquet(path).select(*AUDIT.fieldNames())
 
 
 def stream_first_wins(rows: DataFrame, out: str, checkpoint: str, order_by: list[str]) -> StreamingQuery:
@@ -76,8 +79,7 @@ def stream_first_wins(rows: DataFrame, out: str, checkpoint: str, order_by: list
         first = first_per_key(batch, order_by)
         if batch_id:
             earlier = (
-                spark.read.schema(AUDIT.add("batch", "long") if "batch" not in AUDIT.fieldNames() else AUDIT)
-                .parquet(out)
+                spark.read.option("basePath", out).schema(_WITH_BATCH).parquet(out)
                 .filter(F.col("batch") < batch_id)
                 .select(*AUDIT_KEY)
             )

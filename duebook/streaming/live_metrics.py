@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from duebook.operators.metrics import job_metrics
+from duebook.sources.tables import SnapshotTable
 
 
-def stream_metrics(outcomes: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the metrics of every job in the in-memory table ``name``, one row per job."""
+def metrics_table(spark: SparkSession, out: str, outcomes: DataFrame) -> SnapshotTable:
+    return SnapshotTable(spark, out, job_metrics(outcomes).schema)
+
+
+def stream_metrics(outcomes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Rewrite the table of metrics, one row per job, after every micro-batch.
+
+    Version n + 1 belongs to micro-batch n, so a batch run again rewrites its own version.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/v{batch_id + 1}")
+
     return (
         job_metrics(outcomes)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
