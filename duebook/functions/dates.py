@@ -36,18 +36,17 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 
 def _month_number(name: Column) -> Column:
-    low = F.lower(name)
-    number = F.when(low.isin(MONTHS[0], MONTHS[0][:3]), F.lit(1))
-    for i, month in enumerate(MONTHS[1:], start=2):
-        number = number.when(low.isin(month, month[:3]), F.lit(i))
-    return number
+    numbers = {month: i for i, month in enumerate(MONTHS, 1)}
+    numbers |= {month[:3]: i for month, i in numbers.items()}
+    table = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return F.try_element_at(table, F.lower(name))
 
 
 def parse_due_date(text: Column, date_mode: str = "dayfirst") -> Column:
     """Read a due date; null where it is unreadable.
 
     ``dayfirst`` reads the day before the month wherever that gives a date, in ``2026-05-12`` too
-    (5 December). ``iso`` reads year-first dates as year, month, day.
+    (5 December). ``iso`` prefers year, month, day in year-first dates.
     """
     if date_mode not in ("dayfirst", "iso"):
         raise ValueError("date_mode must be 'dayfirst' or 'iso'")
@@ -59,35 +58,42 @@ def parse_due_date(text: Column, date_mode: str = "dayfirst") -> Column:
     def number(pattern: str, group: int) -> Column:
         return part(pattern, group).try_cast("int")
 
+    def parts(year: Column, day: Column, month: Column) -> Column:
+        return F.struct(year.alias("y"), day.alias("d"), month.alias("m"))
+
     def year_first(pattern: str, a: int, b: int) -> Column:
-        y, first, second = number(pattern, 1), number(pattern, a), number(pattern, b)
-        day_before_month, month_before_day = _date(y, second, first), _date(y, first, second)
-        if date_mode == "iso":
-            return month_before_day
-        return F.coalesce(day_before_month, month_before_day)
-
-    y, a, b = (number(YEAR_LAST, g) for g in (4, 1, 3))
-    return (
+        day, month = (a, b) if date_mode == "dayfirst" else (b, a)
+        return parts(number(pattern, 1), number(pattern, day), number(pattern, month))
+
+    found = (
         F.when(s.rlike(YEAR_FIRST), year_first(YEAR_FIRST, 3, 4))
         .when(s.rlike(EIGHT_DIGITS), year_first(EIGHT_DIGITS, 2, 3))
-        .when(s.rlike(YEAR_LAST), F.coalesce(_date(y, b, a), _date(y, a, b)))
+        .when(
+            s.rlike(YEAR_LAST), parts(number(YEAR_LAST, 4), number(YEAR_LAST, 1), number(YEAR_LAST, 3))
+        )
         .when(
             s.rlike(DAY_MONTH_YEAR),
-            _date(
+            parts(
                 number(DAY_MONTH_YEAR, 3),
-                _month_number(part(DAY_MONTH_YEAR, 2)),
                 number(DAY_MONTH_YEAR, 1),
+                _month_number(part(DAY_MONTH_YEAR, 2)),
             ),
         )
         .when(
             s.rlike(MONTH_DAY_YEAR),
-            _date(
+            parts(
                 number(MONTH_DAY_YEAR, 3),
-                _month_number(part(MONTH_DAY_YEAR, 1)),
                 number(MONTH_DAY_YEAR, 2),
+                _month_number(part(MONTH_DAY_YEAR, 1)),
             ),
         )
     )
+    # A lambda over one element names the three numbers, so that each is cut out once.
+    dates = F.transform(
+        F.array(found),
+        lambda p: F.coalesce(_date(p["y"], p["m"], p["d"]), _date(p["y"], p["d"], p["m"])),
+    )
+    return F.get(dates, F.lit(0))
 
 
 def days_overdue(due_date: Column, as_of: Column) -> Column:

@@ -136,7 +136,8 @@ def fold_revisions(
     is made for, and a row that needs more stops the job rather than being judged on fewer.
 
     The rules are one expression applied to the array of drafts. Written out once per revision
-    they would make more generated code than the JVM compiles.
+    they would make more generated code than the JVM compiles. The result comes out of ``inline``,
+    because a later filter on it would otherwise be pushed down as many copies of the rules.
     """
     nothing = F.array_repeat(F.lit(None).cast(_DRAFT_TYPE), revisions)
     limit = F.greatest(F.lit(1), F.col("max_retries") - F.col("retry_count")).cast("int")
@@ -165,14 +166,14 @@ def fold_revisions(
     last = F.col("_at") - F.when(waiting, F.lit(2)).otherwise(F.lit(1))
     ruling = F.get(F.col("_rulings"), last)
     exhausted = F.col("_status") == "rejected"
-    return rows.select(
-        *invoices.columns,
+    folded = F.struct(
         F.when(exhausted, F.lit("exhausted")).otherwise(F.col("_status")).alias("draft_state"),
         F.when(exhausted, F.col("_at")).otherwise(F.col("_at") - 1).alias("rejections"),
         F.coalesce(ruling["feedback"], F.lit("")).alias("draft_feedback"),
         ruling["rule"].alias("draft_rule"),
         F.get(F.col("_drafts"), last).alias("draft"),
     )
+    return rows.select(*invoices.columns, F.inline(F.array(folded)))
 
 
 def next_step(status: Column, retry_count: Column, max_retries: Column) -> Column:

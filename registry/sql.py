@@ -175,8 +175,8 @@ _text_date = f"""CASE o_orderkey % 7
 
 def parsed_date(value: str, day_first: bool = True) -> str:
     """First format that fits; ``kind`` 0 and 4 are the year-first notations."""
-    year_first = ["%Y-%d-%m", "%Y-%m-%d"] if day_first else ["%Y-%m-%d"]
-    compact = ["%Y%d%m", "%Y%m%d"] if day_first else ["%Y%m%d"]
+    year_first = ["%Y-%d-%m", "%Y-%m-%d"] if day_first else ["%Y-%m-%d", "%Y-%d-%m"]
+    compact = ["%Y%d%m", "%Y%m%d"] if day_first else ["%Y%m%d", "%Y%d%m"]
     tries = {
         r"^\d{4}-\d{1,2}-\d{1,2}$": year_first,
         r"^\d{8}$": compact,
