@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -136,20 +137,46 @@ def retry_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_retry_state(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write every change to ``out``, one folder per micro-batch, until the input present is read."""
+def stream_retry_state(
+    events: DataFrame, out: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Write every change to ``out``, one folder per micro-batch.
+
+    ``every`` (such as ``1 minute``) keeps the stream running, and batches without events let the
+    timers fire. Without it the stream ends when the input present is read; that needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off, as timers ask for one more batch each
+    time.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
 
-    return (
+    writer = (
         retry_changes(events)
         .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
+    if every:
+        return writer.trigger(processingTime=every).start()
+    return writer.trigger(availableNow=True).start()
+
+
+@contextmanager
+def replay_settings(spark: SparkSession) -> Iterator[None]:
+    """Session settings under which a replay of stored events runs and ends."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def current_state(changes: DataFrame) -> DataFrame:

@@ -204,12 +204,8 @@ def streamed_retry_state(spark, folder):
     entered.coalesce(1).write.parquet(source)
     ended.coalesce(1).write.mode("append").parquet(source)
     arriving = spark.readStream.schema(retry_state.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, retry_state.STATE_STORE)
-    try:
-        retry_state.stream_retry_state(arriving, out, fresh_dir(spark, "retry-state")).awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
+    with retry_state.replay_settings(spark):
+        state = fresh_dir(spark, "retry-state")
+        retry_state.stream_retry_state(arriving, out, state).awaitTermination()
     changes = spark.read.schema(retry_state.CHANGES).parquet(out)
     return retry_state.current_state(changes)
