@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from duebook import fixed_values as fv
 
 # Date shapes that are understood. Anything else counts as unreadable.
-_TIME = r"([T ]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?"
-YEAR_FIRST = rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}$"
-YEAR_LAST = rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}}){_TIME}$"
-EIGHT_DIGITS = r"^(\d{4})(\d{2})(\d{2})$"
-DAY_MONTH_YEAR = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$"
-MONTH_DAY_YEAR = r"^([A-Za-z]{3,9}) (\d{1,2}), (\d{4})$"
+_TIME = r"(?:[T ](?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
+SHAPES = [
+    rf"(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_TIME}",
+    r"(\d{4})(\d{2})(\d{2})",
+    rf"(\d{{1,2}})([-/.])(\d{{1,2}})\9(\d{{4}}){_TIME}",
+    r"(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})",
+    r"([A-Za-z]{3,9}) (\d{1,2}), (\d{4})",
+]
+ANY_SHAPE = "^(?:" + "|".join(SHAPES) + ")$"
+# Groups of ANY_SHAPE that hold year, day and month. Only one shape's groups are filled.
+PARTS = {
+    "dayfirst": ("$1$5$11$14$17", "$3$6$8$12$16", "$4$7$10$13$15"),
+    "iso": ("$1$5$11$14$17", "$4$7$8$12$16", "$3$6$10$13$15"),
+}
+_MARK = "\x01"
 MONTHS = [
     "january", "february", "march", "april", "may", "june", "july",
     "august", "september", "october", "november", "december",
@@ -35,11 +44,12 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.when(_is_date(y, m, d), F.make_date(y, m, d))
 
 
-def _month_number(name: Column) -> Column:
+def _month_number(text: Column) -> Column:
     numbers = {month: i for i, month in enumerate(MONTHS, 1)}
     numbers |= {month[:3]: i for month, i in numbers.items()}
     table = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
-    return F.try_element_at(table, F.lower(name))
+    is_number = text < F.lit(":")
+    return F.when(is_number, text.cast("int")).otherwise(F.try_element_at(table, F.lower(text)))
 
 
 def parse_due_date(text: Column, date_mode: str = "dayfirst") -> Column:
@@ -47,53 +57,27 @@ def parse_due_date(text: Column, date_mode: str = "dayfirst") -> Column:
 
     ``dayfirst`` reads the day before the month wherever that gives a date, in ``2026-05-12`` too
     (5 December). ``iso`` prefers year, month, day in year-first dates.
+
+    One search sorts any known shape into year, day and month. Lambdas over one element name the
+    pieces, so that none is worked out more than once, and no cast is tried that can fail.
     """
-    if date_mode not in ("dayfirst", "iso"):
+    if date_mode not in PARTS:
         raise ValueError("date_mode must be 'dayfirst' or 'iso'")
     s = F.btrim(text, F.lit(fv.WHITE_SPACE))
+    sorted_out = F.split(F.regexp_replace(s, ANY_SHAPE, _MARK.join(PARTS[date_mode])), _MARK)
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(s, pattern, group)
-
-    def number(pattern: str, group: int) -> Column:
-        return part(pattern, group).try_cast("int")
-
-    def parts(year: Column, day: Column, month: Column) -> Column:
-        return F.struct(year.alias("y"), day.alias("d"), month.alias("m"))
+    def numbers(p: Column) -> Column:
+        pieces = F.struct(
+            F.get(p, F.lit(0)).cast("int").alias("y"),
+            F.get(p, F.lit(1)).cast("int").alias("d"),
+            _month_number(F.get(p, F.lit(2))).alias("m"),
+        )
+        return F.when(F.size(p) == 3, pieces)
 
-    def year_first(pattern: str, a: int, b: int) -> Column:
-        day, month = (a, b) if date_mode == "dayfirst" else (b, a)
-        return parts(number(pattern, 1), number(pattern, day), number(pattern, month))
+    def date(p: Column) -> Column:
+        return F.coalesce(_date(p["y"], p["m"], p["d"]), _date(p["y"], p["d"], p["m"]))
 
-    found = (
-        F.when(s.rlike(YEAR_FIRST), year_first(YEAR_FIRST, 3, 4))
-        .when(s.rlike(EIGHT_DIGITS), year_first(EIGHT_DIGITS, 2, 3))
-        .when(
-            s.rlike(YEAR_LAST), parts(number(YEAR_LAST, 4), number(YEAR_LAST, 1), number(YEAR_LAST, 3))
-        )
-        .when(
-            s.rlike(DAY_MONTH_YEAR),
-            parts(
-                number(DAY_MONTH_YEAR, 3),
-                number(DAY_MONTH_YEAR, 1),
-                _month_number(part(DAY_MONTH_YEAR, 2)),
-            ),
-        )
-        .when(
-            s.rlike(MONTH_DAY_YEAR),
-            parts(
-                number(MONTH_DAY_YEAR, 3),
-                number(MONTH_DAY_YEAR, 2),
-                _month_number(part(MONTH_DAY_YEAR, 1)),
-            ),
-        )
-    )
-    # A lambda over one element names the three numbers, so that each is cut out once.
-    dates = F.transform(
-        F.array(found),
-        lambda p: F.coalesce(_date(p["y"], p["m"], p["d"]), _date(p["y"], p["d"], p["m"])),
-    )
-    return F.get(dates, F.lit(0))
+    return F.get(F.transform(F.transform(F.array(sorted_out), numbers), date), F.lit(0))
 
 
 def days_overdue(due_date: Column, as_of: Column) -> Column:

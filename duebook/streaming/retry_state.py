@@ -1,12 +1,15 @@
-"""The retry queue as streaming state, one machine per (job_id, invoice_no)."""
+"""The retry queue as streaming state, one machine per (job_id, invoice_no).
+
+An entry's events depend on each other in order, so a key is one task's work; a batch holds few of
+them per key, and the state of a key is one small row.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -67,13 +70,12 @@ class RetryMachine(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", STATE)
 
-    def _row(self, key: tuple, change: str, entry: tuple) -> dict:
+    def _row(self, key: tuple, change: str, entry: tuple) -> Row:
         status, retry_count, max_retries, error, due, seq = entry
-        return {
-            "job_id": key[0], "invoice_no": key[1], "seq": seq, "change": change,
-            "status": status, "retry_count": retry_count, "max_retries": max_retries,
-            "error_message": error, "next_retry_ms": due,
-        }
+        return Row(
+            job_id=key[0], invoice_no=key[1], seq=seq, change=change, status=status,
+            retry_count=retry_count, max_retries=max_retries, error_message=error, next_retry_ms=due,
+        )
 
     def _next(self, entry: tuple | None, event) -> tuple | None:
         at = int(event.at.timestamp() * 1000)
@@ -91,29 +93,24 @@ class RetryMachine(StatefulProcessor):
             return ("permanent_failure", count, limit, event.error_message, None, seq)
         return ("pending", count, limit, event.error_message, _due(at, count), seq)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        entry = self.entry.get() if self.entry.exists() else None
-        entry = tuple(entry) if entry is not None else None
-        events = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        changed = False
-        for event in events.itertuples(index=False):
-            following = self._next(entry, event)
-            if following is not None:
-                entry, changed = following, True
-        if not changed:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self.entry.get()
+        before = after = tuple(stored) if stored is not None else None
+        for event in sorted(rows, key=lambda event: event.seq):
+            after = self._next(after, event) or after
+        if after == before:
             return
-        self.entry.update(entry)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if entry[0] == "pending":
-            self.handle.registerTimer(entry[4])
-        yield pd.DataFrame([self._row(key, "state", entry)], columns=CHANGES.fieldNames())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.entry.exists():
-            entry = tuple(self.entry.get())
-            if entry[0] == "pending":
-                yield pd.DataFrame([self._row(key, "due", entry)], columns=CHANGES.fieldNames())
+        self.entry.update(after)
+        if before is not None and before[0] == "pending":
+            self.handle.deleteTimer(before[4])
+        if after[0] == "pending":
+            self.handle.registerTimer(after[4])
+        yield self._row(key, "state", after)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        stored = self.entry.get()
+        if stored is not None and stored[0] == "pending":
+            yield self._row(key, "due", tuple(stored))
 
     def close(self) -> None:
         pass
@@ -128,7 +125,7 @@ def retry_changes(events: DataFrame) -> DataFrame:
     return (
         events.select(*EVENTS.fieldNames())
         .groupBy(*KEY)
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=RetryMachine(),
             outputStructType=CHANGES,
             outputMode="Update",
