@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duebook import fixed_values as fv
 from duebook.functions.errors import is_retryable, waited_until
+from duebook.operators.hot_keys import HotKeys, spread_join
 from duebook.operators.validation import KEY
 
 
@@ -41,9 +42,14 @@ def fold_attempts(attempts: DataFrame, limit: int = fv.MAX_ATTEMPTS) -> DataFram
     )
 
 
-def resolve_attempts(invoices: DataFrame, attempts: DataFrame, limit: int = fv.MAX_ATTEMPTS) -> DataFrame:
+def resolve_attempts(
+    invoices: DataFrame,
+    attempts: DataFrame,
+    limit: int = fv.MAX_ATTEMPTS,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Give every invoice its attempt outcome; one never attempted has failed."""
-    joined = invoices.join(fold_attempts(attempts, limit), KEY, "left")
+    joined = spread_join(invoices, fold_attempts(attempts, limit), KEY, hot)
     never = F.col("attempt_state").isNull()
     return joined.withColumns(
         {

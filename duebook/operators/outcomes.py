@@ -10,6 +10,7 @@ from duebook.functions.errors import error_class, next_retry_at
 from duebook.functions.text import assemble_body, mask_email
 from duebook.operators.attempts import resolve_attempts
 from duebook.operators.drafts import with_subject
+from duebook.operators.hot_keys import ROWS_PER_TASK, find_hot_keys, spread_join
 from duebook.operators.validation import KEY, fold_revisions
 from duebook.schemas import AUDIT, DRAFT_FIELDS, EMAIL_LOG, FAILED, INVOICE_STATE
 
@@ -64,11 +65,13 @@ def _with_draft(
     attempts: DataFrame | None,
     revisions: int,
     strict: bool,
+    rows_per_task: int,
 ) -> DataFrame:
     """Invoices that get an e-mail: validate, then read how sending went."""
-    rows = fold_revisions(rows, drafts, revisions, strict)
+    hot = find_hot_keys(rows, KEY, rows_per_task)
+    rows = fold_revisions(rows, drafts, revisions, strict, hot)
     if attempts is not None:
-        rows = resolve_attempts(rows, attempts)
+        rows = resolve_attempts(rows, attempts, hot=hot)
     else:
         rows = rows.withColumns(
             {"attempt_state": F.lit("succeeded"), "attempt_error": F.lit(None).cast("string")}
@@ -77,7 +80,7 @@ def _with_draft(
         sends = send_results.groupBy(*KEY).agg(
             F.min(F.struct("success", "provider", "message")).alias("_send")
         )
-        rows = rows.join(sends, KEY, "left")
+        rows = spread_join(rows, sends, KEY, hot)
     else:
         rows = rows.withColumn(
             "_send", F.expr("struct(true AS success, 'dry_run' AS provider, '' AS message)")
@@ -141,18 +144,21 @@ def decide_outcomes(
     attempts: DataFrame | None = None,
     revisions: int = fv.MAX_REVISIONS,
     strict: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Route, validate and settle every staged invoice.
 
     Only invoices in an e-mail stage are joined, so the many that are not overdue or long overdue
     never enter a shuffle. Drafts, attempts and send results are reduced to one row per invoice
-    before they meet the invoices, all on the same key. Without ``send_results`` every approved
+    before they meet the invoices, all on the same key. An invoice number used by more than
+    ``rows_per_task`` rows is looked for in a sample first and spread over several tasks. Without ``send_results`` every approved
     draft counts as sent (dry run); without ``attempts`` none failed. ``revisions`` must be at
     least the largest max_retries - retry_count of the rows.
     """
     routed = with_subject(staged).withColumn("route", initial_route())
     mailed = _with_draft(
-        routed.filter(F.col("route") == "draft"), drafts, send_results, attempts, revisions, strict
+        routed.filter(F.col("route") == "draft"),
+        drafts, send_results, attempts, revisions, strict, rows_per_task,
     )
     quiet = _without_draft(routed.filter(F.col("route") != "draft"))
     return mailed.select(*OUTCOME_COLUMNS).unionByName(quiet.select(*OUTCOME_COLUMNS))
@@ -225,7 +231,7 @@ def queue_rows(outcomes: DataFrame, now: Column) -> DataFrame:
     ).select(*FAILED.fieldNames())
 
 
-def email_log_rows(outcomes: DataFrame, at: Column) -> DataFrame:
+def email_log_rows(outcomes: DataFrame, at: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Dry-run log: one row per e-mail that went out."""
     draft = F.col("draft")
     return outcomes.filter(F.col("outcome") == "sent").select(
@@ -236,4 +242,5 @@ def email_log_rows(outcomes: DataFrame, at: Column) -> DataFrame:
         draft["subject"].alias("subject"),
         draft["tone"].alias("tone"),
         assemble_body(draft["greeting"], draft["body"], draft["closing"]).alias("body"),
-    ).select(*EMAIL_LOG.fieldNames())
+        *keep,
+    ).select(*EMAIL_LOG.fieldNames(), *keep)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duebook import fixed_values as fv
 from duebook.functions.text import strip, words_only
+from duebook.operators.hot_keys import HotKeys, spread_join
 from duebook.schemas import DRAFT_FIELDS
 
 KEY = ["job_id", "invoice_no"]
@@ -126,7 +127,11 @@ def drafts_by_invoice(drafts: DataFrame, revisions: int) -> DataFrame:
 
 
 def fold_revisions(
-    invoices: DataFrame, drafts: DataFrame, revisions: int = fv.MAX_REVISIONS, strict: bool = False
+    invoices: DataFrame,
+    drafts: DataFrame,
+    revisions: int = fv.MAX_REVISIONS,
+    strict: bool = False,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Examine each invoice's revisions in order until one settles it.
 
@@ -144,7 +149,8 @@ def fold_revisions(
     too_many = F.raise_error(
         F.concat(F.lit("fold_revisions needs revisions >= "), limit.cast("string"))
     ).cast("int")
-    rows = invoices.join(drafts_by_invoice(drafts, revisions), KEY, "left").withColumns(
+    joined = spread_join(invoices, drafts_by_invoice(drafts, revisions), KEY, hot)
+    rows = joined.withColumns(
         {
             "_drafts": F.coalesce("_drafts", nothing),
             "_limit": F.when(limit > revisions, too_many).otherwise(limit),

@@ -21,7 +21,7 @@ from duebook.operators.outcomes import (
     queue_rows,
 )
 from duebook.schemas import AUDIT, FAILED
-from duebook.sources.files import append_email_log
+from duebook.sources.files import replace_email_log
 from duebook.sources.tables import PartitionedTable, SnapshotTable
 
 
@@ -80,7 +80,8 @@ def run_follow_up(
     """Run the jobs in ``raw`` and write all their tables; returns the metrics per job.
 
     Outcomes are written once, one folder per job, and the audit, queue, e-mail log and metrics
-    are read from that table with the columns each needs. Running a job again replaces its rows.
+    are read from that table with the columns each needs. Running a job again replaces its rows;
+    a job whose rows are all gone from a table keeps the ones it had there.
     """
     outcomes, faulty = follow_up(
         raw, drafts, as_of, send_results, attempts, date_mode, on_bad_date
@@ -90,9 +91,9 @@ def run_follow_up(
     jobs = raw.select(F.col("job_id").cast("long")).distinct()
     table.replace(outcomes)
     store.quarantine(faulty.schema).replace(faulty)
-    written = table.read().join(F.broadcast(jobs), "job_id", "left_semi")
+    written = table.read().join(jobs, "job_id", "left_semi")
 
     store.audit.replace(first_per_key(audit_rows(written, moment), ["created_at", "client"]))
     store.queue.write(upsert_failures(store.queue.read(), queue_rows(written, moment)))
-    append_email_log(email_log_rows(written, moment), store.email_log)
+    replace_email_log(email_log_rows(written, moment, ("job_id",)), store.email_log)
     return job_metrics(written)

@@ -7,15 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from duebook.schemas import EMAIL_LOG
 
 
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def append_email_log(rows: DataFrame, path: str) -> None:
     """Append to the JSON-lines log; text is written as it is, not escaped."""
-    rows.select(*EMAIL_LOG.fieldNames()).write.mode("append").option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    rows.select(*EMAIL_LOG.fieldNames()).write.mode("append").option("timestampFormat", _TIME).json(path)
+
+
+def replace_email_log(rows: DataFrame, path: str) -> None:
+    """Write the log of whole jobs, one folder per job_id, in place of what those jobs had."""
+    rows.select("job_id", *EMAIL_LOG.fieldNames()).hint("rebalance", "job_id").write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").option("timestampFormat", _TIME).partitionBy(
+        "job_id"
     ).json(path)
 
 
 def read_email_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EMAIL_LOG).json(path)
+    """The log as written by either function."""
+    return spark.read.schema(EMAIL_LOG).json(path).select(*EMAIL_LOG.fieldNames())
 
 
 def export_csv(view: DataFrame, path: str) -> None:

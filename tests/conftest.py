@@ -13,7 +13,11 @@ def spark():
     session = build_session(
         "local[8]",
         "duebook-tests",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"},
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "2000",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
