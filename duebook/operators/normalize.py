@@ -26,15 +26,28 @@ def normalize_invoices(raw: DataFrame, date_mode: str = "dayfirst") -> DataFrame
     money = (strip(F.col("amount")) if amount_is_text else F.col("amount")).try_cast(MONEY)
     job_id = F.col("job_id").cast("long") if "job_id" in raw.columns else F.lit(0).cast("long")
     kept = [c for c in raw.columns if c not in {*fv.REQUIRED_COLUMNS, "job_id"}]
-    return raw.select(
+    read = [money.alias("amount"), amount.alias("amount_raw"), due.alias("due_date")]
+    if not due_is_date:
+        # Out of inline, so that filters on the results do not read every date and amount again.
+        read = [F.inline(F.array(F.struct(*read)))]
+    rows = raw.select(
         job_id.alias("job_id"),
         F.col("invoice_number").cast("string").alias("invoice_no"),
         F.col("client_name").alias("client"),
-        money.alias("amount"),
-        amount.alias("amount_raw"),
         F.col("due_date").cast("string").alias("due_date_text"),
-        due.alias("due_date"),
         F.col("recipient_email").alias("contact_email"),
+        *kept,
+        *read,
+    )
+    return rows.select(
+        "job_id",
+        "invoice_no",
+        "client",
+        "amount",
+        "amount_raw",
+        "due_date_text",
+        "due_date",
+        "contact_email",
         F.lit(1).alias("followup_count"),
         F.lit(0).alias("retry_count"),
         F.lit(fv.MAX_REVISIONS).alias("max_retries"),
