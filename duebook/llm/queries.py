@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duebook.llm import quality_rules, simhash
+import public_tokenizers
+from duebook.llm import language_id, packing, quality_rules, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -89,3 +90,19 @@ def op10_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = language_id.held_out("doc_id", 4, 2)
+    model = language_id.fit(docs.where(~held), "doc_id", "text", "lang")
+    rows = language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, longest=2048)
+    return packing.pack(cut, 2048)
