@@ -62,69 +62,53 @@ def pieces(
     return docs.select(F.col(id_col), F.col(text)).mapInArrow(cut, schema)
 
 
-class _Left:
-    """How many pieces are left of each length, and the longest one up to a given length that is."""
-
-    def __init__(self, counts: dict[int, int], room: int):
-        self.n = np.zeros(room + 1, np.int64)
-        for length, n in counts.items():
-            self.n[length] = n
-        self.up_to = np.arange(room + 1)  # a length at or above the answer; shortened when looked up
-
-    def longest(self, room: int) -> int:
-        """The longest length left that fits, 0 if none does."""
-        at = room
-        while at > 0 and self.n[at] == 0:
-            at = int(self.up_to[at]) if self.up_to[at] < at else at - 1
-        while room > at:
-            room, self.up_to[room] = int(min(self.up_to[room], room - 1)), at
-        return at
+def _longest(left: np.ndarray, room: int) -> int:
+    """The longest length left that fits, 0 if none does."""
+    fits = np.flatnonzero(left[: room + 1])
+    return int(fits[-1]) if len(fits) else 0
 
 
 def plan_bins(counts: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
     """Bins as (how many, lengths in order of their place). Every piece is in exactly one bin."""
     if any(length < 1 or length > room for length in counts):
         raise ValueError("a piece doesn't fit")
-    left, bins = _Left(counts, room), []
-    while (first := left.longest(room)) > 0:
-        used = [first]
-        left.n[first] -= 1
-        gap = room - first
-        while gap and (fit := left.longest(gap)):
+    left, bins = np.zeros(room + 1, np.int64), []
+    for length, n in counts.items():
+        left[length] = n
+    while (first := _longest(left, room)) > 0:
+        used, gap, fit = [], room, first
+        while fit:
             used.append(fit)
-            left.n[fit] -= 1
+            left[fit] -= 1
             gap -= fit
+            fit = _longest(left, gap)
         if gap and len(used) > 1:
             used = _two_for_the_smallest(left, used, gap)
-        need: dict[int, int] = {}
-        for length in used:
-            need[length] = need.get(length, 0) + 1
-        more = min(int(left.n[length]) // k for length, k in need.items())
-        for length, k in need.items():
-            left.n[length] -= more * k
+        lengths, each = np.unique(used, return_counts=True)
+        more = int((left[lengths] // each).min())
+        left[lengths] -= more * each
         bins.append((more + 1, used))
     return bins
 
 
-def _two_for_the_smallest(left: _Left, used: list[int], gap: int) -> list[int]:
+def _two_for_the_smallest(left: np.ndarray, used: list[int], gap: int) -> list[int]:
     """The bin with its smallest piece replaced by the two that leave the smallest gap, if they leave a smaller one."""
     smallest = used[-1]
-    wide, best, pair = gap + smallest, smallest, None
-    one = left.longest(wide - 1)
-    while one and 2 * one > best:
-        left.n[one] -= 1
-        other = left.longest(min(wide - one, one))
-        left.n[one] += 1
-        if other and one + other > best:
-            best, pair = one + other, (one, other)
-            if best == wide:
-                break
-        one = left.longest(one - 1)
-    if pair is None:
+    wide = gap + smallest
+    free = np.flatnonzero(left[:wide])
+    if not len(free):
+        return used
+    at = np.searchsorted(free, np.minimum(wide - free, free), side="right") - 1
+    alone = (at >= 0) & (free[at] == free) & (left[free] < 2)
+    at = np.where(alone, at - 1, at)
+    sums = np.where(at >= 0, free + free[at], 0)
+    best = int(sums.argmax())
+    if sums[best] <= smallest:
         return used
-    left.n[smallest] += 1
+    pair = [int(free[best]), int(free[at[best]])]
+    left[smallest] += 1
     for length in pair:
-        left.n[length] -= 1
+        left[length] -= 1
     return [*used[:-1], *pair]
 
 
