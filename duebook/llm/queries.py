@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from duebook.llm import language_id, packing, quality_rules, simhash
+from duebook.llm import language_id, nearest, packing, quality_rules, simhash, url_filters
 
 QUERIES = {}
 ORACLES = {}
@@ -106,3 +106,24 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, longest=2048)
     return packing.pack(cut, 2048)
+
+
+@query
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    mined = url_filters.mine(pages, _table(spark, folder, "labels"))
+    stated = [
+        url_filters.rule("allow", "org/"),
+        url_filters.rule("block", "example.org/es/"),
+        url_filters.rule("block", "example.org/en/1"),
+        url_filters.rule("allow", "com/fr/"),
+        url_filters.rule("block", "com/de/"),
+    ]
+    judged = url_filters.judge(pages, stated, mined)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined_block")
+
+
+@query
+def op2_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    return nearest.nearest(rows, F.col("vec_id") % 20 == 0, "vec_id", "embedding", k=20)
