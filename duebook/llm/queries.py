@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from duebook.llm import language_id, nearest, packing, quality_rules, simhash, url_filters
+from duebook.llm import language_id, nearest, packing, quality_rules, simhash, suffix_dedup, url_filters
 
 QUERIES = {}
 ORACLES = {}
@@ -127,3 +127,10 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op2_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "embeddings")
     return nearest.nearest(rows, F.col("vec_id") % 20 == 0, "vec_id", "embedding", k=20)
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = suffix_dedup.remove_repeats(docs, 400, "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
