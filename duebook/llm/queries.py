@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from duebook.llm import language_id, nearest, packing, quality_rules, simhash, suffix_dedup, url_filters
+from duebook.llm import language_id, nearest, packing, quality_rules, simhash, suffix_dedup, token_files, url_filters
 
 QUERIES = {}
 ORACLES = {}
@@ -134,3 +134,11 @@ def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = suffix_dedup.remove_repeats(docs, 400, "doc_id", "text")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    files = token_files.new_folder(spark)
+    token_files.write_token_files(docs, files, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_token_files(spark, files)
