@@ -148,7 +148,7 @@ def number_within_length(rows: DataFrame, *order: str) -> tuple[DataFrame, dict[
     in_file = Window.partitionBy("_part", "_block", "length").orderBy(*order)
     numbered = (
         stored.withColumn("_own", F.row_number().over(in_file) - 1)
-        .join(before, ["_part", "_block", "length"])
+        .join(before.hint("merge"), ["_part", "_block", "length"])
         .withColumn("number", F.col("_own") + F.col("before"))
         .drop("_part", "_block", "_own", "before")
     )
