@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-from duebook.llm import language_id, nearest, packing, quality_rules, simhash, suffix_dedup, token_files, url_filters
+from duebook.llm import (
+    language_id,
+    lattice_lm,
+    nearest,
+    packing,
+    piece_sampling,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+    token_files,
+    url_filters,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -142,3 +153,16 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = token_files.new_folder(spark)
     token_files.write_token_files(docs, files, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.read_token_files(spark, files)
+
+
+@query
+def op4_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return piece_sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+@query
+def op6_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"), held)
