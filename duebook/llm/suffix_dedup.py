@@ -32,6 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duebook.llm.scratch import Scratch
 
@@ -143,7 +144,7 @@ def places(docs: DataFrame, length: int) -> DataFrame:
                     names=[c.split()[0] for c in PLACES.split(", ")],
                 )
 
-    return docs.select("doc_id", "data").mapInArrow(sampled, PLACES)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "data").mapInArrow(sampled, PLACES)
 
 
 def _ranked(triples: DataFrame) -> DataFrame:
@@ -378,12 +379,20 @@ def unpack(packed: bytes | None) -> bytes:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
+    """The rows with ``data`` packed, so that less is moved; other columns as they are."""
+    others = [c for c in docs.columns if c not in ("doc_id", "data")]
+    kind = T.StructType(
+        [docs.schema[c] for c in ("doc_id", *others)] + [T.StructField("packed", T.BinaryType())]
+    )
+
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [pack(v.as_py()) if v.is_valid and len(v.as_py()) else None for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[2:], pa.array(data, pa.binary())], names=["doc_id", *others, "packed"]
+            )
 
-    return docs.select("doc_id", "data").mapInArrow(squeezed, "doc_id long, packed binary")
+    return docs.select("doc_id", "data", *others).mapInArrow(squeezed, kind)
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -428,33 +437,47 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     return scratch.put(whole.union(_partial_repeats(blocks, scratch, length)), "ranges")
 
 
+def _without(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
+    """What is left without the ranges (sorted by their start), and how many separate pieces were cut out."""
+    kept, at, pieces = [], 0, 0
+    covered = -1
+    for one in ranges or ():
+        if one["start"] > covered:
+            kept.append(data[at : one["start"]])
+            pieces += 1
+        covered = at = max(covered, one["stop"])
+    kept.append(data[at:])
+    return b"".join(kept), pieces
+
+
+def _with_ranges(data: DataFrame, length: int) -> DataFrame:
+    """The rows packed, with the sorted ``ranges`` of each."""
+    ranges = repeated_ranges(data.select("doc_id", "data"), length).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges")
+    )
+    return _packed(data).join(ranges, "doc_id", "left")
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``doc_id``, ``kept`` (the bytes left, joined), ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``.
 
     Strings are judged on the input as UTF-8 bytes and never cross documents; all copies go, the first
-    one too. A null or empty text has 0 bytes. Ids are whole numbers; every row needs its own.
+    one too. A null or empty text has 0 bytes. Ids are whole numbers, each of one row; a row with a
+    null id is neither compared nor cut.
     """
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
-    ranges = repeated_ranges(data, length).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges")
-    )
-    rows = _packed(data).join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges")
+    rows = _with_ranges(data, length).select("doc_id", "packed", "ranges")
     kind = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, packed, found in zip(*(batch.column(k) for k in range(3)), strict=True):
-                data, kept, at, spans_ = unpack(packed.as_py()), [], 0, 0
-                covered = -1
-                for one in found.as_py() or ():
-                    if one["start"] > covered:
-                        kept.append(data[max(at, 0) : one["start"]])
-                        spans_ += 1
-                    covered = max(covered, one["stop"])
-                    at = covered
-                rest = b"".join(kept) + data[at:]
-                out.append((key.as_py(), rest, len(data), len(data) - len(rest), spans_, hashlib.sha256(rest).hexdigest()))
+            for key, packed, found in zip(*batch.columns, strict=True):
+                data = unpack(packed.as_py())
+                kept, pieces = _without(data, found.as_py())
+                out.append(
+                    (key.as_py(), kept, len(data), len(data) - len(kept), pieces, hashlib.sha256(kept).hexdigest())
+                )
             columns = list(zip(*out, strict=True)) or [()] * 6
             types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -463,3 +486,39 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             )
 
     return rows.mapInArrow(cut, kind)
+
+
+def strip_repeats(
+    docs: DataFrame, length: int = 400, id_col: str = "doc_id", text: str = "text", chars: str = "n_chars"
+) -> DataFrame:
+    """The rows with repeated strings cut out of their text, other columns as they were.
+
+    Where a cut splits a letter, its other bytes go too. ``chars``, if there is such a column, gets
+    the new number of letters. A null text stays null; a text that is all repeats becomes empty.
+    """
+    others = [c for c in docs.columns if c != text]
+    data = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text).cast("binary").alias("data"),
+        F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"),
+        F.col(text).isNull().alias("none"),
+    )
+    rows = _with_ranges(data, length).select("row", "none", "packed", "ranges")
+    kind = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [
+                None if none.as_py() else _without(unpack(packed.as_py()), found.as_py())[0].decode("utf-8", "ignore")
+                for none, packed, found in zip(*batch.columns[1:], strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    cleaned = rows.mapInArrow(cut, kind)
+
+    def column(c: str):
+        if c == text:
+            return F.col("text").alias(c)
+        return F.length("text").cast(docs.schema[c].dataType).alias(c) if c == chars else F.col(f"row.`{c}`").alias(c)
+
+    return cleaned.select(*(column(c) for c in docs.columns))
