@@ -121,7 +121,10 @@ def mine(
     kinds = "antecedent array<string>, confidence double, support double"
     if least > 1 or not n:
         return pages.sparkSession.createDataFrame([], kinds)
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
+    parts = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tokens are dealt over them
+    model = FPGrowth(
+        itemsCol="items", minSupport=least, minConfidence=min_confidence, numPartitions=parts
+    ).fit(baskets)
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
     return rules.select("antecedent", "confidence", "support")
 
