@@ -3,7 +3,7 @@
 A folder holds a frequency table (scaled to 2**20) that all blocks share, and the blocks as rows of
 Parquet files, in order of the document id. A block holds whole documents. Its ids are dealt over
 512 interleaved coders, so a step codes 512 ids at once; the coders' states are kept at the block's
-start and every 256 steps, with the place of the next word, and decoding can start at each of these
+start and every 128 steps, with the place of the next word, and decoding can start at each of these
 checkpoints. Every block carries a checksum of its bytes and one of its ids.
 
 A block's bytes: magic, version, lanes, ids, steps between checkpoints, checkpoints, words, crc32 of
@@ -30,9 +30,9 @@ from duebook.session import fresh_dir
 MAGIC, VERSION = b"RANS", 1
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
-STEPS_BETWEEN = 256
-BLOCK_IDS = 1 << 18
+LANES = 2048
+STEPS_BETWEEN = 128
+BLOCK_IDS = 1 << 19
 HEADER = struct.Struct("<4sHHQIIQI")
 
 
