@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from duebook import fixed_values as fv
 
 
+#: Twice two to this power is the largest power of two that a long holds.
+LAST_DOUBLING = 61
+
+
 def is_retryable(message: Column) -> Column:
     low = F.lower(F.coalesce(message, F.lit("")))
     return reduce(lambda a, b: a | b, [low.contains(F.lit(t)) for t in fv.RETRYABLE_ERROR_TEXTS])
@@ -30,10 +34,10 @@ def next_retry_at(now: Column, retry_count: Column, cap: int = fv.BACKOFF_CAP_MI
 
 
 def wait_before_retry(attempt: Column, first: int = fv.FIRST_WAIT_SECONDS) -> Column:
-    """Seconds to wait after failed attempt ``attempt`` (0-based)."""
-    return (F.lit(float(first)) * F.pow(F.lit(2.0), attempt)).cast("long")
+    """Seconds to wait after failed attempt ``attempt`` (0-based); no more than fit a long from the 62nd on."""
+    return (F.lit(float(first)) * F.pow(F.lit(2.0), F.least(attempt, F.lit(LAST_DOUBLING)))).cast("long")
 
 
 def waited_until(attempt: Column, first: int = fv.FIRST_WAIT_SECONDS) -> Column:
-    """Seconds waited in all before attempt ``attempt`` (0-based) starts."""
-    return (F.lit(float(first)) * (F.pow(F.lit(2.0), attempt) - 1)).cast("long")
+    """Seconds waited in all before attempt ``attempt`` (0-based) starts; the doubling ends with the 62nd."""
+    return (F.lit(float(first)) * (F.pow(F.lit(2.0), F.least(attempt, F.lit(LAST_DOUBLING))) - 1)).cast("long")

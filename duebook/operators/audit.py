@@ -21,6 +21,11 @@ def first_per_key(rows: DataFrame, order_by: list[str | Column], key: list[str]
     return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
+def oldest_first(rows: DataFrame) -> list[Column]:
+    """Earliest row first; rows of one time in an order that a task run again finds too."""
+    return [F.col("created_at"), F.xxhash64(*rows.columns), *[F.col(c) for c in rows.columns]]
+
+
 def same_key(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
     """Equality on all key columns; two nulls are equal, so a rerun adds nothing."""
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in key])
@@ -38,7 +43,7 @@ def new_audit_rows(
     with the same retry count is dropped.
     """
     key = AUDIT_KEY + ([attempt_column] if attempt_column else [])
-    first = first_per_key(rows, order_by or ["created_at"], key)
+    first = first_per_key(rows, order_by or oldest_first(rows), key)
     known = existing.select(*key)
     return first.join(known, same_key(first, known, key), "left_anti")
 

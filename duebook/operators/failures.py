@@ -16,7 +16,7 @@ def upsert_failures(queue: DataFrame, new: DataFrame, order_by: list[str | Colum
 
     Of several new entries for one invoice the latest stays (``order_by`` names the newest first).
     """
-    latest = first_per_key(new, order_by or [F.col("updated_at").desc()], KEY)
+    latest = first_per_key(new, order_by or newest_first(new), KEY)
     marked = latest.select(
         *KEY, F.struct(*[c for c in FAILED.fieldNames() if c not in KEY]).alias("_new")
     )
@@ -33,6 +33,27 @@ def upsert_failures(queue: DataFrame, new: DataFrame, order_by: list[str | Colum
     ).select(*FAILED.fieldNames())
 
 
+def newest_first(rows: DataFrame) -> list[Column]:
+    """Latest change first; rows of one time in an order that a task run again finds too."""
+    return [F.col("updated_at").desc(), F.xxhash64(*rows.columns), *[F.col(c) for c in rows.columns]]
+
+
+def resolve_settled(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The queue with the entries resolved whose invoice has an outcome that is neither failed nor waiting.
+
+    An invoice number with several outcomes is settled if none of them is failed or waiting.
+    """
+    open_ = F.col("send_status").isin("failed", "pending")
+    settled = outcomes.groupBy(*KEY).agg(F.count_if(open_).alias("_open")).filter(F.col("_open") == 0)
+    rows = queue.join(settled.withColumn("_settled", F.lit(True)).drop("_open"), KEY, "left")
+    ends = F.coalesce("_settled", F.lit(False)) & (F.col("status") == "pending")
+    changes = {
+        "status": F.when(ends, F.lit("resolved")).otherwise(F.col("status")),
+        "updated_at": F.when(ends, now).otherwise(F.col("updated_at")),
+    }
+    return rows.select(*[changes.get(c, F.col(c)).alias(c) for c in FAILED.fieldNames()])
+
+
 def due_failures(queue: DataFrame, now: Column, limit: int | None = fv.RETRY_BATCH) -> DataFrame:
     """Pending entries whose time has come, oldest first, permanent errors included.
 

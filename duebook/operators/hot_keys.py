@@ -8,15 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-_MOST_KEYS = 1000
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more rows than one task should get, and into how many parts to cut them."""
+    """Keys with more rows than one task should get, each with the parts to cut it into (``_parts``)."""
 
     table: DataFrame
-    parts: int
 
 
 def find_hot_keys(
@@ -24,17 +22,16 @@ def find_hot_keys(
 ) -> HotKeys | None:
     """Estimate from a sample which keys are too large; None if there are none.
 
-    Only the key columns are read. At most the thousand largest keys come back; the estimate decides
-    how rows are spread, never which rows there are.
+    Only the key columns are read. A key has to have ``rows_per_task`` rows, so there are at most as
+    many as the table has such shares; the estimate decides how rows are spread, never which there are.
     """
     counts = rows.select(*key).sample(fraction, seed=7).groupBy(*key).agg(F.count("*").alias("_n"))
-    large = counts.filter(F.col("_n") >= rows_per_task * fraction).orderBy(F.col("_n").desc())
-    found = large.limit(_MOST_KEYS).collect()
+    found = counts.filter(F.col("_n") >= rows_per_task * fraction).collect()
     if not found:
         return None
-    parts = 1 + int(found[0]["_n"] / fraction / rows_per_task)
-    table = rows.sparkSession.createDataFrame([r[:-1] for r in found], rows.select(*key).schema)
-    return HotKeys(table.withColumn("_hot", F.lit(True)), parts)
+    parts = [(*r[:-1], 1 + int(r["_n"] / fraction / rows_per_task)) for r in found]
+    schema = rows.select(*key, F.lit(0).alias("_parts")).schema
+    return HotKeys(rows.sparkSession.createDataFrame(parts, schema))
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: list[str], hot: HotKeys | None) -> DataFrame:
@@ -46,12 +43,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], hot: HotKeys
     """
     if hot is None:
         return left.join(right, key, "left")
-    keys = F.broadcast(hot.table)
     content = F.xxhash64(*left.columns) + F.spark_partition_id()
-    part = F.when(F.col("_hot"), F.pmod(content, F.lit(hot.parts))).otherwise(F.lit(0))
-    cut = left.join(keys, key, "left").withColumn("_part", part.cast("int")).drop("_hot")
-    last = F.when(F.col("_hot"), F.lit(hot.parts - 1)).otherwise(F.lit(0))
-    copies = right.join(keys, key, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), last))
-    )
-    return cut.join(copies.drop("_hot"), [*key, "_part"], "left").drop("_part")
+    parts = F.coalesce("_parts", F.lit(1))
+    cut = left.join(hot.table, key, "left").withColumn("_part", F.pmod(content, parts).cast("int"))
+    copies = right.join(hot.table, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.drop("_parts").join(copies.drop("_parts"), [*key, "_part"], "left").drop("_part")

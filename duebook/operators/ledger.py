@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duebook.schemas import JOB_EVENTS, JOBS
@@ -66,8 +67,12 @@ def latest_job_by_hash(jobs: DataFrame) -> DataFrame:
     )
 
 
-def ingest_decision(fingerprints: DataFrame, jobs: DataFrame) -> DataFrame:
-    """``decision`` for each fingerprint: in_progress, cached or new, with the job found."""
+def ingest_decision(fingerprints: DataFrame, jobs: DataFrame, order_by: str | None = None) -> DataFrame:
+    """``decision`` for each fingerprint: in_progress, cached or new, with the job found.
+
+    Of several new copies of one content the first by ``order_by`` (by default ``file_path``, if
+    there is one) is new; the others find it in progress and have no job yet.
+    """
     status = F.col("_status")
     latest = latest_job_by_hash(jobs).select(
         "file_hash", F.col("id").alias("existing_job_id"), F.col("status").alias("_status")
@@ -78,6 +83,12 @@ def ingest_decision(fingerprints: DataFrame, jobs: DataFrame) -> DataFrame:
         .otherwise(F.lit("new"))
     )
     decided = fingerprints.join(latest, "file_hash", "left").withColumn("decision", decision)
+    order_by = order_by or ("file_path" if "file_path" in fingerprints.columns else None)
+    if order_by:
+        copy = F.row_number().over(W.partitionBy("file_hash").orderBy(order_by)) > 1
+        decided = decided.withColumn("_copy", copy).withColumn(
+            "decision", F.when((F.col("decision") == "new") & F.col("_copy"), F.lit("in_progress")).otherwise(F.col("decision"))
+        ).drop("_copy")
     return decided.withColumn(
         "existing_job_id", F.when(F.col("decision") != "new", F.col("existing_job_id"))
     ).drop("_status")

@@ -14,13 +14,15 @@ def counted(condition: Column, name: str) -> Column:
 
 
 def job_metrics(outcomes: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
-    """Counts and rates of each job. ``loaded`` may give job_id and total_records.
+    """Counts and rates of each job. ``loaded`` may give job_id and total_records, the rows read.
 
-    ``escalated_count`` holds invoices not sent that need escalation.
+    Invoices that wait for a draft or a result are not processed yet. ``escalated_count`` holds
+    invoices not sent that need escalation.
     """
     status = F.col("send_status")
     metrics = outcomes.groupBy("job_id").agg(
-        F.count("*").alias("processed_count"),
+        F.count("*").alias("_outcomes"),
+        counted(status != "pending", "processed_count"),
         counted(status == "sent", "sent_count"),
         counted((status == "not_sent") & F.col("escalation_required"), "escalated_count"),
         counted(status == "failed", "failed_count"),
@@ -28,9 +30,9 @@ def job_metrics(outcomes: DataFrame, loaded: DataFrame | None = None) -> DataFra
         F.sum(F.col("retry_count").cast("long")).alias("total_retries"),
     )
     if loaded is None:
-        metrics = metrics.withColumn("total_records", F.col("processed_count"))
+        metrics = metrics.withColumnRenamed("_outcomes", "total_records")
     else:
-        metrics = loaded.join(metrics, "job_id", "left").na.fill(0)
+        metrics = loaded.join(metrics.drop("_outcomes"), "job_id", "left").na.fill(0)
     return with_rates(metrics)
 
 

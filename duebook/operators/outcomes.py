@@ -40,6 +40,15 @@ def send_error_text(provider: Column, message: Column) -> Column:
     return F.concat(F.lit(start), provider, F.lit(middle), message, F.lit(end))
 
 
+def send_result(draft: Column, send: Column) -> tuple[Column, Column]:
+    """(went out, error text) of a send; without a draft nothing can go out."""
+    none = draft.isNull()
+    error = F.when(none, F.lit(fv.TEXT_NOTHING_TO_SEND)).when(
+        ~send["success"], send_error_text(send["provider"], send["message"])
+    )
+    return ~none & send["success"], error
+
+
 def _without_draft(rows: DataFrame) -> DataFrame:
     """Invoices that get no e-mail: not overdue, or too late for one."""
     late = F.col("route") == "escalation"
@@ -94,7 +103,7 @@ def _with_draft(
         .when(state == "awaiting_draft", F.lit("awaiting_draft"))
         .when(state == "exhausted", F.lit("escalated_draft"))
         .when(F.col("_send").isNull(), F.lit("awaiting_send"))
-        .when(F.col("_send.success"), F.lit("sent"))
+        .when(send_result(F.col("draft"), F.col("_send"))[0], F.lit("sent"))
         .otherwise(F.lit("send_failed"))
     )
     rows = rows.withColumns({"outcome": outcome, "_start": F.col("retry_count")})
@@ -117,9 +126,7 @@ def _with_draft(
             "send_error": F.when(tried == "failed", F.col("attempt_error"))
             .when(broken, F.col("draft_feedback"))
             .when(escalated, escalation_reason(F.col("days_overdue"), rejected))
-            .when(
-                result == "send_failed", send_error_text(F.col("_send.provider"), F.col("_send.message"))
-            )
+            .when(result == "send_failed", send_result(F.col("draft"), F.col("_send"))[1])
             .otherwise(F.lit("")),
             "escalation_required": escalated,
             "retry_count": F.when(broken, F.lit(0)).when(waiting, F.col("_start")).otherwise(rejected),

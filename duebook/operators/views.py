@@ -123,7 +123,9 @@ def filter_options(table: DataFrame, column: str) -> DataFrame:
     )
 
 
-def preview(table: DataFrame, rows: int = 5) -> DataFrame:
+def preview(table: DataFrame, rows: int = 5, order_by: tuple[str, ...] = ()) -> DataFrame:
+    """5 to 100 rows of a table: the first ones in an order, or any."""
+    table = table.orderBy(*order_by) if order_by else table
     return table.limit(min(max(rows, 5), 100))
 
 

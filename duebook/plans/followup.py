@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duebook.operators.audit import first_per_key
-from duebook.operators.failures import upsert_failures
+from duebook.operators.audit import new_audit_rows
+from duebook.operators.failures import resolve_settled, upsert_failures
 from duebook.operators.metrics import job_metrics
 from duebook.operators.normalize import normalize_invoices, split_faulty, stage_invoices
 from duebook.operators.outcomes import (
@@ -22,7 +22,8 @@ from duebook.operators.outcomes import (
 )
 from duebook.schemas import AUDIT, FAILED
 from duebook.sources.files import replace_email_log
-from duebook.sources.tables import PartitionedTable, SnapshotTable
+from duebook.session import write_and_read
+from duebook.sources.tables import PartitionedTable, SnapshotTable, clear_jobs
 
 
 @dataclass
@@ -60,7 +61,7 @@ def follow_up(
     date_mode: str = "dayfirst",
     on_bad_date: str = "quarantine",
 ) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, quarantined rows) as one lazy plan."""
+    """(outcomes, quarantined rows). Crowded invoice numbers are looked for while the plan is made."""
     good, faulty = split_faulty(normalize_invoices(raw, date_mode), on_bad_date)
     staged = stage_invoices(good, F.lit(as_of))
     return decide_outcomes(staged, drafts, send_results, attempts), faulty
@@ -79,21 +80,29 @@ def run_follow_up(
 ) -> DataFrame:
     """Run the jobs in ``raw`` and write all their tables; returns the metrics per job.
 
-    Outcomes are written once, one folder per job, and the audit, queue, e-mail log and metrics
-    are read from that table with the columns each needs. Running a job again replaces its rows;
-    a job whose rows are all gone from a table keeps the ones it had there.
+    Outcomes are written once, one folder per job, and the other tables are made from the folders of
+    the jobs in the run, so what earlier jobs left is not read. Running a job again replaces its
+    outcomes, quarantine and e-mail log, also where it has no rows any more; audit rows are only
+    ever added, the first of a key stays; queue entries that no longer fail are resolved.
     """
     outcomes, faulty = follow_up(
         raw, drafts, as_of, send_results, attempts, date_mode, on_bad_date
     )
     moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     table = store.outcomes(outcomes.select(*OUTCOME_COLUMNS).schema)
-    jobs = raw.select(F.col("job_id").cast("long")).distinct()
+    quarantine = store.quarantine(faulty.schema)
+    loaded = raw.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count("*").alias("total_records"))
+    loaded = write_and_read(loaded, "loaded")
+    jobs = [row["job_id"] for row in loaded.select("job_id").collect()]
+    table.clear(jobs)
     table.replace(outcomes)
-    store.quarantine(faulty.schema).replace(faulty)
-    written = table.read().join(jobs, "job_id", "left_semi")
-
-    store.audit.replace(first_per_key(audit_rows(written, moment), ["created_at", "client"]))
-    store.queue.write(upsert_failures(store.queue.read(), queue_rows(written, moment)))
+    quarantine.clear(jobs)
+    quarantine.replace(faulty)
+    written = table.read(jobs)
+
+    store.audit.append(new_audit_rows(audit_rows(written, moment), store.audit.read(jobs)))
+    queue = upsert_failures(store.queue.read(), queue_rows(written, moment))
+    store.queue.write(resolve_settled(queue, written, moment))
+    clear_jobs(store.spark, store.email_log, jobs)
     replace_email_log(email_log_rows(written, moment, ("job_id",)), store.email_log)
-    return job_metrics(written)
+    return job_metrics(written, loaded)

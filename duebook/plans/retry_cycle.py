@@ -38,11 +38,13 @@ def run_retry_cycle(
     now: dt.datetime,
     send_results: DataFrame | None = None,
     attempts: DataFrame | None = None,
-    limit: int | None = fv.RETRY_BATCH,
+    limit: int | None = None,
     restage_at: dt.date | None = None,
 ) -> DataFrame:
     """Run one cycle and write audit and queue; returns the unreadable entries.
 
+    All due entries are tried; ``limit`` takes only the oldest ones, as a paced worker does.
+
     Outcomes that still wait for a draft or a result leave their entry untouched. Metrics of the
     first run are not changed by retries.
     """
@@ -51,6 +53,7 @@ def run_retry_cycle(
     due = due_failures(queue, moment, limit)
     outcomes, broken = retry_outcomes(due, drafts, send_results, attempts, restage_at)
     settled = write_and_read(outcomes.filter(F.col("send_status") != "pending"), "retry-outcomes")
-    store.audit.append(new_audit_rows(audit_rows(settled, moment), store.audit.read(), ["client"]))
+    jobs = [row["job_id"] for row in settled.select("job_id").distinct().collect()]
+    store.audit.append(new_audit_rows(audit_rows(settled, moment), store.audit.read(jobs)))
     store.queue.write(apply_results(queue, settled, moment))
     return broken

@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ONE_GIB = 1 << 30
+CHUNK = 8192
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        hashes = []
+        for path in batch.column(0).to_pylist():
+            uri = "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+            system, place = fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            hashes.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes)], names=["file_path", "length", "file_hash"])
 
 
-def file_fingerprints(spark: SparkSession, path: str, hash_up_to: int = ONE_GIB) -> DataFrame:
+def file_fingerprints(spark: SparkSession, path: str, whole_up_to: int = ONE_GIB) -> DataFrame:
     """file_path, length and file_hash (SHA-256 of the bytes) of every file.
 
-    Hashing holds a file in one task, so files beyond ``hash_up_to`` bytes are identified by path,
-    length and time of change instead; ``hashed`` tells which.
+    The hash is that of the content at every size. Files up to ``whole_up_to`` bytes are read as one
+    value; larger ones, which a row can't hold, are read in their task in chunks of 8 KiB.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.filter(F.col("length") <= hash_up_to).select(
-        F.col("path").alias("file_path"),
-        "length",
-        F.sha2("content", 256).alias("file_hash"),
-        F.lit(True).alias("hashed"),
-    )
-    stamp = F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))
-    large = files.filter(F.col("length") > hash_up_to).select(
-        F.col("path").alias("file_path"),
-        "length",
-        F.sha2(stamp, 256).alias("file_hash"),
-        F.lit(False).alias("hashed"),
-    )
-    return small.unionByName(large)
+    named = [F.col("path").alias("file_path"), F.col("length")]
+    small = files.filter(F.col("length") <= whole_up_to).select(*named, F.sha2("content", 256).alias("file_hash"))
+    large = files.filter(F.col("length") > whole_up_to).select(*named)
+    streamed = large.mapInArrow(_streamed, "file_path string, length long, file_hash string")
+    return small.unionByName(streamed)

@@ -69,16 +69,18 @@ def read_invoice_csv(
     return _null_tokens(rows, null_tokens)
 
 
-def read_mixed_csv(
-    spark: SparkSession, path: str, max_columns: int = 32, null_tokens: tuple[str, ...] = ()
-) -> DataFrame:
-    """Read a folder of invoice files that each have their own column order.
-
-    Each file's header is the row holding all required names; its cells say which column is
-    which. The headers, one row per file, are joined back on the file. Files without such a row
-    give no rows.
-    """
-    cells = [f"_c{i}" for i in range(max_columns)]
+def _header_width(spark: SparkSession, path: str) -> int:
+    """Cells of the widest line that holds all required names; 0 if there is none."""
+    lines = spark.read.text(path)
+    for name in fv.REQUIRED_COLUMNS:
+        lines = lines.filter(F.col("value").contains(name))
+    commas = F.length("value") - F.length(F.replace(F.col("value"), F.lit(","), F.lit("")))
+    return lines.agg(F.coalesce(F.max(commas + 1), F.lit(0))).first()[0]
+
+
+def _cell_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of all files as arrays of cells, the header of each file that has one)."""
+    cells = [f"_c{i}" for i in range(max(_header_width(spark, path), len(fv.REQUIRED_COLUMNS)))]
     rows = (
         spark.read.schema(header_schema(cells)).option("escape", '"').csv(path)
         .select(
@@ -86,11 +88,30 @@ def read_mixed_csv(
             F.array(*[F.trim(F.col(c)) for c in cells]).alias("cells"),
         )
     )
-    is_header = F.size(F.array_intersect("cells", F.array(*[F.lit(c) for c in fv.REQUIRED_COLUMNS]))) == len(
-        fv.REQUIRED_COLUMNS
-    )
+    required = F.array(*[F.lit(c) for c in fv.REQUIRED_COLUMNS])
+    is_header = F.size(F.array_intersect("cells", required)) == len(fv.REQUIRED_COLUMNS)
     headers = rows.filter(is_header).groupBy("file_path").agg(F.min("cells").alias("names"))
-    found = rows.filter(~is_header).join(headers, "file_path")
+    return rows.filter(~is_header), headers
+
+
+def headless_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder without a row that holds all required names: they give no invoices."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_path"), "length")
+    return files.join(_cell_rows(spark, path)[1], "file_path", "left_anti")
+
+
+def read_mixed_csv(
+    spark: SparkSession, path: str, null_tokens: tuple[str, ...] = ()
+) -> DataFrame:
+    """Read a folder of invoice files that each have their own column order.
+
+    Each file's header is the row holding all required names; its cells say which column is
+    which. The headers, one row per file, are joined back on the file. Rows are read as wide as
+    the widest header. Files without a header are listed by ``headless_files``.
+    """
+    rows, headers = _cell_rows(spark, path)
+    found = rows.join(headers, "file_path")
+
     def cell(name: str):
         value = F.element_at("cells", F.array_position("names", name).cast("int"))
         return F.when(~value.isin(*null_tokens), value) if null_tokens else value

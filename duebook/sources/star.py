@@ -160,18 +160,14 @@ def drafts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of a user as attempts on that user's invoice, in order of time.
-
-    Only the first attempts allowed are numbered, and the numbering is cut to them in every task
-    before the shuffle.
-    """
+    """Events of a user as attempts on that user's invoice, in order of time."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, folder, "events").withColumn("place", F.row_number().over(order))
     failed = F.col("event_type").isin("error", "click", "view")
     message = F.element_at(
         F.array(*[F.lit(t) for t in ERROR_TEXTS]), (F.col("event_id") % 10 + 1).cast("int")
     )
-    return rows.filter(F.col("place") <= fv.MAX_ATTEMPTS).select(
+    return rows.select(
         (F.col("user_id") % JOBS).alias("job_id"),
         F.concat(F.lit("INV-"), F.col("user_id").cast("string")).alias("invoice_no"),
         (F.col("place") - 1).cast("int").alias("attempt"),
@@ -228,6 +224,20 @@ def job_events(spark: SparkSession, folder: str) -> DataFrame:
     return base.select("job_id", F.inline(events))
 
 
+def invoices_faulty(spark: SparkSession, folder: str) -> DataFrame:
+    """The balanced invoices, every nineteenth without a client, so that it is quarantined."""
+    blank = F.col("o_orderkey") % 19 == 4
+    return invoices_balanced(spark, folder).withColumn(
+        "client_name", F.when(blank, F.lit(" ")).otherwise(F.col("client_name"))
+    )
+
+
+def invoices_sharing_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The balanced invoices, with one number for each three order numbers of a job."""
+    shared = F.floor(F.col("o_orderkey") / (3 * JOBS)).cast("string")
+    return invoices_balanced(spark, folder).withColumn("invoice_number", F.concat(F.lit("INV-"), shared))
+
+
 def failed_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Every invoice as a queue entry, in all states of the retry cycle."""
     rows = staged(spark, folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -11,15 +12,23 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def clear_jobs(spark: SparkSession, path: str, jobs: list, by: str = "job_id") -> None:
+    """Remove the folders of some jobs from a table kept in one folder per job."""
+    for job in jobs:
+        folder, fs = _file_system(spark, f"{path}/{by}={job}")
+        fs.delete(folder, True)
+
+
 class SnapshotTable:
     """A table rewritten as a whole: each version in a folder of its own.
 
     A version counts once Spark has marked its folder as complete, so a run that dies halfway
-    leaves the version before it in force, and no folder being read is written to.
+    leaves the version before it in force, and no folder being read is written to. The last
+    ``keep`` versions stay, for those who still read them; older ones are removed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 3):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
 
     def versions(self) -> list[int]:
         folder, fs = _file_system(self.spark, self.path)
@@ -45,6 +54,9 @@ class SnapshotTable:
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
             f"{self.path}/v{version}"
         )
+        for old in versions[: max(0, len(versions) + 1 - self.keep)]:
+            folder, fs = _file_system(self.spark, f"{self.path}/v{old}")
+            fs.delete(folder, True)
         return version
 
 
@@ -59,11 +71,17 @@ class PartitionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, by: str = "job_id"):
         self.spark, self.path, self.schema, self.by = spark, path, schema, by
 
-    def read(self) -> DataFrame:
+    def read(self, only: list | None = None) -> DataFrame:
+        """All rows, or those of some jobs, of which only the folders are read."""
         folder, fs = _file_system(self.spark, self.path)
         if not fs.exists(folder):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.fieldNames())
+        rows = self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.fieldNames())
+        return rows if only is None else rows.filter(F.col(self.by).isin(*only))
+
+    def clear(self, jobs: list) -> None:
+        """Remove all rows of some jobs."""
+        clear_jobs(self.spark, self.path, jobs, self.by)
 
     def replace(self, rows: DataFrame) -> None:
         rows.select(*self.schema.fieldNames()).hint("rebalance", self.by).write.mode("overwrite").option(

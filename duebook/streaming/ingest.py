@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from duebook.operators.audit import AUDIT_KEY, first_per_key, same_key
 from duebook.operators.normalize import normalize_invoices, split_faulty, stage_invoices
-from duebook.operators.outcomes import audit_rows, decide_outcomes
+from duebook.operators.outcomes import audit_rows, decide_outcomes, email_log_rows, queue_rows
 from duebook.schemas import AUDIT
 from duebook.sources.invoice_csv import header_schema
 
@@ -32,6 +32,9 @@ def _batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id:012d}"
 
 
+SINKS = ("outcomes", "quarantine", "audit", "queue", "email_log")
+
+
 def stream_follow_up(
     invoices: DataFrame,
     drafts: DataFrame,
@@ -40,20 +43,31 @@ def stream_follow_up(
     as_of: dt.date,
     now: dt.datetime,
     send_results: DataFrame | None = None,
+    attempts: DataFrame | None = None,
     date_mode: str = "dayfirst",
 ) -> StreamingQuery:
-    """Decide every arriving invoice and write its audit row.
+    """Decide every arriving invoice and write where it ends up.
 
-    Each micro-batch owns one folder and overwrites it, so a batch run again after a failure
-    leaves the same rows. Ends when the files present have been read.
+    Every invoice is in ``outcomes`` or ``quarantine``; audit rows, queue entries and the e-mail log
+    are made from the outcomes as written. Each micro-batch owns one folder per sink and overwrites
+    it, so a batch run again after a failure leaves the same rows. Ends when the files present have
+    been read.
     """
-    moment = now.strftime("%Y-%m-%d %H:%M:%S")
+    moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
     def settle(batch: DataFrame, batch_id: int) -> None:
-        good, _ = split_faulty(normalize_invoices(batch, date_mode))
-        outcomes = decide_outcomes(stage_invoices(good, F.lit(as_of)), drafts, send_results)
-        rows = audit_rows(outcomes, F.lit(moment).cast("timestamp"))
-        rows.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        def write(rows: DataFrame, sink: str) -> str:
+            folder = _batch_folder(f"{out}/{sink}", batch_id)
+            rows.write.mode("overwrite").parquet(folder)
+            return folder
+
+        good, faulty = split_faulty(normalize_invoices(batch, date_mode))
+        decided = decide_outcomes(stage_invoices(good, F.lit(as_of)), drafts, send_results, attempts)
+        outcomes = batch.sparkSession.read.schema(decided.schema).parquet(write(decided, "outcomes"))
+        write(faulty, "quarantine")
+        write(audit_rows(outcomes, moment), "audit")
+        write(queue_rows(outcomes, moment), "queue")
+        write(email_log_rows(outcomes, moment, ("job_id",)), "email_log")
 
     return (
         invoices.writeStream.foreachBatch(settle)
@@ -63,6 +77,13 @@ def stream_follow_up(
     )
 
 
+def read_sink(spark: SparkSession, out: str, sink: str) -> DataFrame:
+    """All rows a stream has written to one of its sinks."""
+    if sink not in SINKS:
+        raise ValueError(f"no such sink: {sink}")
+    return spark.read.parquet(f"{out}/{sink}").drop("batch")
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_WITH_BATCH).parquet(path).select(*AUDIT.fieldNames())
 

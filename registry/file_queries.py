@@ -63,9 +63,48 @@ def invoices_per_file(spark, folder):
     return named.groupBy("job_id").agg(F.count("*").alias("invoices"))
 
 
-@query()
+@query(
+    "SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS length, sha256(text || chr(10)) AS file_hash FROM documents"
+)
 def file_fingerprints(spark, folder):
-    return fingerprints.file_fingerprints(spark, folder)
+    """Every document as a file of its own; files over 4000 bytes are hashed chunk by chunk."""
+    path = fresh_dir(spark, "document-files")
+    docs = star.table(spark, folder, "documents").select("text", "doc_id")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    prints = fingerprints.file_fingerprints(spark, path, whole_up_to=4000)
+    return prints.filter(F.col("file_path").endswith(".txt")).select(
+        F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "length", "file_hash"
+    )
+
+
+_WIDE = 36
+
+
+@query(_ACCEPTED.replace("job_id, ", ""))
+def wide_invoice_files(spark, folder):
+    """Files in which 36 other columns stand before the required ones."""
+    path = fresh_dir(spark, "wide-files")
+    rows = star.invoices_text(spark, folder)
+    others = [F.lit(f"n{k}").alias(f"note_{k}") for k in range(_WIDE)]
+    files.export_csv(rows.select(*others, *invoice_csv.fv.REQUIRED_COLUMNS), path)
+    return _accepted(invoice_csv.read_mixed_csv(spark, path)).drop("job_id")
+
+
+@query(
+    f"SELECT CAST(o_custkey % {star.JOBS} AS BIGINT) AS job_id, 'invoices' AS kind, count(*) AS n FROM orders GROUP BY ALL "
+    f"UNION ALL SELECT DISTINCT CAST(o_custkey % {star.JOBS} AS BIGINT), 'headless', 0 FROM orders WHERE o_custkey % {star.JOBS} % 2 = 1"
+)
+def headless_files(spark, folder):
+    """Files of even jobs have a header, odd ones a file without one beside it."""
+    path = fresh_dir(spark, "headless-files")
+    rows = star.invoices_text(spark, folder).withColumn("part", F.col("job_id")).repartition("part")
+    rows.write.partitionBy("part").option("header", True).csv(path)
+    odd = rows.filter("job_id % 2 = 1").select("due_date", "part").distinct()
+    odd.withColumn("due_date", F.lit("x")).distinct().write.mode("append").partitionBy("part").csv(path)
+    part = F.regexp_extract("file_path", r"part=(\d+)", 1).cast("long").alias("job_id")
+    read = invoice_csv.read_mixed_csv(spark, f"{path}/*").groupBy(part).agg(F.count("*").alias("n"))
+    lacking = invoice_csv.headless_files(spark, f"{path}/*").select(part, F.lit("headless").alias("kind"), F.lit(0).alias("n"))
+    return read.select("job_id", F.lit("invoices").alias("kind"), "n").unionByName(lacking)
 
 
 @query(q.EMAIL_LOG_SQL)
@@ -83,13 +122,18 @@ def exported_jobs(spark, folder):
     return spark.read.option("header", True).schema("id STRING, file_hash STRING, status STRING").csv(path)
 
 
-def _run(spark, folder, times=1):
+def _run(spark, folder, runs=("sends",), raw=None, between=None):
+    """Runs one after the other, each with the send results or dry."""
     store = Store(spark, fresh_dir(spark, "store"))
     drafts = write_and_read(star.drafts(spark, folder), "drafts")
     sends = star.send_results(spark, folder)
-    raw = star.invoices_balanced(spark, folder).drop("o_orderkey")
-    for _ in range(times):
-        metrics = run_follow_up(store, raw, drafts, star.AS_OF, star.NOW, sends)
+    raw = (star.invoices_balanced(spark, folder) if raw is None else raw).drop("o_orderkey")
+    for k, kind in enumerate(runs):
+        if k and between:
+            between(store)
+        metrics = run_follow_up(
+            store, raw, drafts, star.AS_OF, star.NOW, sends if kind == "sends" else None
+        )
     return store, drafts, sends, metrics
 
 
@@ -102,7 +146,72 @@ def follow_up_run(spark, folder):
     f"SELECT * REPLACE (CAST({TIME} AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount) FROM audit"
 )
 def audit_after_rerun(spark, folder):
-    return _run(spark, folder, times=2)[0].audit.read()
+    return _run(spark, folder, ("sends", "sends"))[0].audit.read()
+
+
+@query(
+    """SELECT job_id, invoice_no, CASE outcome WHEN 'send_failed' THEN 'resolved' ELSE 'pending' END AS status,
+      send_error AS error_message FROM outcomes WHERE send_status = 'failed'"""
+)
+def rerun_queue(spark, folder):
+    """The second run sends everything: only drafts that are no valid record still wait."""
+    store = _run(spark, folder, ("sends", "dry"))[0]
+    return store.queue.read().select("job_id", "invoice_no", "status", "error_message")
+
+
+@query(q.EMAIL_LOG_SQL)
+def rerun_email_log(spark, folder):
+    """The first run sends everything, the second one only what the results say."""
+    store = _run(spark, folder, ("dry", "sends"))[0]
+    return files.read_email_log(spark, store.email_log)
+
+
+@query(
+    f"""SELECT * REPLACE (CAST({TIME} AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount) FROM audit
+    UNION ALL SELECT * REPLACE (CAST({TIME} AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount,
+      CAST(retry_count + 100 AS INTEGER) AS retry_count) FROM audit"""
+)
+def rerun_keeps_retry_audit(spark, folder):
+    """Rows that retries have added between two runs are still there after the second."""
+
+    def retried(store):
+        rows = write_and_read(store.audit.read(), "retried")
+        store.audit.append(rows.withColumn("retry_count", F.col("retry_count") + 100))
+
+    return _run(spark, folder, ("sends", "sends"), between=retried)[0].audit.read()
+
+
+_PLACES = "SELECT *, o_orderkey % 19 = 4 AS faulty FROM outcomes"
+
+
+@query(
+    f"""SELECT job_id, count(*) AS total_records, count(*) FILTER (WHERE NOT faulty AND send_status <> 'pending') AS processed_count,
+      count(*) FILTER (WHERE NOT faulty AND send_status = 'sent') AS sent_count,
+      count(*) FILTER (WHERE NOT faulty AND send_status = 'failed') AS failed_count FROM ({_PLACES}) GROUP BY job_id"""
+)
+def metrics_with_quarantine(spark, folder):
+    """Invoices in quarantine and waiting ones are loaded, but not processed."""
+    metrics = _run(spark, folder, raw=star.invoices_faulty(spark, folder))[3]
+    return metrics.select("job_id", "total_records", "processed_count", "sent_count", "failed_count")
+
+
+@query(
+    """SELECT job_id, count(*) AS invoices, count(DISTINCT invoice_no) AS numbers FROM (
+      SELECT job_id, o_orderkey // 60 AS invoice_no FROM balanced_invoices) GROUP BY job_id"""
+)
+def duplicate_numbers_run(spark, folder):
+    """A run over invoices that share numbers keeps each of them, and the same ones when run again."""
+    raw = star.invoices_sharing_numbers(spark, folder)
+    once = _run(spark, folder, raw=raw)[0]
+    twice = _run(spark, folder, ("sends", "sends"), raw=raw)[0]
+    rows = once.outcomes(_outcome_schema(spark, folder)).read()
+    different = once.audit.read().exceptAll(twice.audit.read()).limit(1)
+    counts = rows.groupBy("job_id").agg(F.count("*").alias("invoices"), F.countDistinct("invoice_no").alias("numbers"))
+    return counts.join(different.select(F.lit(True).alias("differs")), how="left").filter("differs IS NULL").drop("differs")
+
+
+def _outcome_schema(spark, folder):
+    return q._outcomes(spark, folder).schema
 
 
 @query(
@@ -123,12 +232,9 @@ def retry_cycle_run(spark, folder):
     )
 
 
-@query(
-    f"SELECT * REPLACE (CAST({TIME} AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount) FROM audit"
-)
-def streamed_follow_up(spark, folder):
+def _streamed(spark, folder, raw):
     source, out = fresh_dir(spark, "stream-in"), fresh_dir(spark, "stream-out")
-    raw = star.invoices_balanced(spark, folder).drop("o_orderkey")
+    raw = raw.drop("o_orderkey")
     raw.repartition(4, "invoice_number").write.option("header", True).csv(source)
     arriving = ingest.invoice_stream(spark, source, raw.columns, files_per_batch=2)
     ingest.stream_follow_up(
@@ -141,7 +247,34 @@ def streamed_follow_up(spark, folder):
         star.send_results(spark, folder),
         date_mode="iso",
     ).awaitTermination()
-    return ingest.read_batches(spark, out)
+    return out
+
+
+@query(
+    f"SELECT * REPLACE (CAST({TIME} AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount) FROM audit"
+)
+def streamed_follow_up(spark, folder):
+    out = _streamed(spark, folder, star.invoices_balanced(spark, folder))
+    return ingest.read_sink(spark, out, "audit")
+
+
+@query(
+    f"""SELECT job_id, invoice_no, CASE WHEN faulty THEN 'quarantined' ELSE outcome END AS place,
+      NOT faulty AND send_status = 'failed' AS queued, NOT faulty AND outcome = 'sent' AS logged FROM ({_PLACES})"""
+)
+def streamed_places(spark, folder):
+    """Where every invoice of a stream ends up, over all sinks."""
+    out = _streamed(spark, folder, star.invoices_faulty(spark, folder))
+    key = ["job_id", "invoice_no"]
+
+    def keys(sink, name):
+        return ingest.read_sink(spark, out, sink).select(*key).withColumn(name, F.lit(True))
+
+    places = ingest.read_sink(spark, out, "outcomes").select(*key, F.col("outcome").alias("place")).unionByName(
+        keys("quarantine", "place").withColumn("place", F.lit("quarantined"))
+    )
+    marked = places.join(keys("queue", "queued"), key, "left").join(keys("email_log", "logged"), key, "left")
+    return marked.na.fill(False, ["queued", "logged"])
 
 
 @query(f"SELECT DISTINCT job_id, invoice_no, send_status, retry_count FROM ({q._ARRIVALS})")

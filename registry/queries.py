@@ -293,8 +293,8 @@ def retry_schedule(spark, folder):
 
 
 @query(
-    "SELECT job_id, invoice_no, attempt, CAST(2 * pow(2, attempt) AS BIGINT) AS wait_seconds, "
-    "CAST(2 * (pow(2, attempt) - 1) AS BIGINT) AS waited_before FROM attempts"
+    "SELECT job_id, invoice_no, attempt, CAST(2 * pow(2, least(attempt, 61)) AS BIGINT) AS wait_seconds, "
+    "CAST(2 * (pow(2, least(attempt, 61)) - 1) AS BIGINT) AS waited_before FROM attempts"
 )
 def attempt_waits(spark, folder):
     return star.attempts(spark, folder).select(
@@ -443,10 +443,14 @@ def next_steps(spark, folder):
     )
 
 
-@query("SELECT job_id, invoice_no, draft_state, rejections, draft_feedback, draft_rule FROM revision_fold")
+@query(
+    "SELECT f.job_id, f.invoice_no, draft_state, rejections, draft_feedback, draft_rule, d.recipient, d.subject, "
+    "d.greeting, d.body, d.closing, d.tone FROM revision_fold f LEFT JOIN drafts d ON d.job_id = f.job_id "
+    "AND d.invoice_no = f.invoice_no AND d.revision = f.last_revision"
+)
 def revision_fold(spark, folder):
     return validation.fold_revisions(_mailed(spark, folder), star.drafts(spark, folder)).select(
-        "job_id", "invoice_no", "draft_state", "rejections", "draft_feedback", "draft_rule"
+        "job_id", "invoice_no", "draft_state", "rejections", "draft_feedback", "draft_rule", "draft.*"
     )
 
 
@@ -636,19 +640,19 @@ _QUEUE_TIMES = texts("next_retry_at", "created_at", "updated_at")
 
 @query(
     f"""SELECT * REPLACE {_QUEUE_TIMES} FROM (
-      SELECT q.job_id, q.invoice_no, CASE WHEN n.job_id IS NULL THEN q.error_type ELSE n.error_type END AS error_type,
+      SELECT coalesce(q.job_id, n.job_id) AS job_id, coalesce(q.invoice_no, n.invoice_no) AS invoice_no, CASE WHEN n.job_id IS NULL THEN q.error_type ELSE n.error_type END AS error_type,
         CASE WHEN n.job_id IS NULL THEN q.error_message ELSE n.error_message END AS error_message,
         CASE WHEN n.job_id IS NULL THEN q.retry_count ELSE n.retry_count END AS retry_count,
         CASE WHEN n.job_id IS NULL THEN q.max_retries ELSE n.max_retries END AS max_retries,
         CASE WHEN n.job_id IS NULL THEN q.next_retry_at ELSE n.next_retry_at END AS next_retry_at,
         CASE WHEN n.job_id IS NULL THEN q.status ELSE n.status END AS status,
-        q.created_at, CASE WHEN n.job_id IS NULL THEN q.updated_at ELSE n.updated_at END AS updated_at
-      FROM (SELECT * FROM queue) q LEFT JOIN ({_NEW_FAILED}) n ON n.job_id = q.job_id AND n.invoice_no = q.invoice_no)"""
+        coalesce(q.created_at, n.created_at) AS created_at, CASE WHEN n.job_id IS NULL THEN q.updated_at ELSE n.updated_at END AS updated_at
+      FROM (SELECT * FROM queue WHERE o_orderkey % 3 = 0) q FULL JOIN ({_NEW_FAILED}) n ON n.job_id = q.job_id AND n.invoice_no = q.invoice_no)"""
 )
 def queue_upsert(spark, folder):
-    return failures.upsert_failures(
-        star.failed_queue(spark, folder), _queue_rows(spark, folder)
-    ).drop("invoice_state_json")
+    """New failures meet a queue that has a third of the invoices, so some are changed and some come in."""
+    on_file = star.failed_queue(spark, folder).filter(_sequence().cast("long") % 3 == 0)
+    return failures.upsert_failures(on_file, _queue_rows(spark, folder)).drop("invoice_state_json")
 
 
 _DUE = f"SELECT {_QUEUE_COLUMNS} FROM queue WHERE status = 'pending' AND next_retry_at <= {TIME}"
@@ -1044,9 +1048,12 @@ def filter_options(spark, folder):
     return views.filter_options(_audit(spark, folder), "stage_key")
 
 
-@query()
+@query(
+    "SELECT job_id, invoice_no AS invoice_number, client AS client_name, contact_email AS recipient_email, "
+    "amount_text AS amount, due_text AS due_date, o_orderkey FROM text_invoices ORDER BY job_id, invoice_no LIMIT 20"
+)
 def preview(spark, folder):
-    return views.preview(star.invoices_text(spark, folder), 20)
+    return views.preview(star.invoices_text(spark, folder), 20, ("job_id", "invoice_number"))
 
 
 # --- profile and quality ----------------------------------------------------------------------
@@ -1097,9 +1104,13 @@ def column_profile(spark, folder):
     return profiling.column_profile(_loose(spark, folder))
 
 
-@query("SELECT job_id, invoice_no, count(*) AS copies FROM attempts GROUP BY ALL HAVING count(*) > 1")
+@query(
+    f"""SELECT job_id, 'INV-' || (o_orderkey // {3 * star.JOBS}) AS invoice_no, count(*) AS copies
+    FROM balanced_invoices GROUP BY ALL HAVING count(*) > 1"""
+)
 def duplicate_invoices(spark, folder):
-    return normalize.duplicate_invoices(star.attempts(spark, folder))
+    rows = normalize.normalize_invoices(star.invoices_sharing_numbers(spark, folder))
+    return normalize.duplicate_invoices(rows)
 
 
 def _rule(table, name, rule, condition):

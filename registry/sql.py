@@ -247,8 +247,7 @@ CTES: dict[str, str] = {
     "attempts": f"""
     SELECT user_id % {JOBS} AS job_id, 'INV-' || user_id AS invoice_no, CAST(place - 1 AS INTEGER) AS attempt,
       CASE WHEN event_type IN ('error', 'click', 'view') THEN {_errors}[event_id % 10 + 1] END AS error_message
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)
-    WHERE place <= 5""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)""",
     "attempt_fold": f"""
     SELECT job_id, invoice_no,
       CASE WHEN ending IS NULL THEN 'in_flight' WHEN error_message IS NULL THEN 'succeeded' ELSE 'failed' END AS attempt_state,
@@ -260,7 +259,7 @@ CTES: dict[str, str] = {
     FROM (SELECT k.*, a.error_message FROM (
         SELECT job_id, invoice_no, max(attempt) AS newest,
           min(attempt) FILTER (WHERE error_message IS NULL OR NOT {retryable('error_message')} OR attempt = 4) AS ending
-        FROM attempts GROUP BY ALL) k
+        FROM attempts WHERE attempt < 5 GROUP BY ALL) k
       LEFT JOIN attempts a ON a.job_id = k.job_id AND a.invoice_no = k.invoice_no AND a.attempt = k.ending)""",
     "send_results": f"""
     SELECT o_custkey % {JOBS} AS job_id, 'INV-' || o_orderkey AS invoice_no, o_orderkey % 11 <> 0 AS success,
@@ -320,12 +319,13 @@ CTES: dict[str, str] = {
       send_status, send_error AS error_message, retry_count, max_retries
     FROM outcomes WHERE outcome NOT IN ('attempt_failed', 'awaiting_draft')""",
     "metrics": f"""
-    SELECT *, processed_count AS total_records, processed_count - failed_count AS successful_count,
+    SELECT *, processed_count - failed_count AS successful_count,
       {percent('processed_count - failed_count', 'processed_count', 2)} AS success_rate,
       {percent('failed_count', 'processed_count', 2)} AS failure_rate,
       {percent('escalated_count', 'processed_count', 2)} AS escalation_rate,
       {two_digits('total_retries::DOUBLE / processed_count')} AS average_retries
-    FROM (SELECT job_id, count(*) AS processed_count, count(*) FILTER (WHERE send_status = 'sent') AS sent_count,
+    FROM (SELECT job_id, count(*) AS total_records, count(*) FILTER (WHERE send_status <> 'pending') AS processed_count,
+        count(*) FILTER (WHERE send_status = 'sent') AS sent_count,
         count(*) FILTER (WHERE send_status = 'not_sent' AND escalation_required) AS escalated_count,
         count(*) FILTER (WHERE send_status = 'failed') AS failed_count, count(*) FILTER (WHERE send_status = 'not_sent') AS not_sent_count,
         CAST(sum(retry_count) AS BIGINT) AS total_retries

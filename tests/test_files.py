@@ -63,9 +63,8 @@ def test_mixed_column_orders(spark, tmp_path):
 def test_fingerprints(spark, tmp_path):
     write(tmp_path / "a.csv", "abc")
     write(tmp_path / "b.csv", "x" * 100)
-    got = {r.length: (r.file_hash, r.hashed) for r in fingerprints.file_fingerprints(spark, str(tmp_path), hash_up_to=50).collect()}
-    assert got[3] == (hashlib.sha256(b"abc").hexdigest(), True)
-    assert got[100][1] is False and len(got[100][0]) == 64
+    got = {r.length: r.file_hash for r in fingerprints.file_fingerprints(spark, str(tmp_path), whole_up_to=50).collect()}
+    assert got == {3: hashlib.sha256(b"abc").hexdigest(), 100: hashlib.sha256(b"x" * 100).hexdigest()}
 
 
 def test_email_log_keeps_its_text(spark, tmp_path):
