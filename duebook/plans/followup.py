@@ -20,7 +20,7 @@ from duebook.operators.outcomes import (
     email_log_rows,
     queue_rows,
 )
-from duebook.schemas import AUDIT, FAILED
+from duebook.schemas import AUDIT, FAILED, JOB_EVENTS, METRICS
 from duebook.sources.files import replace_email_log
 from duebook.session import write_and_read
 from duebook.sources.tables import PartitionedTable, SnapshotTable, clear_jobs
@@ -47,6 +47,14 @@ class Store:
     def quarantine(self, schema: T.StructType) -> PartitionedTable:
         return PartitionedTable(self.spark, f"{self.root}/quarantine", schema)
 
+    @property
+    def job_events(self) -> PartitionedTable:
+        return PartitionedTable(self.spark, f"{self.root}/job_events", JOB_EVENTS)
+
+    @property
+    def metrics(self) -> PartitionedTable:
+        return PartitionedTable(self.spark, f"{self.root}/metrics", METRICS)
+
     @property
     def email_log(self) -> str:
         return f"{self.root}/email_log"

@@ -64,6 +64,10 @@ FAILED = _row(
     retry_count="int", max_retries="int", next_retry_at="timestamp", status="string",
     created_at="timestamp", updated_at="timestamp",
 )
+METRICS = _row(
+    job_id="long", total_records="long", processed_count="long", sent_count="long",
+    escalated_count="long", failed_count="long",
+)
 INVOICE_STATE = _row(
     invoice=_row(
         invoice_no="string", client="string", amount="money", due_date="string",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duebook.operators import audit, ledger, normalize, views
+from duebook.plans import upload
 from duebook.plans.followup import Store, run_follow_up
 from duebook.plans.retry_cycle import run_retry_cycle
 from duebook.schemas import AUDIT
@@ -232,6 +233,63 @@ def retry_cycle_run(spark, folder):
     )
 
 
+def _uploads(spark, folder):
+    """One file per job; that of job 3 has bad dates, and that of job 5 is there twice."""
+    path = fresh_dir(spark, "uploads")
+    key = F.col("o_orderkey")
+    late = (F.col("job_id") == 3) & (key % 7 == 0)
+    rows = star.invoices_balanced(spark, folder).withColumns(
+        {
+            "due_date": F.when(late, F.lit("not a date")).otherwise(F.col("due_date").cast("string")),
+            "part": F.explode(
+                F.when(F.col("job_id") == 5, F.array(F.lit(5), F.lit(50))).otherwise(F.array(F.col("job_id").cast("int")))
+            ),
+        }
+    )
+    rows.drop("job_id").repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey").write.partitionBy(
+        "part"
+    ).option("header", True).csv(path)
+    return f"{path}/*/*.csv"
+
+
+def _part():
+    return F.regexp_extract("file_path", r"part=(\d+)", 1).cast("int").alias("part")
+
+
+@query(
+    f"""SELECT CAST(job_id AS INTEGER) AS part, CASE WHEN job_id = 3 THEN 'failed' ELSE 'completed' END AS status,
+      CASE WHEN job_id = 3 THEN count(*) FILTER (WHERE o_orderkey % 7 = 0) || ' invoices have an unreadable due date' END AS error_message,
+      CASE WHEN job_id = 3 THEN 0 ELSE count(*) END AS total_records,
+      CASE WHEN job_id = 3 THEN 0 ELSE count(*) END AS processed_count,
+      CASE WHEN job_id = 3 THEN 0 ELSE count(*) FILTER (WHERE route = 'draft') END AS sent_count,
+      CASE WHEN job_id = 3 THEN 0 ELSE count(*) FILTER (WHERE route = 'escalation') END AS escalated_count,
+      CAST({TIME} AS VARCHAR) AS completed_at FROM staged GROUP BY job_id"""
+)
+def upload_run(spark, folder):
+    """The ledger after the files of a folder have run, dry, as jobs."""
+    store = Store(spark, fresh_dir(spark, "store"))
+    upload.run_uploads(store, _uploads(spark, folder), star.AS_OF, star.NOW, on_bad_date="fail", date_mode="iso")
+    return upload.ledger(store).select(
+        _part(), "status", "error_message", "total_records", "processed_count", "sent_count", "escalated_count", "completed_at"
+    )
+
+
+@query(
+    """SELECT CAST(part AS INTEGER) AS part, CASE part WHEN 3 THEN 'new' ELSE 'cached' END AS second,
+      CASE part WHEN 50 THEN 'in_progress' ELSE 'new' END AS first
+    FROM (SELECT DISTINCT job_id AS part FROM staged UNION ALL SELECT 50)"""
+)
+def upload_rerun(spark, folder):
+    """What is decided on the same files when they are new, and when they come again."""
+    store, path = Store(spark, fresh_dir(spark, "store")), _uploads(spark, folder)
+    first, second = (
+        upload.run_uploads(store, path, star.AS_OF, star.NOW, on_bad_date="fail", date_mode="iso") for _ in range(2)
+    )
+    return first.select(_part(), F.col("decision").alias("first")).join(
+        second.select(_part(), F.col("decision").alias("second")), "part"
+    )
+
+
 def _streamed(spark, folder, raw):
     source, out = fresh_dir(spark, "stream-in"), fresh_dir(spark, "stream-out")
     raw = raw.drop("o_orderkey")
@@ -307,6 +365,30 @@ def streamed_metrics(spark, folder):
     return live_metrics.metrics_table(spark, out, rows).read().select(*q._METRIC_COLUMNS.split(", "))
 
 
+@query(
+    f"""SELECT job_id, invoice_no, retry_count, epoch_ms({TIME} + {backoff('retry_count')}) AS next_retry_ms FROM queue"""
+)
+def streamed_due(spark, folder):
+    """Entries whose time has come are reported when the next batch arrives."""
+    source, out = fresh_dir(spark, "events-in"), fresh_dir(spark, "changes-out")
+    none = F.lit(None)
+    entered = star.failed_queue(spark, folder).select(
+        "job_id", "invoice_no", F.lit(0).cast("long").alias("seq"), F.lit("failure").alias("kind"),
+        star.now().alias("at"), none.cast("string").alias("send_status"), "error_message",
+        "retry_count", "max_retries",
+    )
+    later = spark.createDataFrame([(-1, "none", 0, "result", star.NOW, "sent", None, None, None)], retry_state.EVENTS)
+    entered.coalesce(1).write.parquet(source)
+    later.coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(retry_state.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    with retry_state.replay_settings(spark):
+        state = fresh_dir(spark, "retry-state")
+        retry_state.stream_retry_state(arriving, out, state).awaitTermination()
+    changes = spark.read.schema(retry_state.CHANGES).parquet(out)
+    due = changes.filter(F.col("change") == "due").select("job_id", "invoice_no", "retry_count", "next_retry_ms")
+    return due.distinct()
+
+
 @query(
     f"""SELECT job_id, invoice_no, CAST(n AS INTEGER) AS retry_count, max_retries,
       CASE WHEN hit AND failed THEN send_error ELSE error_message END AS error_message,
