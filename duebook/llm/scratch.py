@@ -15,10 +15,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, fresh_dir(spark, name)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         """Write a table and read it back, so that nothing before it is computed again."""
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -157,27 +157,29 @@ def decode_block(data: bytes, table: Table, checkpoint: int | None = None) -> np
 
 def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text: str, block_ids: int) -> DataFrame:
     """Documents in order of their id as blocks of plain ids: ``part``, ``block``, ``before`` (ids of the
-    part's earlier blocks), ``docs``, ``lengths``, ``ids``."""
+    part's earlier blocks), ``docs``, ``lengths``, ``ids``. The last row of a part has ``counts`` only: how
+    often each id occurs in the part."""
     kind = docs.schema[id_col].dataType
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         keys, lengths, parts, size = [], [], [], 0
+        counts = np.zeros(most, np.int64)
+        key_type = pa.list_(pa.int64() if kind.simpleString() in ("bigint", "int") else pa.string())
 
-        def whole() -> pa.RecordBatch:
-            key_type = pa.list_(pa.int64() if kind.simpleString() in ("bigint", "int") else pa.string())
+        def row(*values) -> pa.RecordBatch:
+            types = [pa.int32(), pa.int32(), pa.int64(), key_type, pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()),
-                    pa.array([block], pa.int32()),
-                    pa.array([before], pa.int64()),
-                    pa.array([keys], key_type),
-                    pa.array([lengths], pa.list_(pa.int64())),
-                    pa.array([b"".join(parts)], pa.binary()),
-                ],
-                names=["part", "block", "before", "docs", "lengths", "ids"],
+                [pa.array([v], t) for v, t in zip(values, types, strict=True)],
+                names=["part", "block", "before", "docs", "lengths", "ids", "counts"],
             )
 
+        def whole() -> pa.RecordBatch:
+            nonlocal counts
+            data = b"".join(parts)
+            counts += np.bincount(np.frombuffer(data, np.uint16 if small else np.uint32), minlength=most)
+            return row(part, block, before, keys, lengths, data, None)
+
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
             for key, ids in zip(batch.column(0), tokens.encode_stream(tokenizer_path, texts, end_id), strict=True):
@@ -191,10 +193,13 @@ def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
                     keys, lengths, parts, size = [], [], [], 0
         if keys:
             yield whole()
+        if counts.any():
+            yield row(part, None, None, None, None, None, counts.tobytes())
 
     from tokenizers import Tokenizer
 
-    small = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16
+    most = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
+    small = most <= 1 << 16
     key = F.col(id_col) if kind.simpleString() in ("bigint", "int") else F.col(id_col).cast("string")
     ordered = (
         docs.select(key.alias("doc"), F.col(text).alias("text"))
@@ -203,23 +208,24 @@ def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
     )
     key_kind = "long" if kind.simpleString() in ("bigint", "int") else "string"
     rows = ordered.mapInArrow(
-        dealt, f"part int, block int, before long, docs array<{key_kind}>, lengths array<long>, ids binary"
+        dealt,
+        f"part int, block int, before long, docs array<{key_kind}>, lengths array<long>, ids binary, counts binary",
     )
     return rows.withColumn("width", F.lit(2 if small else 4))
 
 
-def count_ids(blocks: DataFrame, most: int) -> np.ndarray:
-    """How often each id occurs in all blocks: summed by task, then by id."""
+def count_ids(parts: DataFrame, most: int) -> np.ndarray:
+    """How often each id occurs, from the counts of all parts: summed by task, then by id."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(most, np.int64)
         for batch in batches:
-            for data, width in zip(batch.column(0), batch.column(1), strict=True):
-                counts += np.bincount(np.frombuffer(data.as_py(), f"<u{width.as_py()}"), minlength=most)
+            for data in batch.column(0):
+                counts += np.frombuffer(data.as_py(), np.int64)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["id", "n"])
 
-    rows = blocks.select("ids", "width").mapInArrow(partial, "id long, n long")
+    rows = parts.select("counts").where("counts IS NOT NULL").mapInArrow(partial, "id long, n long")
     table = rows.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(most, np.int64)
     counts[table["id"].to_numpy(np.int64)] = table["n"]
@@ -244,7 +250,7 @@ def write_token_files(
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-blocks")
-    plain = scratch.put(_blocks(docs, tokenizer_path, end_id, id_col, text, block_ids), "plain")
+    plain = scratch.put(_blocks(docs, tokenizer_path, end_id, id_col, text, block_ids), "plain", "uncompressed")
     most = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     freq = scaled(count_ids(plain, most))
     found = np.flatnonzero(freq)
@@ -266,7 +272,7 @@ def write_token_files(
             )
 
     key_kind = plain.schema["docs"].dataType.simpleString()
-    plain.mapInArrow(
+    plain.where("ids IS NOT NULL").drop("counts").mapInArrow(
         coded, f"part int, block int, before long, docs {key_kind}, lengths array<bigint>, data binary"
     ).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     scratch.drop("plain")

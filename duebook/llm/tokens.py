@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer file, with the ids of frequent pieces of text kept.
 
-Byte-level BPE cuts a text before every run of blanks that follows something else, and between a
-letter and a full stop or comma, so a text's ids are those of its pieces, one after the other.
+Byte-level BPE cuts a text before every run of blanks that follows something else, and between
+letters and marks, so a text's ids are those of its pieces, one after the other.
 Pieces met before are looked up, others are encoded by the tokenizers library. Texts with rarer
 blanks, whose cuts depend on what stands next to them, are encoded whole.
 """
@@ -16,9 +16,12 @@ from collections.abc import Iterable, Iterator
 #: Between single blanks a text can be cut by ``split``; with runs of blanks, pieces are looked for.
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-OTHER_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Letters only: what the cutting pattern never cuts, so the model's merges can be asked for at once.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+OTHER_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+#: A line end, letters and marks: letters are never cut, nor are marks up to a blank, so the model's
+#: merges can be asked for at once. The apostrophe isn't among the marks, it starts pieces of its own.
+WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 LONGEST_KEPT = 40
 _ENCODERS: dict[tuple, Encoder] = {}
 
@@ -42,7 +45,7 @@ class _Pieces(dict):
         self.tokenizer, self.most, self.blank, self.old = tokenizer, most, blank, {}
         self.model = tokenizer.model
         self.letter_of = byte_letters()
-        self.marks = {mark: self._ids(mark) for mark in ".,"}
+        self.marks: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
@@ -55,14 +58,24 @@ class _Pieces(dict):
             spelled = "".join(map(self.letter_of.__getitem__, line.encode()))
         return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
+    def _mark_ids(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._ids(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = ids
+        return ids
+
     def _fresh(self, piece: str) -> bytes:
-        if piece[-1:] in self.marks and "a" <= piece[-2:-1] <= "z":
-            return self[piece[:-1]] + self.marks[piece[-1]]
-        if LETTERS.fullmatch(piece):
-            return self._merged(self.blank, piece)
-        if piece[:1] == "\n" and LETTERS.fullmatch(piece, 1):
-            return self.line_end + self._merged("", piece[1:])
-        return self._ids(piece if piece[:1] == "\n" else self.blank + piece)
+        word = WORD.fullmatch(piece)
+        if not word:
+            return self._ids(piece if piece[:1] == "\n" else self.blank + piece)
+        line, letters, marks = word.groups()
+        if line:
+            ids = self.line_end + self._merged("", letters)
+        else:
+            ids = self[letters] if marks else self._merged(self.blank, letters)
+        return ids + self._mark_ids(marks) if marks else ids
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -92,7 +105,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if OTHER_BLANKS.search(text):
+        if any(blank in text for blank in OTHER_BLANKS):
             return self.others._ids(text)
         if any(run in text for run in RUNS):
             return b"".join(map(self.others.__getitem__, PIECE.findall(text)))
