@@ -8,8 +8,9 @@ training tokens with V distinct ones, c occurrences weigh (c - D) / N and the su
 A text's probability is the product over its words and the end. These are probabilities: over all
 words and the end they add up to one. Beside it stands a base: the add-one unigram of words.
 
-Documents are packed into batches once. A batch asks for the counts of its distinct words, gets them
-back by a join, and scores its documents on its own; so words travel once per batch, not per use.
+Documents are packed into batches once. A batch asks for the counts and probabilities of its distinct
+words, gets them back by a join, and scores its documents on its own; so words travel once per batch,
+not per use, and only words that no training document has are segmented there.
 """
 
 from __future__ import annotations
@@ -158,6 +159,26 @@ def fit_pieces(
     return log_p
 
 
+def log_marginals(words: list[bytes], matcher: Matcher, log_p: np.ndarray) -> np.ndarray:
+    """The log probability of each word, summed over its segmentations."""
+    out = np.zeros(len(words))
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        edges = matcher.match(_units(words[at : at + WORDS_AT_ONCE]))
+        out[at : at + WORDS_AT_ONCE] = edges.totals(edges.forward(edges.weights(log_p)))
+    return out
+
+
+def with_marginals(words: DataFrame, matcher: Matcher, log_p: np.ndarray) -> DataFrame:
+    """The counted words with ``marginal``, so that a word is segmented once and not in each batch."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = log_marginals(batch.column(0).to_pylist(), matcher, log_p)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=["word", "c", "marginal"])
+
+    return words.select("word", "c").mapInArrow(marked, "word binary, c long, marginal double")
+
+
 def discount(once: int, twice: int) -> float:
     """What is taken from each count: by how many words occur once and twice, between 0.1 and 0.9."""
     return min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
@@ -200,6 +221,8 @@ def score(
     log_p = fit_pieces(words, matcher, rank_log_probabilities(vocabulary), rounds)
     taken = discount(sums["once"], sums["twice"])
     log_rest = float(np.log(taken * v / n)) if n else 0.0
+    words = scratch.put(with_marginals(words, matcher, log_p), "marginals")
+    scratch.drop()  # what the counting shuffled is no longer needed
     known = asked.select("batch", "word").join(words, "word")
     kind = rows.schema["doc"].dataType.simpleString()
     per_ten = 1 / np.log(10)
@@ -223,12 +246,11 @@ def score(
                 if word not in place:
                     place[word] = len(place)
         own = list(place)
-        c = np.zeros(len(own), np.int64)
-        c[[place[w] for w in counts["word"]]] = counts["c"].to_numpy()
-        whole = np.zeros(len(own))
-        for at in range(0, len(own), WORDS_AT_ONCE):
-            edges = matcher.match(_units(own[at : at + WORDS_AT_ONCE]))
-            whole[at : at + WORDS_AT_ONCE] = edges.totals(edges.forward(edges.weights(log_p)))
+        c, whole = np.zeros(len(own), np.int64), np.zeros(len(own))
+        found = [place[w] for w in counts["word"]]
+        c[found], whole[found] = counts["c"].to_numpy(), counts["marginal"].to_numpy()
+        new = np.flatnonzero(c == 0)
+        whole[new] = log_marginals([own[k] for k in new], matcher, log_p)
         base, end_base = base_of(c), float(base_of(ends))
         marginal = np.logaddexp(of_counts(c), log_rest + whole)
         log_end = float(of_counts(ends)) if ends else log_rest
