@@ -11,7 +11,7 @@ from duebook import schemas
 from duebook.operators import drafts, normalize, outcomes
 from duebook.plans.followup import Store, run_follow_up
 from duebook.plans.retry_cycle import run_retry_cycle
-from duebook.sources import files, fingerprints, invoice_csv
+from duebook.sources import files, fingerprints, invoice_csv, tables
 from duebook.sources.tables import SnapshotTable
 from registry import ORACLES, QUERIES
 from registry.check import compare, connect
@@ -108,7 +108,8 @@ def test_a_run_puts_every_invoice_in_one_place_and_can_be_repeated(spark, tmp_pa
         assert files.read_email_log(spark, store.email_log).count() == 27
         assert queue == {"N3": ("permanent", 5), "N5": ("retryable", 3)}
         assert {f"N{i}" for i in range(40)} == set(audit) | set(queue) | {"N4"}
-        assert (row.processed_count, row.sent_count, row.failed_count, row.not_sent_count, row.escalated_count) == (40, 27, 2, 10, 9)
+        assert (row.total_records, row.processed_count) == (40, 39)
+        assert (row.sent_count, row.failed_count, row.not_sent_count, row.escalated_count) == (27, 2, 10, 9)
     quarantine = store.quarantine(store.spark.read.parquet(f"{tmp_path}/quarantine").schema)
     assert quarantine.read().first().invoice_no == "N99"
 
@@ -142,3 +143,27 @@ def test_query_equals_its_sql(spark, name):
 def test_names_agree():
     assert set(ORACLES) <= set(QUERIES)
     assert duckdb.__version__
+
+
+def test_wide_and_headless_files(spark, tmp_path):
+    wide = ",".join(f"n{k}" for k in range(50))
+    write(tmp_path / "wide.csv", f"{wide},{HEAD.strip()}\n{wide},A,a@b.co,1,2,1 May 2026\n")
+    write(tmp_path / "none.csv", "1,2,3\n")
+    rows = invoice_csv.read_mixed_csv(spark, str(tmp_path)).collect()
+    assert [(r.client_name, r.due_date) for r in rows] == [("A", "1 May 2026")]
+    lacking = invoice_csv.headless_files(spark, str(tmp_path)).collect()
+    assert [r.file_path.rsplit("/", 1)[-1] for r in lacking] == ["none.csv"]
+
+
+def test_old_versions_go_and_jobs_are_cleared(spark, tmp_path):
+    schema = "job_id long, x int"
+    kind = spark.createDataFrame([], schema).schema
+    table = tables.SnapshotTable(spark, str(tmp_path / "s"), kind, keep=2)
+    for x in range(4):
+        table.write(spark.createDataFrame([(1, x)], schema))
+    assert table.versions() == [3, 4] and table.read().first().x == 3
+    jobs = tables.PartitionedTable(spark, str(tmp_path / "p"), kind)
+    jobs.append(spark.createDataFrame([(1, 1), (2, 2), (3, 3)], schema))
+    jobs.clear([1, 9])
+    assert sorted(r.job_id for r in jobs.read().collect()) == [2, 3]
+    assert [r.x for r in jobs.read([3]).collect()] == [3]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duebook import schemas
+from duebook.functions import errors
 from duebook.functions.text import payment_link
 from duebook.operators import (
     attempts,
@@ -14,6 +15,7 @@ from duebook.operators import (
     drafts,
     failures,
     ledger,
+    metrics,
     normalize,
     outcomes,
     profiling,
@@ -320,3 +322,42 @@ def test_email_views_keep_rows_without_a_stage(spark):
 def test_an_existing_link_is_kept(spark):
     row = spark.range(1).select(payment_link(F.lit("7"), F.lit("https://x")).alias("a"), payment_link(F.lit("7"), F.lit("")).alias("b")).first()
     assert (row.a, row.b) == ("https://x", "https://pay.company.com/7")
+
+
+def test_nothing_can_be_sent_without_a_draft(spark):
+    rows = spark.createDataFrame(
+        [(1, None, True), (2, "d", True), (3, "d", False)], "id int, draft string, ok boolean"
+    ).withColumn("send", F.struct(F.col("ok").alias("success"), F.lit("mailer").alias("provider"), F.lit("down").alias("message")))
+    went, error = outcomes.send_result(F.col("draft"), F.col("send"))
+    got = {r.id: (r.went, r.error) for r in rows.select("id", went.alias("went"), error.alias("error")).collect()}
+    assert got == {
+        1: (False, "No email draft available to send."),
+        2: (True, None),
+        3: (False, "Send failed via mailer: down"),
+    }
+
+
+def test_second_copy_of_a_file_is_in_progress(spark):
+    prints = spark.createDataFrame([("b", "h"), ("a", "h"), ("c", "k")], "file_path string, file_hash string")
+    jobs = spark.createDataFrame([(7, "k", "completed")], "id long, file_hash string, status string")
+    got = {r.file_path: (r.decision, r.existing_job_id) for r in ledger.ingest_decision(prints, jobs).collect()}
+    assert got == {"a": ("new", None), "b": ("in_progress", None), "c": ("cached", 7)}
+
+
+def test_waiting_invoices_are_not_processed(spark):
+    rows = spark.createDataFrame(
+        [(1, "sent", False, 0), (1, "pending", False, 0), (1, "failed", False, 0)],
+        "job_id long, send_status string, escalation_required boolean, retry_count int",
+    )
+    row = metrics.job_metrics(rows).first()
+    assert (row.total_records, row.processed_count, row.successful_count, row.success_rate) == (3, 2, 1, 50.0)
+    loaded = spark.createDataFrame([(1, 9), (2, 4)], "job_id long, total_records long")
+    got = {r.job_id: (r.total_records, r.processed_count) for r in metrics.job_metrics(rows, loaded).collect()}
+    assert got == {1: (9, 2), 2: (4, 0)}
+
+
+def test_waits_end_within_a_long(spark):
+    row = spark.range(1).select(
+        errors.wait_before_retry(F.lit(4)).alias("a"), errors.wait_before_retry(F.lit(500)).alias("b")
+    ).first()
+    assert row.a == 32 and row.b == 2**62
