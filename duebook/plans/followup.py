@@ -88,20 +88,25 @@ def run_follow_up(
 ) -> DataFrame:
     """Run the jobs in ``raw`` and write all their tables; returns the metrics per job.
 
+    Drafts, results and attempts are cut to the jobs of the run, a filter that reaches their scans.
     Outcomes are written once, one folder per job, and the other tables are made from the folders of
     the jobs in the run, so what earlier jobs left is not read. Running a job again replaces its
     outcomes, quarantine and e-mail log, also where it has no rows any more; audit rows are only
     ever added, the first of a key stays; queue entries that no longer fail are resolved.
     """
+    loaded = raw.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count("*").alias("total_records"))
+    loaded = write_and_read(loaded, "loaded")
+    jobs = [row["job_id"] for row in loaded.select("job_id").collect()]
+
+    def of_the_run(rows: DataFrame | None) -> DataFrame | None:
+        return None if rows is None else rows.filter(F.col("job_id").isin(*jobs))
+
     outcomes, faulty = follow_up(
-        raw, drafts, as_of, send_results, attempts, date_mode, on_bad_date
+        raw, of_the_run(drafts), as_of, of_the_run(send_results), of_the_run(attempts), date_mode, on_bad_date
     )
     moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     table = store.outcomes(outcomes.select(*OUTCOME_COLUMNS).schema)
     quarantine = store.quarantine(faulty.schema)
-    loaded = raw.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count("*").alias("total_records"))
-    loaded = write_and_read(loaded, "loaded")
-    jobs = [row["job_id"] for row in loaded.select("job_id").collect()]
     table.clear(jobs)
     table.replace(outcomes)
     quarantine.clear(jobs)

@@ -335,22 +335,30 @@ def streamed_places(spark, folder):
     return marked.na.fill(False, ["queued", "logged"])
 
 
-@query(f"SELECT DISTINCT job_id, invoice_no, send_status, retry_count FROM ({q._ARRIVALS})")
+@query(
+    f"""SELECT job_id, invoice_no, send_status, retry_count, error_message FROM ({q._ARRIVALS})
+    QUALIFY row_number() OVER (PARTITION BY job_id, invoice_no, send_status, retry_count
+      ORDER BY event_id % 5, error_message) = 1"""
+)
 def streamed_first_wins(spark, folder):
+    """Five files arrive one after the other; the row that wins is of the first file with its key."""
     source, out = fresh_dir(spark, "audit-in"), fresh_dir(spark, "audit-out")
     rows = q._audit_arrivals(spark, folder)
+    part = F.col("event_id") % 5
     filled = rows.select(
         *[
             F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in AUDIT.fields
-        ]
+        ],
+        part.alias("part"),
     )
-    filled.repartition(4, F.col("error_message")).write.parquet(source)
+    for k in range(5):
+        filled.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(source)
     arriving = spark.readStream.schema(AUDIT).option("maxFilesPerTrigger", 1).parquet(source)
     ingest.stream_first_wins(
         arriving, out, fresh_dir(spark, "audit-state"), ["error_message"]
     ).awaitTermination()
-    return ingest.read_batches(spark, out).select(*audit.AUDIT_KEY)
+    return ingest.read_batches(spark, out).select(*audit.AUDIT_KEY, "error_message")
 
 
 @query(f"SELECT {q._METRIC_COLUMNS} FROM metrics")

@@ -9,7 +9,6 @@ import re
 
 from duebook import fixed_values as fv
 from duebook.operators.drafts import DRAFT_CLOSING, DRAFT_TEXTS, PROMPTS
-from duebook.operators.validation import EMAIL_ADDRESS
 from duebook.sources.star import AS_OF, ERROR_TEXTS, JOBS, NOW
 
 
@@ -17,6 +16,23 @@ def text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
+# The contract's texts, written out here so that a slip in the library shows.
+RETRYABLE_TEXTS = [
+    "429", "rate limit", "capacity exceeded", "service tier capacity exceeded", "timeout",
+    "temporarily unavailable", "connection error", "maximum retry attempts",
+]
+EMAIL_ADDRESS = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
+NO_DRAFT = "No email draft generated."
+WRONG_RECIPIENT = "Recipient email does not match invoice contact email."
+WRONG_TONE = "Tone must be exactly '{tone}'."
+WRONG_SUBJECT = "Subject must be exactly: '{subject}'"
+MISSING_VALUE = "Email must include: {value}"
+NOT_OVERDUE = "Invoice is not overdue."
+ESCALATED_DAYS = "{days} days overdue — flagged for legal/finance review"
+ESCALATED_DRAFT = "Email validation failed after {n} retries — manual review required"
+SEND_FAILED = "Send failed via {provider}: {message}"
+TONES = ["Warm & Friendly", "Polite but Firm", "Formal & Serious", "Stern & Urgent", "Legal Review Required"]
+
 DAY = f"DATE '{AS_OF}'"
 TIME = f"TIMESTAMP '{NOW}'"
 SPACE = "(" + " || ".join(
@@ -41,7 +57,7 @@ def masked(email: str) -> str:
 
 def retryable(message: str) -> str:
     low = f"lower(coalesce({message}, ''))"
-    return "(" + " OR ".join(f"contains({low}, {text(t)})" for t in fv.RETRYABLE_ERROR_TEXTS) + ")"
+    return "(" + " OR ".join(f"contains({low}, {text(t)})" for t in RETRYABLE_TEXTS) + ")"
 
 
 def filled(template: str, **values: str) -> str:
@@ -113,7 +129,7 @@ def staged_from(name: str) -> str:
 def record_fault(d: str) -> str:
     names = ["recipient", "subject", "greeting", "body", "closing", "tone"]
     missing = " ".join(f"WHEN {d}.{n} IS NULL THEN '{n}'" for n in names)
-    tones = ", ".join(text(t) for t in fv.DRAFT_TONES)
+    tones = ", ".join(text(t) for t in TONES)
     return (
         f"CASE {missing} WHEN NOT regexp_matches({stripped(d + '.recipient')}, {text(EMAIL_ADDRESS)}) "
         f"THEN 'recipient' WHEN {d}.tone NOT IN ({tones}) THEN 'tone' END"
@@ -140,11 +156,11 @@ def rulings(strict: bool = False) -> str:
     return f"""
     SELECT job_id, invoice_no, revision,
       CASE rule WHEN 0 THEN 'approved' WHEN 6 THEN 'invalid' ELSE 'rejected' END AS status, rule,
-      CASE rule WHEN 0 THEN '' WHEN 1 THEN {text(fv.TEXT_NO_DRAFT)}
-        WHEN 2 THEN {text(fv.TEXT_WRONG_RECIPIENT)}
-        WHEN 3 THEN {filled(fv.TEXT_WRONG_TONE, tone='stage_tone')}
-        WHEN 4 THEN {filled(fv.TEXT_WRONG_SUBJECT, subject='expected_subject')}
-        WHEN 5 THEN {filled(fv.TEXT_MISSING_VALUE, value='missing')}
+      CASE rule WHEN 0 THEN '' WHEN 1 THEN {text(NO_DRAFT)}
+        WHEN 2 THEN {text(WRONG_RECIPIENT)}
+        WHEN 3 THEN {filled(WRONG_TONE, tone='stage_tone')}
+        WHEN 4 THEN {filled(WRONG_SUBJECT, subject='expected_subject')}
+        WHEN 5 THEN {filled(MISSING_VALUE, value='missing')}
         ELSE 'Draft record is not valid: ' || fault END AS feedback
     FROM (
       SELECT s.job_id, s.invoice_no, d.revision, s.tone AS stage_tone, s.expected_subject, d.fault, d.missing,
@@ -194,10 +210,10 @@ def parsed_date(value: str, day_first: bool = True) -> str:
 
 
 _wording = {
-    "not_overdue": text(fv.TEXT_NOT_OVERDUE),
-    "late": filled(fv.TEXT_ESCALATED_DAYS, days="CAST(days_overdue AS VARCHAR)"),
-    "spent": filled(fv.TEXT_ESCALATED_DRAFT, n="CAST(rejections AS VARCHAR)"),
-    "send": filled(fv.TEXT_SEND_FAILED, provider="'mailer'", message="send_message"),
+    "not_overdue": text(NOT_OVERDUE),
+    "late": filled(ESCALATED_DAYS, days="CAST(days_overdue AS VARCHAR)"),
+    "spent": filled(ESCALATED_DRAFT, n="CAST(rejections AS VARCHAR)"),
+    "send": filled(SEND_FAILED, provider="'mailer'", message="send_message"),
 }
 
 CTES: dict[str, str] = {
