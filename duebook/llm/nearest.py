@@ -126,7 +126,7 @@ def _search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, middle, tur
             bound[np.searchsorted(ids, query_id, "left") : np.searchsorted(ids, query_id, "right")] = -np.inf
             at_least = np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) > k else -np.inf
             near = np.flatnonzero((estimate[i] + error[i] >= at_least) & (ids != query_id))
-            scores = (vectors[near] * q[i]).sum(axis=1)
+            scores = np.cumsum(vectors[near] * q[i], axis=1)[:, -1]  # summed from the first dimension on
             if len(near) > k:
                 least = np.partition(scores, len(near) - k)[len(near) - k]
                 near, scores = near[scores >= least], scores[scores >= least]

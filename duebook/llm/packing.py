@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duebook.llm import tokens
@@ -140,8 +140,6 @@ def number_within_length(rows: DataFrame, *order: str) -> tuple[DataFrame, dict[
     per_file = stored.groupBy("_part", "_block", "length").agg(F.count(F.lit(1)).alias("n"))
     per_file = write_and_read(per_file, "counts")
     totals = {r[0]: r[1] for r in per_file.groupBy("length").agg(F.sum("n")).collect()}
-    from pyspark.sql import Window
-
     before = per_file.withColumn(
         "before", F.sum("n").over(Window.partitionBy("length").orderBy("_part", "_block")) - F.col("n")
     ).drop("n")
@@ -180,6 +178,5 @@ def pack(rows: DataFrame, room: int = 2048, order: tuple[str, ...] = ("doc_id",
                 offset[at] = offsets[run]
             yield batch.drop(columns="number").assign(sequence_id=sequence, offset=offset)
 
-    kept = [c for c in numbered.columns if c != "number"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in numbered.dtypes if c != "number")
-    return numbered.select(*kept, "number").mapInPandas(placed, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return numbered.select(*rows.columns, "number").mapInPandas(placed, f"{schema}, sequence_id long, offset long")

@@ -166,3 +166,21 @@ def op6_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"), held)
+
+
+ORACLES["op2_one_bit_neighbours"] = """
+WITH good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.v, r.v) AS score
+  FROM good q, good r WHERE q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id
+)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scored)
+WHERE rank <= 20
+"""
