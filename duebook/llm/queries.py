@@ -184,3 +184,73 @@ SELECT * FROM (
   FROM scored)
 WHERE rank <= 20
 """
+
+
+ORACLES["op7_suffix_array_dedup"] = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_slice(b, i + 1, i + 400)) AS h
+  FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)
+), marked AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS times FROM w) WHERE times > 1
+), islands AS (
+  SELECT doc_id, min(i) AS first, max(i) + 400 AS beyond FROM (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+      SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM marked))
+  GROUP BY doc_id, island
+), cuts AS (
+  SELECT doc_id, list(first ORDER BY first) AS firsts, list(beyond ORDER BY first) AS beyonds, sum(beyond - first) AS gone
+  FROM islands GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(len(firsts), 0) AS BIGINT) AS n_spans,
+  CASE WHEN firsts IS NULL THEN sha256(b) ELSE sha256(list_reduce(list_transform(range(1, len(firsts) + 2),
+    lambda k: array_slice(b, CASE WHEN k = 1 THEN 1 ELSE beyonds[k - 1] + 1 END, CASE WHEN k > len(firsts) THEN n ELSE firsts[k] END)),
+    lambda x, y: x || y)) END AS kept_sha256
+FROM d LEFT JOIN cuts ON cuts.doc_id = d.doc_id
+"""
+
+ORACLES["op1_url_filters"] = r"""
+WITH rest AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM rest
+), labelled_hosts AS (
+  SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS ls FROM parts
+), tokens AS (
+  SELECT page_id, url, host, path, CASE WHEN instr(url, '://') > 0 THEN list_distinct(list_concat(
+    list_transform(range(1, len(ls) + 1), lambda i: 'host=' || array_to_string(ls[i:], '.')),
+    list_transform(ls, lambda x: 'word=' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || regexp_replace(x, '[0-9]+', '0', 'g')),
+    list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query=' || split_part(x, '=', 1)),
+    ['scheme=' || split_part(url, '://', 1)])) ELSE [] END AS items
+  FROM labelled_hosts
+), judged AS (
+  SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id
+), baskets AS (
+  SELECT items, bad, count(*) OVER () AS n FROM tokens JOIN judged ON page_id = doc_id
+), sets AS (
+  SELECT list_sort(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS held, bad, n
+  FROM (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM baskets) WHERE bit_count(mask) <= 9
+), mined AS (
+  SELECT held FROM sets GROUP BY held
+  HAVING count(*) FILTER (WHERE bad) >= greatest(ceil(0.001 * max(n)), 20)
+    AND count(*) FILTER (WHERE bad) >= 0.6 * count(*)
+), hits AS (
+  SELECT DISTINCT url FROM tokens JOIN mined ON list_has_all(items, held)
+), stated AS (
+  SELECT page_id, url, host, path, arg_max(text, length(text)) AS rule, arg_max(decides, length(text)) AS decides
+  FROM parts LEFT JOIN (VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'),
+    ('block', 'example.org', '/en/1', 'example.org/en/1'), ('allow', 'com', '/fr/', 'com/fr/'),
+    ('block', 'com', '/de/', 'com/de/')) AS t(decides, h, p, text)
+  ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(decides, CASE WHEN hits.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  hits.url IS NOT NULL AS mined_block
+FROM stated LEFT JOIN hits ON hits.url = stated.url
+"""

@@ -117,10 +117,10 @@ def mine(
     )
     baskets = write_and_read(baskets, "baskets")
     n = baskets.count()
-    least = max(min_support, min_pages / n) if n else 1.0
     kinds = "antecedent array<string>, confidence double, support double"
-    if least > 1 or not n:
+    if min_pages > n or not n:
         return pages.sparkSession.createDataFrame([], kinds)
+    least = max(min_support, (min_pages - 0.5) / n)  # mining rounds up to whole pages
     parts = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tokens are dealt over them
     model = FPGrowth(
         itemsCol="items", minSupport=least, minConfidence=min_confidence, numPartitions=parts
