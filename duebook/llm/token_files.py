@@ -176,16 +176,16 @@ def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
 
         def whole() -> pa.RecordBatch:
             nonlocal counts
-            data = b"".join(parts)
-            counts += np.bincount(np.frombuffer(data, np.uint16 if small else np.uint32), minlength=most)
-            return row(part, block, before, keys, lengths, data, None)
+            ids = np.frombuffer(b"".join(parts), np.uint32)
+            counts += np.bincount(ids, minlength=most)
+            return row(part, block, before, keys, lengths, ids.astype(np.uint16 if small else np.uint32).tobytes(), None)
 
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
             for key, ids in zip(batch.column(0), tokens.encode_stream(tokenizer_path, texts, end_id), strict=True):
                 keys.append(key.as_py())
                 lengths.append(len(ids) // 4)
-                parts.append(np.frombuffer(ids, np.uint32).astype(np.uint16).tobytes() if small else ids)
+                parts.append(ids)
                 size += lengths[-1]
                 if size >= block_ids:
                     yield whole()

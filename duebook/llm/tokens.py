@@ -93,7 +93,7 @@ class _Pieces(dict):
 class Encoder:
     """Ids of a text as unsigned 32-bit numbers in native (little-endian) bytes. Special tokens in it are plain text."""
 
-    def __init__(self, path: str, most_kept: int = 600_000):
+    def __init__(self, path: str, most_kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -116,7 +116,7 @@ class Encoder:
         return start + b"".join(map(self.after_blank.__getitem__, rest))
 
 
-def encoder(path: str, most_kept: int = 600_000) -> Encoder:
+def encoder(path: str, most_kept: int = 800_000) -> Encoder:
     """The encoder of this process for a file."""
     key = (path, most_kept)
     if key not in _ENCODERS:
