@@ -20,6 +20,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
 
 
+class Numbered(dict):
+    """Numbers things in the order they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 @dataclass
 class Vocabulary:
     """Pieces by id, those of single bytes, and which ids may stand in a lattice."""

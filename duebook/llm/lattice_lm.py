@@ -25,15 +25,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.lattice import BLANK, LITERAL_BLANK, Edges, Matcher, load_vocabulary, rank_log_probabilities
+from duebook.llm.lattice import (
+    BLANK,
+    LITERAL_BLANK,
+    Edges,
+    Matcher,
+    Numbered,
+    load_vocabulary,
+    rank_log_probabilities,
+)
 from duebook.llm.scratch import Scratch
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 WORDS_AT_ONCE = 30_000
 
 
 def _batches(docs: DataFrame) -> DataFrame:
-    """Documents (``doc``, ``text`` bytes, ``held_out``) as rows of about 8 MB: lower-cased, joined and packed."""
+    """Documents (``doc``, ``text`` bytes, ``held_out``) as rows of about 16 MB: lower-cased, joined and packed."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +230,7 @@ def score(
     taken = discount(sums["once"], sums["twice"])
     log_rest = float(np.log(taken * v / n)) if n else 0.0
     words = scratch.put(with_marginals(words, matcher, log_p), "marginals")
-    scratch.drop()  # what the counting shuffled is no longer needed
+    scratch.drop("words")
     known = asked.select("batch", "word").join(words, "word")
     kind = rows.schema["doc"].dataType.simpleString()
     per_ten = 1 / np.log(10)
@@ -239,12 +247,11 @@ def score(
         if not len(packed):
             return pd.DataFrame({c: [] for c in names})
         row = packed.iloc[0]
-        texts = [t.split() for t in _texts(row["lengths"], row["packed"])]
-        place: dict = {}
-        for one in texts:
-            for word in one:
-                if word not in place:
-                    place[word] = len(place)
+        place = Numbered()
+        texts = []
+        for text in _texts(row["lengths"], row["packed"]):
+            found = text.split()
+            texts.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
         own = list(place)
         c, whole = np.zeros(len(own), np.int64), np.zeros(len(own))
         found = [place[w] for w in counts["word"]]
@@ -255,13 +262,12 @@ def score(
         marginal = np.logaddexp(of_counts(c), log_rest + whole)
         log_end = float(of_counts(ends)) if ends else log_rest
         out = []
-        for key, held, one in zip(row["docs"], row["held_out"], texts, strict=True):
-            at = np.fromiter(map(place.__getitem__, one), np.int64, len(one))
+        for key, held, at in zip(row["docs"], row["held_out"], texts, strict=True):
             out.append(
                 (
                     key,
                     bool(held),
-                    len(one) + 1,
+                    len(at) + 1,
                     int((c[at] > 0).sum()) + (ends > 0),
                     n,
                     float(base[at].sum()) + end_base,

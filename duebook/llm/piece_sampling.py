@@ -18,20 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.lattice import BLANK, LITERAL_BLANK, Matcher, load_vocabulary, rank_log_probabilities
+from duebook.llm.lattice import BLANK, LITERAL_BLANK, Matcher, Numbered, load_vocabulary, rank_log_probabilities
 
 CHUNK = 4 << 20
 _MODELS: dict[tuple, Sampler] = {}
 
 
-class _Index(dict):
-    """Numbers things in the order they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -49,7 +41,7 @@ class Sampler:
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         """The sampled ids of each text."""
-        rest, firsts = _Index(), _Index()
+        rest, firsts = Numbered(), Numbered()
         numbers, heads = [], []
         for text in texts:
             first, *more = text.replace(BLANK, LITERAL_BLANK).split(" ") if text else ("",)
