@@ -13,7 +13,8 @@ from duebook.session import write_and_read
 
 
 def _low(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
+    """The smallest of each node and its neighbours; read back, so that the join can split a node with many."""
+    return write_and_read(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low")), "lowest")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Each smaller neighbour of a node, and the node, is linked to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("low"))
+    low = _low(down)
     moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.union(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
 

@@ -180,6 +180,7 @@ def links(
     values = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))
     index = prints.select("fp", F.posexplode(values).alias("part", "value"))
     buckets = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("size"))
+    buckets = write_and_read(buckets, "buckets")  # read back, the joins can split a crowded one
     sized = (
         index.join(buckets, ["part", "value"])
         .groupBy("fp")

@@ -407,6 +407,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffixes")
     sampled = scratch.put(places(docs, length), "places")
     twice = sampled.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    twice = scratch.put(twice, "twice")  # read back, the join can split a gram that many places have
     rows = scratch.put(sampled.join(twice, "gram"), "repeated_places")
     scratch.drop("places")
     key = ["round", "phrases", "a", "b", "c", "before"]
@@ -429,7 +430,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     whole = judged.where("whole").select(
         "doc_id", F.col("low").alias("start"), (F.col("high") + length).cast("int").alias("stop")
     )
-    unsure = judged.where("NOT whole").select("gram").distinct()
+    unsure = scratch.put(judged.where("NOT whole").select("gram").distinct(), "unsure")
     wanted = judged.where(
         ~F.col("whole") | ((F.col("one.doc_id") == F.col("doc_id")) & (F.col("one.j") == F.col("j")))
     ).join(unsure, "gram", "left_semi")

@@ -147,7 +147,8 @@ def blocked_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFr
     index = write_and_read(listed, "url_index")
     urls = pages.select(F.col(url).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     met = urls.withColumn("items", tokens(F.col("_url"))).withColumn("token", F.explode("items")).join(index, "token")
-    return met.where(F.size(F.array_except("antecedent", "items")) == 0).select("_url").distinct()
+    held = met.where(F.size(F.array_except("antecedent", "items")) == 0).select("_url").distinct()
+    return write_and_read(held, "blocked_urls")  # read back, a join can split a URL that many pages have
 
 
 def judge(
