@@ -261,26 +261,33 @@ def near_duplicates(
     """``id_col``, ``fp`` and ``component_id`` (the smallest id reachable) for every row of ``docs``.
 
     Copies share a fingerprint and are counted once: links are looked for between distinct
-    fingerprints, each standing for its smallest id. Null and empty texts have fingerprint zero and
-    are linked like any other. Rows with the same id each get a result. An empty table gives none.
+    fingerprints, which are the nodes of the graph. Null and empty texts have fingerprint zero and
+    are linked like any other. Rows with the same id each get a result, and so do rows with a null
+    id: they link others as any row does, and their component is named by its smallest id that isn't
+    null; only a component without any id has a null one. An empty table gives none.
     """
     prints = write_and_read(fingerprints(docs, id_col, text, words_in_shingle), "fingerprints")
     classes = write_and_read(prints.groupBy("fp").agg(F.min(id_col).alias("low_id")), "classes")
-    found = links(classes.select("fp"), most, partitions, most_candidates)
-    named = (
-        found.join(classes.select(F.col("fp").alias("u"), F.col("low_id").alias("a")), "u")
-        .join(classes.select(F.col("fp").alias("v"), F.col("low_id").alias("b")), "v")
-        .select("a", "b")
-    )
-    components = connected_components(named, "a", "b")
-    labelled = classes.join(
-        components.select(F.col("node").alias("low_id"), "component"), "low_id", "left"
-    ).select("fp", F.coalesce("component", "low_id").alias("component_id"))
+    components = connected_components(links(classes.select("fp"), most, partitions, most_candidates), "u", "v")
+    components = components.select(F.col("node").alias("fp"), "component")
+    lowest = components.join(classes, "fp").groupBy("component").agg(F.min("low_id").alias("lowest"))
+    lowest = write_and_read(lowest, "lowest_ids")  # read back, the join can split a component with many
+    linked = components.join(lowest, "component").select("fp", "lowest")
+    labelled = classes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "low_id").alias("component_id"))
+    labelled = write_and_read(labelled, "labels")  # as above, for a fingerprint with many copies
     return prints.join(labelled, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; all columns as they were."""
-    found = near_duplicates(docs, id_col, text, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One row of each component of ``docs``, that with the smallest id; all columns as they were.
+
+    Rows with a null id come last: one is kept where no row of its component has an id.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = write_and_read(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(name).alias("row"))
+    found = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **options)
+    kept = found.where("key.row = component_id.row").select(F.col("key.row").alias(name))
+    return rows.join(kept, name, "left_semi").select(*docs.columns)

@@ -95,3 +95,32 @@ def test_few_or_no_vectors(spark):
     rows = nearest.nearest(df, F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in rows] == [(0, 1, 1, 4.0)]
     assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def linked_texts(rng, most=2):
+    """Three texts in a chain: the outer two are near the middle one, but not near each other."""
+    base = words(rng, 60, "abcdefghijklm").split()
+    near = lambda a, b: (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() <= most
+    middle = " ".join(base)
+    others = []
+    while True:
+        changed = list(base)
+        changed[rng.randrange(len(base))] = words(rng, 1)
+        one = " ".join(changed)
+        if one != middle and near(one, middle):
+            for other in others:
+                if not near(one, other):
+                    return one, middle, other
+            others.append(one)
+
+
+def test_rows_without_an_id_link_and_are_kept(spark):
+    rng = random.Random(17)
+    one, middle, other = linked_texts(rng)
+    clean, copied = words(rng, 80, "nopqrst"), words(rng, 80, "uvwxyz")
+    rows = [(7, one), (None, middle), (5, other), (None, clean), (None, copied), (None, copied), (9, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], documents(spark, []).schema)
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(-1, -1)] * 3 + [(-1, 5), (-1, 9), (5, 5), (7, 5), (9, 9)]
+    kept = sorted((r.doc_id or -1, r.text or "") for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(5, other), (-1, clean), (-1, copied), (9, "")])
