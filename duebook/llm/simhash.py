@@ -279,15 +279,20 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each component of ``docs``, that with the smallest id; all columns as they were.
+    """Exactly one row of each component of ``docs``, that with the smallest id; all columns as they were.
 
-    Rows with a null id come last: one is kept where no row of its component has an id.
+    Rows with a null id come last: one is kept where no row of its component has an id. Of rows with
+    the same id the one with the least hash of its columns is kept (maps aren't hashed), so of
+    repeated rows any one. Rows that share an id but not a component stand for one component each.
     """
     name = "_row"
     while name in docs.columns:
         name += "_"
     rows = write_and_read(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(name).alias("row"))
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    key = F.struct(
+        F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), hashed.alias("hash"), F.col(name).alias("row")
+    )
     found = near_duplicates(rows.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **options)
     kept = found.where("key.row = component_id.row").select(F.col("key.row").alias(name))
-    return rows.join(kept, name, "left_semi").select(*docs.columns)
+    return rows.join(kept, name, "left_semi").drop(name)

@@ -452,7 +452,13 @@ def _without(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int]:
 
 
 def _with_ranges(data: DataFrame, length: int) -> DataFrame:
-    """The rows packed, with the sorted ``ranges`` of each."""
+    """The rows packed, with the sorted ``ranges`` of each.
+
+    Ranges are found and joined by a number of the row's own, ``doc_id`` here; it is written, so that
+    it stays the same. So rows may share an id or have none.
+    """
+    data = data.withColumn("doc_id", F.monotonically_increasing_id())
+    data = Scratch(data.sparkSession, "rows").put(data, "numbered")
     ranges = repeated_ranges(data.select("doc_id", "data"), length).groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("ranges")
     )
@@ -463,11 +469,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """Per document ``doc_id``, ``kept`` (the bytes left, joined), ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``.
 
     Strings are judged on the input as UTF-8 bytes and never cross documents; all copies go, the first
-    one too. A null or empty text has 0 bytes. Ids are whole numbers, each of one row; a row with a
-    null id is neither compared nor cut.
+    one too. A null or empty text has 0 bytes. Ids are whole numbers or null; each row is compared and cut
+    on its own, rows that share an id or have none too, so repeated rows lose what they share.
     """
-    data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
-    rows = _with_ranges(data, length).select("doc_id", "packed", "ranges")
+    data = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("data"))
+    rows = _with_ranges(data, length).select("id", "packed", "ranges")
     kind = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,10 +502,10 @@ def strip_repeats(
 
     Where a cut splits a letter, its other bytes go too. ``chars``, if there is such a column, gets
     the new number of letters. A null text stays null; a text that is all repeats becomes empty.
+    Rows are told apart by numbers of their own, not by ``id_col``: they may share an id or have none.
     """
     others = [c for c in docs.columns if c != text]
     data = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
         F.col(text).cast("binary").alias("data"),
         F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"),
         F.col(text).isNull().alias("none"),

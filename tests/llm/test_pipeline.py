@@ -49,3 +49,26 @@ def test_every_operator_has_its_query():
     assert all(any(name.startswith(f"op{n}_") for name in queries.QUERIES) for n in range(1, 11))
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    rng = random.Random(18)
+    long = [words(rng, 120, "abcdefghijklmnop") for _ in range(30)]
+    shared = words(rng, 100, "abcdefghijklmnop")
+    rows = [(k, t) for k, t in enumerate(long)] + [(3, long[3])] * 2 + [(None, words(rng, 120, "abcdefghijklmnop"))]
+    rows += [(50, shared + " " + words(rng, 200, "abcdefghijklmnop")), (50, words(rng, 250, "abcdefghijklmnop"))]
+    rows += [(51, words(rng, 220, "abcdefghijklmnop") + " " + shared)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], documents(spark, []).schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-2]:
+        docs = stage(spark, docs, str(tmp_path))
+    kept = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert kept == Counter(set(rows))
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.suffix_stage(spark, docs, str(tmp_path)).collect())
+    seen = Counter(t[i : i + 400] for _, t in kept for i in range(len(t) - 399))
+    want: Counter = Counter()
+    for k, t in kept:
+        gone = {i + n for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for n in range(400)}
+        want[k, "".join(c for n, c in enumerate(t) if n not in gone)] += 1
+    assert left == want and want[3, long[3]] == 1 and sum(want[r] == 0 for r in kept) == 2
