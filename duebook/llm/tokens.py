@@ -91,14 +91,17 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Ids of a text as unsigned 32-bit numbers in native (little-endian) bytes. Special tokens in it are plain text."""
+    """Ids of a text as unsigned 32-bit numbers in native (little-endian) bytes.
+
+    They are those of the library with ``add_special_tokens=False``: a special token's text gives its id.
+    It holds no blank, so a text can be cut at blanks all the same, and a piece with it is encoded whole.
+    """
 
     def __init__(self, path: str, most_kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.after_blank = _Pieces(self.tokenizer, most_kept, " ")
         self.others = _Pieces(self.tokenizer, most_kept // 4)
 
