@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from duebook.llm import language_id, packing, quality_rules, simhash, suffix_dedup
 from duebook.session import write_and_read
 
+#: Fifty words of five letters with their blanks and some room: passages of over 50 words are longer.
+REPEAT_BYTES = 256
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -25,8 +28,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that start anywhere else too."""
-    return suffix_dedup.strip_repeats(docs, length=400)
+    """Documents without the strings of ``REPEAT_BYTES`` bytes that start anywhere else too."""
+    return suffix_dedup.strip_repeats(docs, length=REPEAT_BYTES)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

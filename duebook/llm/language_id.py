@@ -9,7 +9,6 @@ probabilities. Prediction reads each whole text once and shuffles nothing.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +23,6 @@ BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 UNKNOWN = "und"
 BLANK = 32
-A_LETTER = re.compile(r"[^\W\d_]")
 _FOLD: list[np.ndarray] = []
 
 
@@ -75,7 +73,7 @@ class LanguageModel:
         return x / max(np.sqrt(x @ x), 1e-12)
 
     def classify(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not A_LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         counts = ngram_counts(text)
         buckets = np.flatnonzero(counts)

@@ -144,7 +144,8 @@ def op2_one_bit_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     found = suffix_dedup.remove_repeats(docs, 400, "doc_id", "text")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    kept = F.octet_length("kept").cast("long").alias("n_kept")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)
 
 
 @query
@@ -207,7 +208,8 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT)
   CAST(coalesce(len(firsts), 0) AS BIGINT) AS n_spans,
   CASE WHEN firsts IS NULL THEN sha256(b) ELSE sha256(list_reduce(list_transform(range(1, len(firsts) + 2),
     lambda k: array_slice(b, CASE WHEN k = 1 THEN 1 ELSE beyonds[k - 1] + 1 END, CASE WHEN k > len(firsts) THEN n ELSE firsts[k] END)),
-    lambda x, y: x || y)) END AS kept_sha256
+    lambda x, y: x || y)) END AS kept_sha256,
+  CAST(n - coalesce(gone, 0) AS BIGINT) AS n_kept
 FROM d LEFT JOIN cuts ON cuts.doc_id = d.doc_id
 """
 

@@ -31,9 +31,12 @@ def test_stages_follow_their_contract(spark, tmp_path):
     )
     assert 40 not in kept["simhash_near_duplicates"]
     before, after = kept["simhash_near_duplicates"], kept["suffix_array_dedup"]
-    seen = Counter(t.encode()[i : i + 400] for t in before.values() for i in range(len(t.encode()) - 399))
+    size = corpus_pipeline.REPEAT_BYTES
+    seen = Counter(t.encode()[i : i + size] for t in before.values() for i in range(len(t.encode()) - size + 1))
     for key, text in after.items():
-        repeated = any(seen[before[key].encode()[i : i + 400]] > 1 for i in range(len(before[key].encode()) - 399))
+        repeated = any(
+            seen[before[key].encode()[i : i + size]] > 1 for i in range(len(before[key].encode()) - size + 1)
+        )
         assert (text != before[key]) == repeated
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     total = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in after.values())
@@ -66,9 +69,10 @@ def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
     kept = Counter((r.doc_id, r.text) for r in docs.collect())
     assert kept == Counter(set(rows))
     left = Counter((r.doc_id, r.text) for r in corpus_pipeline.suffix_stage(spark, docs, str(tmp_path)).collect())
-    seen = Counter(t[i : i + 400] for _, t in kept for i in range(len(t) - 399))
+    size = corpus_pipeline.REPEAT_BYTES
+    seen = Counter(t[i : i + size] for _, t in kept for i in range(len(t) - size + 1))
     want: Counter = Counter()
     for k, t in kept:
-        gone = {i + n for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1 for n in range(400)}
+        gone = {i + n for i in range(len(t) - size + 1) if seen[t[i : i + size]] > 1 for n in range(size)}
         want[k, "".join(c for n, c in enumerate(t) if n not in gone)] += 1
     assert left == want and want[3, long[3]] == 1 and sum(want[r] == 0 for r in kept) == 2

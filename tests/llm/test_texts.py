@@ -19,7 +19,6 @@ AWKWARD = [None, "", " ", "a\xa0 b  c\n\nd \x1c e", "x's. y've, ▁ \ud7ff", "<|
 
 def plain_ids(text):
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
