@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duebook.llm import (
+    conversation_trie,
+    dual_tree,
     language_id,
     lattice_lm,
     nearest,
     packing,
     piece_sampling,
     quality_rules,
+    resharding,
     simhash,
     suffix_dedup,
     token_files,
     url_filters,
 )
+from duebook.llm.scratch import Scratch
+from duebook.session import fresh_dir
 
 QUERIES = {}
 ORACLES = {}
@@ -256,3 +261,98 @@ SELECT page_id, host, path, rule, coalesce(decides, CASE WHEN hits.url IS NOT NU
   hits.url IS NOT NULL AS mined_block
 FROM stated LEFT JOIN hits ON hits.url = stated.url
 """
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    turns = conversation_trie.numbered_turns(_table(spark, folder, "conversations"), scratch)
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(turns, scratch), scratch)
+
+
+@query
+def op12_min_cost_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    """From 32 shards by a hash of the id to 40 of near equal bytes; the rows are read from the new files."""
+    docs, store = _table(spark, folder, "documents"), fresh_dir(spark, "shards")
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    resharding.lay_out(docs, store, number % 32, 32)
+    resharding.reshard(spark, store, docs, 40)
+    rows = resharding.read_layout(spark, store, docs)
+    return rows.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "size",
+        F.crc32(F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op13_dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
+ORACLES["op11_conversation_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, g,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS place
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS x,
+      sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+    FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte:
+    list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda r, bit: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT conv_id, words, g, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM (
+    SELECT convs.conv_id, words, g, place, 0 AS part FROM convs JOIN turns ON turns.conv_id = base AND place <= h
+    UNION ALL SELECT convs.conv_id, words, g, place, 1 FROM convs JOIN turns ON turns.conv_id = convs.conv_id AND place > h)
+), prefixes AS (
+  SELECT conv_id, depth, words, string_agg(g, ',') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), members AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM prefixes
+), nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, min(above) AS above, count(*) AS n_convs, min(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY key, depth
+), children AS (
+  SELECT above, count(*) AS n FROM nodes GROUP BY above
+), valued AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children, (n_convs - 1) * words AS tokens FROM nodes LEFT JOIN children ON children.above = nodes.key
+), sums AS (
+  SELECT m.key, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum(v.tokens) AS saved
+  FROM valued v JOIN members m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.key
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+  n_leaves, saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums ON sums.key = v.key LEFT JOIN valued p ON p.key = v.above
+"""
+
+_TERMS = r"""unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+ORACLES["op13_dual_tree_search"] = f"""
+WITH counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term, n_docs
+), asked AS (
+  SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} FROM benchmark)
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL
+)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0) WHERE rank <= 10
+"""
