@@ -11,7 +11,7 @@ component, the rest another one, and each weighs half at most. A node and one th
 parted by exactly one centroid on the path between them, so every pair is counted once. Weights are known
 before: a node weighs as many as its members, a subtree the turns that its members still have to go.
 
-Components over ``in_one_task`` are split all together, one round for each halving; there are no more of
+Components over a limit are split all together, one round for each halving; there are no more of
 them than the total weight holds that limit, so one row of each is broadcast. Which child of the centroid a
 node lies under is looked up by a member's turn of that depth. All smaller components fit a task
 each and are split there to the end.
@@ -35,7 +35,8 @@ from duebook.llm.running import running
 from duebook.llm.scratch import Scratch
 
 A_WORD = r"[^\x20\x09-\x0D]+"
-IN_ONE_TASK = 1 << 14
+#: Components up to a 4096th of the forest's weight are split within a task, but at least and at most so heavy.
+LARGE_AT_ONCE, LEAST_IN_TASK, MOST_IN_TASK = 1 << 12, 1 << 10, 1 << 17
 IDS_AT_ONCE = 1 << 13
 
 
@@ -231,10 +232,12 @@ def _split_in_tasks(state: DataFrame, in_one_task: int) -> DataFrame:
     )
 
 
-def rollup(nodes: DataFrame, members: DataFrame, scratch: Scratch, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def rollup(nodes: DataFrame, members: DataFrame, scratch: Scratch, in_one_task: int | None = None) -> DataFrame:
     """``node``, ``n_leaves`` and ``saved_tokens``, both summed over the node's subtree."""
     zero = F.lit(0).cast("long")
-    top = nodes.where("parent IS NULL").select("node").first()
+    top = nodes.where("parent IS NULL").select("node", "weight").first()
+    if in_one_task is None:
+        in_one_task = min(MOST_IN_TASK, max(LEAST_IN_TASK, (top["weight"] if top else 0) // LARGE_AT_ONCE))
     component = F.lit(None if top is None else top["node"]).cast("long")
     state = nodes.select(
         "node", "parent", "conv_id", "depth", "weight", "leaves", "tokens",
@@ -294,7 +297,7 @@ def _split_large(state: DataFrame, large: DataFrame, index: DataFrame, scratch:
     ).select(*state.columns)
 
 
-def prefix_trie(turns: DataFrame, convs: DataFrame, scratch: Scratch, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def prefix_trie(turns: DataFrame, convs: DataFrame, scratch: Scratch, in_one_task: int | None = None) -> DataFrame:
     """One row per node of the trie of ``turns`` (conv_id, length, depth from 1, digest, words) of ``convs`` (conv_id, length).
 
     ``conv_id`` is the smallest member, ``parent_conv_id`` the parent's, ``saved_tokens`` the words that
