@@ -15,6 +15,7 @@ from duebook.operators.validation import KEY, fold_revisions
 from duebook.schemas import AUDIT, DRAFT_FIELDS, EMAIL_LOG, FAILED, INVOICE_STATE
 
 _DRAFT_TYPE = "struct<" + ",".join(f"{name}:string" for name in DRAFT_FIELDS) + ">"
+WAITING = ["in_flight", "awaiting_draft", "awaiting_send"]
 
 
 def initial_route() -> Column:
@@ -110,7 +111,7 @@ def _with_draft(
     rejected = F.col("_start") + F.col("rejections")
     result = F.col("outcome")
     broken = result == "attempt_failed"
-    waiting = result.isin("in_flight", "awaiting_draft", "awaiting_send")
+    waiting = result.isin(*WAITING)
     escalated = result == "escalated_draft"
     judged = result.isin("sent", "send_failed", "awaiting_send")
     return rows.withColumns(

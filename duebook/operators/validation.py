@@ -61,6 +61,40 @@ def first_missing_value(draft: Column, strict: bool = False) -> Column:
     return missing
 
 
+def invoice_marks(strict: bool = False) -> Column:
+    """What ``judge`` asks of an invoice's drafts, as struct(revisions, recipient, tone, subject, values).
+
+    Needs the columns of ``with_subject``; a whole draft is approved if its ``draft_marks`` equal these
+    and its text holds all values.
+    """
+    values = [F.col(name).cast("string") for name in CHECKED_VALUES]
+    return F.struct(
+        F.greatest(F.lit(1), F.col("max_retries") - F.col("retry_count")).cast("int").alias("revisions"),
+        F.lower(strip(F.col("contact_email"))).alias("recipient"),
+        strip(F.col("tone")).alias("tone"),
+        strip(F.col("expected_subject")).alias("subject"),
+        F.array(*[words_only(v) if strict else v for v in values]).alias("values"),
+    )
+
+
+def draft_marks(draft: Column, strict: bool = False) -> Column:
+    """What ``judge`` reads of a draft without its invoice, as struct(kind, recipient, tone, subject, text).
+
+    ``kind`` is empty, invalid or whole.
+    """
+    text = F.concat_ws(" ", draft["greeting"], draft["body"], draft["closing"])
+    return F.struct(
+        F.when(_all([draft[name].isNull() for name in DRAFT_FIELDS]), F.lit("empty"))
+        .when(record_fault(draft).isNotNull(), F.lit("invalid"))
+        .otherwise(F.lit("whole"))
+        .alias("kind"),
+        F.lower(strip(draft["recipient"])).alias("recipient"),
+        strip(draft["tone"]).alias("tone"),
+        strip(draft["subject"]).alias("subject"),
+        (words_only(text) if strict else text).alias("text"),
+    )
+
+
 def judge(draft: Column, strict: bool = False) -> Column:
     """First rule a draft fails, as struct(status, rule, feedback).
 

@@ -6,16 +6,14 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from duebook.operators.audit import AUDIT_KEY, first_per_key, same_key
+from duebook.operators.audit import AUDIT_KEY
 from duebook.operators.normalize import normalize_invoices, split_faulty, stage_invoices
 from duebook.operators.outcomes import audit_rows, decide_outcomes, email_log_rows, queue_rows
-from duebook.schemas import AUDIT
 from duebook.sources.invoice_csv import header_schema
-
-_WITH_BATCH = T.StructType([*AUDIT.fields, T.StructField("batch", T.LongType())])
+from duebook.streaming.batches import batch_folder, write_batch
+from duebook.streaming.conflicts import first_of_all
 
 
 def invoice_stream(spark: SparkSession, folder: str, columns: list[str], files_per_batch: int = 1000) -> DataFrame:
@@ -28,10 +26,6 @@ def invoice_stream(spark: SparkSession, folder: str, columns: list[str], files_p
     )
 
 
-def _batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id:012d}"
-
-
 SINKS = ("outcomes", "quarantine", "audit", "queue", "email_log")
 
 
@@ -57,7 +51,7 @@ def stream_follow_up(
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         def write(rows: DataFrame, sink: str) -> str:
-            folder = _batch_folder(f"{out}/{sink}", batch_id)
+            folder = batch_folder(f"{out}/{sink}", batch_id)
             rows.write.mode("overwrite").parquet(folder)
             return folder
 
@@ -84,33 +78,15 @@ def read_sink(spark: SparkSession, out: str, sink: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{sink}").drop("batch")
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_WITH_BATCH).parquet(path).select(*AUDIT.fieldNames())
-
-
 def stream_first_wins(rows: DataFrame, out: str, checkpoint: str, order_by: list[str]) -> StreamingQuery:
     """Append audit rows whose key has not been seen in this or any earlier batch.
 
-    Exact however late a copy arrives: each batch is matched against the keys of the batches
-    before it, limited to the jobs it holds.
+    Exact however late a copy arrives: the keys seen are in the state store, so no batch reads what earlier ones
+    have written. Needs the RocksDB store (``replay_settings``).
     """
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = first_per_key(batch, order_by)
-        if batch_id:
-            earlier = (
-                spark.read.option("basePath", out).schema(_WITH_BATCH).parquet(out)
-                .filter(F.col("batch") < batch_id)
-                .select(*AUDIT_KEY)
-            )
-            jobs = first.select("job_id").distinct()
-            known = earlier.join(jobs, "job_id", "left_semi").select(*AUDIT_KEY)
-            first = first.join(known, same_key(first, known, AUDIT_KEY), "left_anti")
-        first.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
-
     return (
-        rows.writeStream.foreachBatch(append)
+        first_of_all(rows, order_by).writeStream.outputMode("append")
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id) and None)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -118,5 +94,9 @@ def stream_first_wins(rows: DataFrame, out: str, checkpoint: str, order_by: list
 
 
 def within_watermark(rows: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First-wins with bounded state: copies later than ``delay`` after the first come through."""
+    """First-wins with bounded state: copies later than ``delay`` after the first come through.
+
+    A key is forgotten once the watermark, ``delay`` behind the latest time seen in earlier batches, has passed the
+    first row's time by ``delay``.
+    """
     return rows.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(AUDIT_KEY)

@@ -6,26 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from duebook.operators.metrics import job_metrics
-from duebook.sources.tables import SnapshotTable
+from duebook.sources.tables import PartitionedTable
 
 
-def metrics_table(spark: SparkSession, out: str, outcomes: DataFrame) -> SnapshotTable:
-    return SnapshotTable(spark, out, job_metrics(outcomes).schema)
+def metrics_table(spark: SparkSession, out: str, outcomes: DataFrame) -> PartitionedTable:
+    return PartitionedTable(spark, out, job_metrics(outcomes).schema)
 
 
 def stream_metrics(outcomes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Rewrite the table of metrics, one row per job, after every micro-batch.
+    """Keep the table of metrics, one row per job, up to date after every micro-batch.
 
-    Version n + 1 belongs to micro-batch n, so a batch run again rewrites its own version.
+    Only the jobs that a micro-batch touches are written, each in place of its row before; a batch run again
+    writes the same rows.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/v{batch_id + 1}")
-
+    table = metrics_table(outcomes.sparkSession, out, outcomes)
     return (
         job_metrics(outcomes)
-        .writeStream.outputMode("complete")
-        .foreachBatch(write)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: table.replace(batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -64,7 +64,12 @@ def _due(at_ms: int, retry_count: int) -> int:
 
 
 class RetryMachine(StatefulProcessor):
-    """Failures enter as pending with a timer, results settle or reschedule, timers report due."""
+    """Failures enter as pending with a timer, results settle or reschedule, timers report due.
+
+    The state holds pending entries only: one that is resolved or has failed for good is handed on and
+    forgotten, and later results of it change nothing. A timer is taken back before its entry is changed, so
+    each waiting time is reported once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -100,11 +105,13 @@ class RetryMachine(StatefulProcessor):
             after = self._next(after, event) or after
         if after == before:
             return
-        self.entry.update(after)
-        if before is not None and before[0] == "pending":
+        if before is not None:
             self.handle.deleteTimer(before[4])
         if after[0] == "pending":
+            self.entry.update(after)
             self.handle.registerTimer(after[4])
+        else:
+            self.entry.clear()
         yield self._row(key, "state", after)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -183,3 +190,9 @@ def current_state(changes: DataFrame) -> DataFrame:
         F.max_by(F.struct(*fields), "seq").alias("_state")
     )
     return latest.select(*KEY, "_state.*")
+
+
+def stored_entries(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The entries in the state store of a stream that isn't running: those that are pending."""
+    rows = spark.read.format("statestore").option("stateVarName", "entry").load(checkpoint)
+    return rows.select("key.*", "value.*")

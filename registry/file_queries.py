@@ -8,10 +8,11 @@ from duebook.operators import audit, ledger, normalize, views
 from duebook.plans import upload
 from duebook.plans.followup import Store, run_follow_up
 from duebook.plans.retry_cycle import run_retry_cycle
-from duebook.schemas import AUDIT
+from duebook.schemas import AUDIT, DRAFTS, SEND_RESULTS
 from duebook.session import fresh_dir, write_and_read
 from duebook.sources import files, fingerprints, invoice_csv, star
-from duebook.streaming import ingest, live_metrics, retry_state
+from duebook.streaming import conflicts, ingest, live_metrics, retry_state, settlements
+from duebook.streaming.batches import read_batches
 from registry import queries as q
 from registry.queries import query
 from registry.sql import TIME, backoff
@@ -352,13 +353,129 @@ def streamed_first_wins(spark, folder):
         ],
         part.alias("part"),
     )
-    for k in range(5):
-        filled.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(AUDIT).option("maxFilesPerTrigger", 1).parquet(source)
-    ingest.stream_first_wins(
-        arriving, out, fresh_dir(spark, "audit-state"), ["error_message"]
-    ).awaitTermination()
-    return ingest.read_batches(spark, out).select(*audit.AUDIT_KEY, "error_message")
+    waves = [filled.filter(F.col("part") == k).drop("part") for k in range(5)]
+    checkpoint = fresh_dir(spark, "audit-state")
+    _in_waves(spark, source, waves, lambda rows: ingest.stream_first_wins(rows, out, checkpoint, ["error_message"]))
+    return read_batches(spark, out, AUDIT).select(*audit.AUDIT_KEY, "error_message")
+
+
+def _in_waves(spark, source, waves, start):
+    """Write the waves one after the other, and have a stream read each before the next one comes."""
+    for wave in waves:
+        wave.write.mode("append").parquet(source)
+        with retry_state.replay_settings(spark):
+            start(spark.readStream.schema(wave.schema).parquet(source)).awaitTermination()
+
+
+@query(
+    f"""SELECT CAST(o_custkey % {star.JOBS} AS BIGINT) AS job_id, 'INV-' || o_orderkey AS invoice_no, CAST({TIME} + INTERVAL (day) DAY AS VARCHAR) AS created_at
+    FROM orders, (VALUES (0), (10)) AS t(day)"""
+)
+def streamed_within_watermark(spark, folder):
+    """Copies an hour later are dropped; copies ten days later, when the key has been forgotten, come through once."""
+    source, out, checkpoint = fresh_dir(spark, "late-in"), fresh_dir(spark, "late-out"), fresh_dir(spark, "late-state")
+    key = {"job_id": (F.col("o_custkey") % star.JOBS).cast("long"), "invoice_no": F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string"))}
+    rows = star.table(spark, folder, "orders").select(
+        *(c.alias(n) for n, c in key.items()), F.lit("failed").alias("send_status"), F.lit(0).alias("retry_count")
+    )
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.lit("clock").alias("invoice_no"), F.lit("failed").alias("send_status"), F.lit(0).alias("retry_count"))
+
+    def at(rows, days, hours=0):
+        return rows.withColumn("created_at", star.now() + F.make_dt_interval(F.lit(days), F.lit(hours)))
+
+    waves = [at(rows, 0).union(at(rows, 0)), at(rows, 0, 1), at(clock, 10), at(rows, 10)]
+    for wave in waves:
+        wave.write.mode("append").parquet(source)
+        arriving = ingest.within_watermark(spark.readStream.schema(wave.schema).parquet(source), "1 day")
+        arriving.writeStream.option("checkpointLocation", checkpoint).option("path", out).format("parquet").trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    return spark.read.parquet(out).filter("invoice_no <> 'clock'").select("job_id", "invoice_no", "created_at")
+
+
+def _settled(spark, folder):
+    """Invoices arrive first, then their drafts, then the send results: (sinks, checkpoint) after all three."""
+    names = ("late-invoices", "late-drafts", "late-results", "settled", "settled-state")
+    arrivals, drafts, results, out, checkpoint = (fresh_dir(spark, n) for n in names)
+    raw = star.invoices_faulty(spark, folder).drop("o_orderkey")
+    empty = {drafts: DRAFTS, results: SEND_RESULTS}
+    for path, schema in empty.items():
+        spark.createDataFrame([], schema).write.parquet(path)
+
+    def typed(rows, schema):
+        return rows.select(*(F.col(f.name).cast(f.dataType) for f in schema))
+
+    phases = (
+        lambda: raw.write.option("header", True).csv(arrivals),
+        lambda: typed(star.drafts(spark, folder), DRAFTS).write.mode("append").parquet(drafts),
+        lambda: typed(star.send_results(spark, folder), SEND_RESULTS).write.mode("append").parquet(results),
+    )
+    for phase in phases:
+        phase()
+        with retry_state.replay_settings(spark):
+            settlements.stream_settlements(
+                ingest.invoice_stream(spark, arrivals, raw.columns),
+                spark.readStream.schema(DRAFTS).parquet(drafts),
+                spark.readStream.schema(SEND_RESULTS).parquet(results),
+                out, checkpoint, star.AS_OF, star.NOW, date_mode="iso",
+            ).awaitTermination()
+    return out, checkpoint
+
+
+@query(
+    f"""SELECT job_id, invoice_no, CASE WHEN faulty THEN 'quarantined' WHEN send_status = 'pending' THEN 'waiting' ELSE outcome END AS place,
+      CASE WHEN NOT faulty AND send_status <> 'pending' THEN send_error END AS send_error,
+      CASE WHEN NOT faulty AND send_status <> 'pending' THEN retry_count END AS retry_count,
+      CASE WHEN NOT faulty AND send_status <> 'pending' THEN d_subject END AS subject FROM ({_PLACES})"""
+)
+def streamed_late_drafts(spark, folder):
+    """Where every invoice is after its drafts and results have come later than itself; those that wait, out of the state."""
+    out, checkpoint = _settled(spark, folder)
+    found = settlements.read_settled(spark, out, "outcomes")
+    none = {"send_error": F.lit(None).cast("string"), "retry_count": F.lit(None).cast("int"), "subject": F.lit(None).cast("string")}
+
+    def elsewhere(rows, place):
+        return rows.select("job_id", "invoice_no", F.lit(place).alias("place"), *(c.alias(n) for n, c in none.items()))
+
+    with retry_state.replay_settings(spark):
+        waiting = write_and_read(elsewhere(settlements.waiting_invoices(spark, checkpoint), "waiting"), "waiting")
+    settled = found.select("job_id", "invoice_no", F.col("outcome").alias("place"), "send_error", "retry_count", F.col("draft.subject").alias("subject"))
+    return settled.unionByName(elsewhere(settlements.read_settled(spark, out, "quarantine"), "quarantined")).unionByName(waiting)
+
+
+def _two_runs(spark, folder, name, stream):
+    """The outcomes of a run as a first wave, those of a run an hour later that sends everything as a second one."""
+    source, out, checkpoint = (fresh_dir(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    drafts = write_and_read(star.drafts(spark, folder), "drafts")
+    staged = star.staged(spark, folder)
+    for k, sends in enumerate((star.send_results(spark, folder), None)):
+        wave = q.outcomes.decide_outcomes(staged, drafts, sends)
+        moment = star.now() + F.make_dt_interval(F.lit(0), F.lit(k))
+        _in_waves(spark, source, [wave], lambda rows, at=moment: stream(rows, out, checkpoint, at))
+    return out
+
+
+@query(
+    f"""SELECT job_id, invoice_no, error_type, error_message, retry_count, max_retries, CASE status WHEN 'resolved' THEN first ELSE second END AS next_retry_at,
+      status, CAST({TIME} AS VARCHAR) AS created_at, CAST({TIME} + INTERVAL 1 HOUR AS VARCHAR) AS updated_at
+    FROM (SELECT * , CAST(next_retry_at AS VARCHAR) AS first, CAST(next_retry_at + INTERVAL 1 HOUR AS VARCHAR) AS second
+      FROM (SELECT n.* REPLACE (CASE o.outcome WHEN 'send_failed' THEN 'resolved' ELSE 'pending' END AS status)
+        FROM ({q._NEW_FAILED}) n JOIN outcomes o ON o.job_id = n.job_id AND o.invoice_no = n.invoice_no))"""
+)
+def streamed_queue(spark, folder):
+    """An invoice that fails in two waves has one entry, one that fails and is sent later is resolved."""
+    out = _two_runs(spark, folder, "queue", conflicts.stream_queue)
+    return conflicts.read_queue(spark, out).drop("invoice_state_json")
+
+
+@query(
+    f"""SELECT * REPLACE (CAST({TIME} AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount) FROM audit
+    UNION ALL SELECT * REPLACE (CAST({TIME} + INTERVAL 1 HOUR AS VARCHAR) AS created_at, CAST(amount AS DOUBLE) AS amount,
+      'sent' AS send_status, '' AS error_message) FROM audit WHERE send_status = 'failed'"""
+)
+def streamed_audit(spark, folder):
+    """Audit rows of two waves of outcomes: of the second only those with a key that is new."""
+    return conflicts.read_audit(spark, _two_runs(spark, folder, "audit", conflicts.stream_audit))
 
 
 @query(f"SELECT {q._METRIC_COLUMNS} FROM metrics")
@@ -367,9 +484,10 @@ def streamed_metrics(spark, folder):
     rows = q._outcomes(spark, folder).select(
         "job_id", "invoice_no", "send_status", "escalation_required", "retry_count"
     )
-    rows.repartition(4, "invoice_no").write.parquet(source)
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    live_metrics.stream_metrics(arriving, out, fresh_dir(spark, "metrics-state")).awaitTermination()
+    part = F.pmod(F.xxhash64("invoice_no"), F.lit(2))
+    checkpoint = fresh_dir(spark, "metrics-state")
+    waves = [rows.filter(part == k) for k in range(2)]
+    _in_waves(spark, source, waves, lambda arriving: live_metrics.stream_metrics(arriving, out, checkpoint))
     return live_metrics.metrics_table(spark, out, rows).read().select(*q._METRIC_COLUMNS.split(", "))
 
 
@@ -386,15 +504,10 @@ def streamed_due(spark, folder):
         "retry_count", "max_retries",
     )
     later = spark.createDataFrame([(-1, "none", 0, "result", star.NOW, "sent", None, None, None)], retry_state.EVENTS)
-    entered.coalesce(1).write.parquet(source)
-    later.coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(retry_state.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
-    with retry_state.replay_settings(spark):
-        state = fresh_dir(spark, "retry-state")
-        retry_state.stream_retry_state(arriving, out, state).awaitTermination()
+    state = fresh_dir(spark, "retry-state")
+    _in_waves(spark, source, [entered, later], lambda rows: retry_state.stream_retry_state(rows, out, state))
     changes = spark.read.schema(retry_state.CHANGES).parquet(out)
-    due = changes.filter(F.col("change") == "due").select("job_id", "invoice_no", "retry_count", "next_retry_ms")
-    return due.distinct()
+    return changes.filter(F.col("change") == "due").select("job_id", "invoice_no", "retry_count", "next_retry_ms")
 
 
 @query(
@@ -411,7 +524,13 @@ def streamed_due(spark, folder):
 )
 def streamed_retry_state(spark, folder):
     """Failures and results of the queue replayed as events through the state machine."""
-    source, out = fresh_dir(spark, "events-in"), fresh_dir(spark, "changes-out")
+    changes = spark.read.schema(retry_state.CHANGES).parquet(_replayed(spark, folder)[0])
+    return retry_state.current_state(changes)
+
+
+def _replayed(spark, folder):
+    """(changes, checkpoint) after the queue's failures and then their results have gone through the state machine."""
+    source, out, state = (fresh_dir(spark, n) for n in ("events-in", "changes-out", "retry-state"))
     none = F.lit(None)
     entered = star.failed_queue(spark, folder).select(
         "job_id", "invoice_no", F.lit(0).cast("long").alias("seq"), F.lit("failure").alias("kind"),
@@ -424,11 +543,17 @@ def streamed_retry_state(spark, folder):
         F.col("send_error").alias("error_message"), none.cast("int").alias("retry_count"),
         none.cast("int").alias("max_retries"),
     )
-    entered.coalesce(1).write.parquet(source)
-    ended.coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(retry_state.EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    _in_waves(spark, source, [entered, ended], lambda rows: retry_state.stream_retry_state(rows, out, state))
+    return out, state
+
+
+@query(
+    """SELECT job_id, invoice_no, CAST(n AS INTEGER) AS retry_count FROM (SELECT q.*, o.o_orderstatus <> 'O' AS hit, o.o_orderstatus = 'F' AS failed,
+        q.retry_count + CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END AS n FROM queue q JOIN orders o ON o.o_orderkey = q.o_orderkey)
+    WHERE NOT hit OR (failed AND n < max_retries)"""
+)
+def streamed_pending_state(spark, folder):
+    """What the state store holds after the replay: the entries that are still pending, and none besides."""
+    state = _replayed(spark, folder)[1]
     with retry_state.replay_settings(spark):
-        state = fresh_dir(spark, "retry-state")
-        retry_state.stream_retry_state(arriving, out, state).awaitTermination()
-    changes = spark.read.schema(retry_state.CHANGES).parquet(out)
-    return retry_state.current_state(changes)
+        return write_and_read(retry_state.stored_entries(spark, state), "stored").select("job_id", "invoice_no", "retry_count")
