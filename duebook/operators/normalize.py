@@ -102,13 +102,17 @@ def split_faulty(
 
     ``on_bad_date='fail'`` counts unreadable due dates first and stops the job if there are any.
     """
+    return split_marked(with_faults(invoices), on_bad_date)
+
+
+def split_marked(marked: DataFrame, on_bad_date: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """The same of rows that have their ``faults``."""
     if on_bad_date not in ("quarantine", "fail"):
         raise ValueError("on_bad_date must be 'quarantine' or 'fail'")
     if on_bad_date == "fail":
-        bad = invoices.agg(F.count_if(F.col("due_date").isNull())).first()[0]
+        bad = marked.agg(F.count_if(F.col("due_date").isNull())).first()[0]
         if bad:
             raise ValueError(f"{bad} invoices have an unreadable due date")
-    marked = with_faults(invoices)
     good = marked.filter(F.size("faults") == 0).drop("faults")
     return good, marked.filter(F.size("faults") > 0)
 

@@ -46,23 +46,24 @@ def record_fault(draft: Column) -> Column:
     )
 
 
-def first_missing_value(draft: Column, strict: bool = False) -> Column:
+def draft_text(draft: Column) -> Column:
+    return F.concat_ws(" ", draft["greeting"], draft["body"], draft["closing"])
+
+
+def first_missing_value(text: Column, values: Column, strict: bool = False) -> Column:
     """The first of client, number, days and link the text lacks; null if it has them all.
 
-    Plain search finds ``1`` inside ``2026-05-13``; ``strict`` looks for whole words.
+    Plain search finds ``1`` inside ``2026-05-13``; ``strict`` looks for whole words. ``values`` are those of
+    ``invoice_marks``, ``text`` is padded alike.
     """
-    text = F.concat_ws(" ", draft["greeting"], draft["body"], draft["closing"])
-    padded = words_only(text)
     missing = F
-    for name in CHECKED_VALUES:
-        value = F.col(name).cast("string")
-        found = padded.contains(words_only(value)) if strict else text.contains(value)
-        missing = missing.when(~found, value)
+    for k, name in enumerate(CHECKED_VALUES):
+        missing = missing.when(~text.contains(values[k]), F.col(name).cast("string"))
     return missing
 
 
 def invoice_marks(strict: bool = False) -> Column:
-    """What ``judge`` asks of an invoice's drafts, as struct(revisions, recipient, tone, subject, values).
+    """What the rules ask of an invoice's drafts, as struct(revisions, recipient, tone, subject, values).
 
     Needs the columns of ``with_subject``; a whole draft is approved if its ``draft_marks`` equal these
     and its text holds all values.
@@ -77,51 +78,48 @@ def invoice_marks(strict: bool = False) -> Column:
     )
 
 
-def draft_marks(draft: Column, strict: bool = False) -> Column:
-    """What ``judge`` reads of a draft without its invoice, as struct(kind, recipient, tone, subject, text).
+def draft_marks(draft: Column) -> Column:
+    """What the rules read of a draft without its invoice, as struct(kind, fault, recipient, tone, subject).
 
-    ``kind`` is empty, invalid or whole.
+    ``kind`` is empty, invalid or whole; ``fault`` names what makes it invalid.
     """
-    text = F.concat_ws(" ", draft["greeting"], draft["body"], draft["closing"])
+    fault = record_fault(draft)
     return F.struct(
         F.when(_all([draft[name].isNull() for name in DRAFT_FIELDS]), F.lit("empty"))
-        .when(record_fault(draft).isNotNull(), F.lit("invalid"))
+        .when(fault.isNotNull(), F.lit("invalid"))
         .otherwise(F.lit("whole"))
         .alias("kind"),
+        fault.alias("fault"),
         F.lower(strip(draft["recipient"])).alias("recipient"),
         strip(draft["tone"]).alias("tone"),
         strip(draft["subject"]).alias("subject"),
-        (words_only(text) if strict else text).alias("text"),
     )
 
 
-def judge(draft: Column, strict: bool = False) -> Column:
+def judge(draft: Column, strict: bool = False, marks: Column | None = None, asked: Column | None = None) -> Column:
     """First rule a draft fails, as struct(status, rule, feedback).
 
-    ``status`` is approved, rejected, or invalid for a draft that is no proper record.
+    ``status`` is approved, rejected, or invalid for a draft that is no proper record. ``marks`` and ``asked`` are the
+    draft's and the invoice's marks, where they have been worked out before.
     """
-    empty = draft.isNull() | _all([draft[name].isNull() for name in DRAFT_FIELDS])
-    fault = record_fault(draft)
-    missing = first_missing_value(draft, strict)
-    same_recipient = F.lower(strip(draft["recipient"])).eqNullSafe(
-        F.lower(strip(F.col("contact_email")))
-    )
+    marks = draft_marks(draft) if marks is None else marks
+    asked = invoice_marks(strict) if asked is None else asked
+    text = draft_text(draft)
+    missing = first_missing_value(words_only(text) if strict else text, asked["values"], strict)
     return (
-        F.when(empty, _ruling("rejected", 1, fv.TEXT_NO_DRAFT))
+        F.when(draft.isNull() | (marks["kind"] == "empty"), _ruling("rejected", 1, fv.TEXT_NO_DRAFT))
         .when(
-            fault.isNotNull(),
-            _ruling("invalid", 6, F.concat(F.lit("Draft record is not valid: "), fault)),
+            marks["kind"] == "invalid",
+            _ruling("invalid", 6, F.concat(F.lit("Draft record is not valid: "), marks["fault"])),
         )
-        .when(~same_recipient, _ruling("rejected", 2, fv.TEXT_WRONG_RECIPIENT))
+        .when(~marks["recipient"].eqNullSafe(asked["recipient"]), _ruling("rejected", 2, fv.TEXT_WRONG_RECIPIENT))
         .when(
-            strip(draft["tone"]) != strip(F.col("tone")),
+            marks["tone"] != asked["tone"],
             _ruling("rejected", 3, _filled(fv.TEXT_WRONG_TONE, "tone", F.col("tone"))),
         )
         .when(
-            strip(draft["subject"]) != strip(F.col("expected_subject")),
-            _ruling(
-                "rejected", 4, _filled(fv.TEXT_WRONG_SUBJECT, "subject", F.col("expected_subject"))
-            ),
+            marks["subject"] != asked["subject"],
+            _ruling("rejected", 4, _filled(fv.TEXT_WRONG_SUBJECT, "subject", F.col("expected_subject"))),
         )
         .when(
             missing.isNotNull(),
@@ -137,9 +135,7 @@ def judge_drafts(invoices: DataFrame, drafts: DataFrame, strict: bool = False) -
     Needs the columns of ``with_subject``. Drafts are made unique per revision first, so an
     invoice number used many times does not multiply with drafts used many times.
     """
-    one_each = drafts.groupBy(*KEY, "revision").agg(
-        F.min(F.struct(*DRAFT_FIELDS)).alias("_draft")
-    )
+    one_each = drafts.groupBy(*KEY, "revision").agg(F.min(F.struct(*DRAFT_FIELDS)).alias("_draft"))
     judged = invoices.join(one_each, KEY, "left").withColumn("_ruling", judge(F.col("_draft"), strict))
     return judged.select(*KEY, "revision", "_ruling.status", "_ruling.rule", "_ruling.feedback")
 
@@ -147,16 +143,16 @@ def judge_drafts(invoices: DataFrame, drafts: DataFrame, strict: bool = False) -
 def drafts_by_invoice(drafts: DataFrame, revisions: int) -> DataFrame:
     """One row per invoice with the array ``_drafts`` of its first revisions, null where one lacks.
 
-    The aggregation is partial on the map side, so a key with very many rows arrives as one row
-    per task. It also leaves the drafts partitioned by the join key.
+    Each has the ``draft`` and its ``marks``, worked out where the drafts are read. The aggregation is partial on
+    the map side, so a key with very many rows arrives as one row per task. It also leaves the drafts
+    partitioned by the join key.
     """
-    return drafts.filter(F.col("revision") < revisions).groupBy(*KEY).agg(
-        F.array(
-            *[
-                F.min(F.when(F.col("revision") == k, F.struct(*DRAFT_FIELDS)))
-                for k in range(revisions)
-            ]
-        ).alias("_drafts")
+    draft = F.struct(*DRAFT_FIELDS)
+    marked = drafts.filter(F.col("revision") < revisions).select(
+        *KEY, "revision", F.struct(draft.alias("draft"), draft_marks(draft).alias("marks")).alias("_one")
+    )
+    return marked.groupBy(*KEY).agg(
+        F.array(*[F.min(F.when(F.col("revision") == k, F.col("_one"))) for k in range(revisions)]).alias("_drafts")
     )
 
 
@@ -174,16 +170,18 @@ def fold_revisions(
     max(1, max_retries - retry_count) revisions; ``revisions`` is the largest such number the plan
     is made for, and a row that needs more stops the job rather than being judged on fewer.
 
-    The rules are one expression applied to the array of drafts. Written out once per revision
-    they would make more generated code than the JVM compiles. The result comes out of ``inline``,
+    What the rules read of a draft or an invoice alone is worked out once each, in compiled code before
+    the join; the expression applied to the array of drafts only compares. Written out once per revision the rules
+    would make more generated code than the JVM compiles. The result comes out of ``inline``,
     because a later filter on it would otherwise be pushed down as many copies of the rules.
     """
-    nothing = F.array_repeat(F.lit(None).cast(_DRAFT_TYPE), revisions)
-    limit = F.greatest(F.lit(1), F.col("max_retries") - F.col("retry_count")).cast("int")
+    grouped = drafts_by_invoice(drafts, revisions)
+    nothing = F.array_repeat(F.lit(None).cast(grouped.schema["_drafts"].dataType.elementType), revisions)
+    limit = F.col("_asked")["revisions"]
     too_many = F.raise_error(
         F.concat(F.lit("fold_revisions needs revisions >= "), limit.cast("string"))
     ).cast("int")
-    joined = spread_join(invoices, drafts_by_invoice(drafts, revisions), KEY, hot)
+    joined = spread_join(invoices.withColumn("_asked", invoice_marks(strict)), grouped, KEY, hot)
     rows = joined.withColumns(
         {
             "_drafts": F.coalesce("_drafts", nothing),
@@ -191,11 +189,11 @@ def fold_revisions(
         }
     )
 
-    def rule_on(draft: Column) -> Column:
+    def rule_on(one: Column) -> Column:
         return F.when(
-            draft.isNull(),
+            one.isNull(),
             _ruling("awaiting_draft", 0, ""),
-        ).otherwise(judge(draft, strict))
+        ).otherwise(judge(one["draft"], strict, one["marks"], F.col("_asked")))
 
     rows = rows.withColumn("_rulings", F.transform(F.slice("_drafts", F.lit(1), F.col("_limit")), rule_on))
     ends = F.transform("_rulings", lambda ruling: ruling["status"] != "rejected")
@@ -211,7 +209,7 @@ def fold_revisions(
         F.when(exhausted, F.col("_at")).otherwise(F.col("_at") - 1).alias("rejections"),
         F.coalesce(ruling["feedback"], F.lit("")).alias("draft_feedback"),
         ruling["rule"].alias("draft_rule"),
-        F.get(F.col("_drafts"), last).alias("draft"),
+        F.get(F.col("_drafts"), last)["draft"].alias("draft"),
     )
     return rows.select(*invoices.columns, F.inline(F.array(folded)))
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from duebook.operators.audit import new_audit_rows
 from duebook.operators.failures import resolve_settled, upsert_failures
 from duebook.operators.metrics import job_metrics
-from duebook.operators.normalize import normalize_invoices, split_faulty, stage_invoices
+from duebook.operators.normalize import normalize_invoices, split_faulty, split_marked, stage_invoices, with_faults
 from duebook.operators.outcomes import (
     OUTCOME_COLUMNS,
     audit_rows,
@@ -20,7 +20,7 @@ from duebook.operators.outcomes import (
     email_log_rows,
     queue_rows,
 )
-from duebook.schemas import AUDIT, FAILED, JOB_EVENTS, METRICS
+from duebook.schemas import AUDIT, FAILED, JOB_EVENTS, METRICS, STAGE_COLUMNS
 from duebook.sources.files import replace_email_log
 from duebook.session import write_and_read
 from duebook.sources.tables import PartitionedTable, SnapshotTable, clear_jobs
@@ -88,22 +88,24 @@ def run_follow_up(
 ) -> DataFrame:
     """Run the jobs in ``raw`` and write all their tables; returns the metrics per job.
 
+    Dates, amounts and stages are read once: the staged rows are written, and all that follows reads those.
     Drafts, results and attempts are cut to the jobs of the run, a filter that reaches their scans.
     Outcomes are written once, one folder per job, and the other tables are made from the folders of
     the jobs in the run, so what earlier jobs left is not read. Running a job again replaces its
     outcomes, quarantine and e-mail log, also where it has no rows any more; audit rows are only
     ever added, the first of a key stays; queue entries that no longer fail are resolved.
     """
-    loaded = raw.groupBy(F.col("job_id").cast("long").alias("job_id")).agg(F.count("*").alias("total_records"))
-    loaded = write_and_read(loaded, "loaded")
+    marked = stage_invoices(with_faults(normalize_invoices(raw, date_mode)), F.lit(as_of))
+    marked = write_and_read(marked, "staged")
+    loaded = write_and_read(marked.groupBy("job_id").agg(F.count("*").alias("total_records")), "loaded")
     jobs = [row["job_id"] for row in loaded.select("job_id").collect()]
+    good, faulty = split_marked(marked, on_bad_date)
 
     def of_the_run(rows: DataFrame | None) -> DataFrame | None:
         return None if rows is None else rows.filter(F.col("job_id").isin(*jobs))
 
-    outcomes, faulty = follow_up(
-        raw, of_the_run(drafts), as_of, of_the_run(send_results), of_the_run(attempts), date_mode, on_bad_date
-    )
+    outcomes = decide_outcomes(good, of_the_run(drafts), of_the_run(send_results), of_the_run(attempts))
+    faulty = faulty.drop("days_overdue", *STAGE_COLUMNS)
     moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     table = store.outcomes(outcomes.select(*OUTCOME_COLUMNS).schema)
     quarantine = store.quarantine(faulty.schema)

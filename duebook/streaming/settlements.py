@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from duebook.functions.text import words_only
 from duebook.operators.drafts import with_subject
 from duebook.operators.normalize import normalize_invoices, stage_invoices, with_faults
 from duebook.operators.outcomes import WAITING, decide_outcomes, email_log_rows, initial_route
-from duebook.operators.validation import KEY, draft_marks, invoice_marks
+from duebook.operators.validation import KEY, draft_marks, draft_text, invoice_marks
 from duebook.schemas import DRAFT_FIELDS
 from duebook.streaming.batches import read_batches, write_batch
 
@@ -173,9 +174,12 @@ def _events(staged: DataFrame, drafts: DataFrame, sends: DataFrame, strict: bool
         return rows.select(*KEY, *(given.get(n, none[n]).alias(n) for n in names))
 
     draft = F.struct("revision", *DRAFT_FIELDS).cast(DRAFT)
+    read = draft_marks(F.struct(*DRAFT_FIELDS))
+    text = draft_text(F.struct(*DRAFT_FIELDS))
+    marks = F.struct(*(read[c].alias(c) for c in MARKS.fieldNames()[:-1]), (words_only(text) if strict else text).alias("text"))
     return (
         event(asked, invoice=F.col("invoice"), asked=invoice_marks(strict).cast(ASKED))
-        .union(event(drafts, draft=draft, marks=draft_marks(F.struct(*DRAFT_FIELDS), strict).cast(MARKS)))
+        .union(event(drafts, draft=draft, marks=marks.cast(MARKS)))
         .union(event(sends, send=F.struct("success", "provider", "message").cast(SEND)))
     )
 

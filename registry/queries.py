@@ -417,7 +417,8 @@ def long_text_values(spark, folder):
         F.lit("the").alias("payment_link"),
         draft.alias("draft"),
     )
-    return rows.select("doc_id", validation.first_missing_value(F.col("draft")).alias("missing"))
+    values = F.array(*[F.col(c).cast("string") for c in validation.CHECKED_VALUES])
+    return rows.select("doc_id", validation.first_missing_value(validation.draft_text(F.col("draft")), values).alias("missing"))
 
 
 @query("SELECT job_id, invoice_no, route FROM staged")

@@ -5,10 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from duebook.functions.text import words_only
 from duebook.operators.drafts import template_drafts, with_subject
 from duebook.operators.normalize import normalize_invoices, stage_invoices
 from duebook.operators.outcomes import WAITING, decide_outcomes
-from duebook.operators.validation import draft_marks, invoice_marks, judge
+from duebook.operators.validation import draft_marks, draft_text, invoice_marks, judge
 from duebook.schemas import AUDIT, DRAFT_FIELDS, DRAFTS, SEND_RESULTS
 from duebook.session import fresh_dir
 from duebook.streaming import conflicts, ingest, live_metrics, retry_state, settlements
@@ -102,9 +103,13 @@ def test_marks_tell_what_the_rules_tell(spark, strict):
     for columns in faults.values():
         changed = ready.withColumns(columns) if columns else ready
         both = staged.join(changed.select("invoice_no", F.struct(*DRAFT_FIELDS).alias("d")), "invoice_no")
-        found = both.select(judge(F.col("d"), strict)["status"].alias("status"), invoice_marks(strict).alias("asked"), draft_marks(F.col("d"), strict).alias("marks"))
+        found = both.select(
+            judge(F.col("d"), strict)["status"].alias("status"), invoice_marks(strict).alias("asked"),
+            draft_marks(F.col("d")).alias("marks"),
+            (words_only(draft_text(F.col("d"))) if strict else draft_text(F.col("d"))).alias("text"),
+        )
         for row in found.collect():
-            asked, marks = row.asked.asDict(), row.marks.asDict()
+            asked, marks = row.asked.asDict(), row.marks.asDict() | {"text": row.text}
             told = {"invalid": "invalid", "empty": "rejected"}.get(marks["kind"]) or ("approved" if settlements.passes(asked, marks) else "rejected")
             assert told == row.status
 
