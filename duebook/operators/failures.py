@@ -54,6 +54,28 @@ def resolve_settled(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataF
     return rows.select(*[changes.get(c, F.col(c)).alias(c) for c in FAILED.fieldNames()])
 
 
+def closed_keys(queue: DataFrame, outcomes: DataFrame, jobs: list) -> DataFrame:
+    """Keys of pending entries of some jobs whose invoice has no failed or waiting outcome.
+
+    Those are invoices that were settled, and those that a rerun of the job has quarantined or no longer holds.
+    """
+    pending = queue.filter((F.col("status") == "pending") & F.col("job_id").isin(*jobs)).select(*KEY)
+    still = outcomes.filter(F.col("send_status").isin("failed", "pending")).select(*KEY)
+    return pending.join(still, KEY, "left_anti")
+
+
+def close_entries(queue: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """The queue with the pending entries of ``keys`` resolved."""
+    closed = keys.select(*KEY).distinct().withColumn("_closed", F.lit(True))
+    rows = queue.join(closed, KEY, "left")
+    ends = F.col("_closed").isNotNull() & (F.col("status") == "pending")
+    changes = {
+        "status": F.when(ends, F.lit("resolved")).otherwise(F.col("status")),
+        "updated_at": F.when(ends, now).otherwise(F.col("updated_at")),
+    }
+    return rows.select(*[changes.get(c, F.col(c)).alias(c) for c in FAILED.fieldNames()])
+
+
 def due_failures(queue: DataFrame, now: Column, limit: int | None = fv.RETRY_BATCH) -> DataFrame:
     """Pending entries whose time has come, oldest first, permanent errors included.
 

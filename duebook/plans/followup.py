@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duebook.operators.audit import new_audit_rows
-from duebook.operators.failures import resolve_settled, upsert_failures
+from duebook.operators.failures import close_entries, closed_keys, upsert_failures
 from duebook.operators.metrics import job_metrics
 from duebook.operators.normalize import normalize_invoices, split_faulty, split_marked, stage_invoices, with_faults
 from duebook.operators.outcomes import (
@@ -20,10 +20,11 @@ from duebook.operators.outcomes import (
     email_log_rows,
     queue_rows,
 )
+from duebook.operators.validation import KEY
 from duebook.schemas import AUDIT, FAILED, JOB_EVENTS, METRICS, STAGE_COLUMNS
 from duebook.sources.files import replace_email_log
 from duebook.session import write_and_read
-from duebook.sources.tables import PartitionedTable, SnapshotTable, clear_jobs
+from duebook.sources.tables import KeyedTable, PartitionedTable, clear_jobs
 
 
 @dataclass
@@ -32,14 +33,15 @@ class Store:
 
     spark: SparkSession
     root: str
+    queue_parts: int = 16
 
     @property
     def audit(self) -> PartitionedTable:
         return PartitionedTable(self.spark, f"{self.root}/audit", AUDIT)
 
     @property
-    def queue(self) -> SnapshotTable:
-        return SnapshotTable(self.spark, f"{self.root}/failed_invoices", FAILED)
+    def queue(self) -> KeyedTable:
+        return KeyedTable(self.spark, f"{self.root}/failed_invoices", FAILED, KEY, self.queue_parts)
 
     def outcomes(self, schema: T.StructType) -> PartitionedTable:
         return PartitionedTable(self.spark, f"{self.root}/outcomes", schema)
@@ -93,7 +95,8 @@ def run_follow_up(
     Outcomes are written once, one folder per job, and the other tables are made from the folders of
     the jobs in the run, so what earlier jobs left is not read. Running a job again replaces its
     outcomes, quarantine and e-mail log, also where it has no rows any more; audit rows are only
-    ever added, the first of a key stays; queue entries that no longer fail are resolved.
+    ever added, the first of a key stays; queue entries of the jobs whose invoice no longer fails, is in
+    quarantine now or has gone are resolved. Only the parts of the queue that hold such keys are written.
     """
     marked = stage_invoices(with_faults(normalize_invoices(raw, date_mode)), F.lit(as_of))
     marked = write_and_read(marked, "staged")
@@ -116,8 +119,11 @@ def run_follow_up(
     written = table.read(jobs)
 
     store.audit.append(new_audit_rows(audit_rows(written, moment), store.audit.read(jobs)))
-    queue = upsert_failures(store.queue.read(), queue_rows(written, moment))
-    store.queue.write(resolve_settled(queue, written, moment))
+    failed = queue_rows(written, moment)
+    closed = write_and_read(closed_keys(store.queue.read(), written, jobs), "closed")
+    store.queue.rewrite(
+        failed.select(*KEY).unionByName(closed), lambda rows: close_entries(upsert_failures(rows, failed), closed, moment)
+    )
     clear_jobs(store.spark, store.email_log, jobs)
     replace_email_log(email_log_rows(written, moment, ("job_id",)), store.email_log)
     return job_metrics(written, loaded)

@@ -12,6 +12,7 @@ from duebook.operators.audit import new_audit_rows
 from duebook.operators.failures import due_failures, split_states
 from duebook.operators.outcomes import audit_rows, decide_outcomes
 from duebook.operators.retries import apply_results, restored_invoices
+from duebook.operators.validation import KEY
 from duebook.plans.followup import Store
 from duebook.session import write_and_read
 
@@ -40,12 +41,14 @@ def run_retry_cycle(
     attempts: DataFrame | None = None,
     limit: int | None = None,
     restage_at: dt.date | None = None,
+    row_per_retry: bool = False,
 ) -> DataFrame:
     """Run one cycle and write audit and queue; returns the unreadable entries.
 
-    All due entries are tried; ``limit`` takes only the oldest ones, as a paced worker does.
+    Only the parts of the queue that hold settled entries are written. All due entries are tried; ``limit`` takes only the oldest ones, as a paced worker does.
 
-    Outcomes that still wait for a draft or a result leave their entry untouched. Metrics of the
+    ``row_per_retry`` adds the time of the cycle to the audit key, so a second failure with the same retry
+    count has a row of its own. Outcomes that still wait for a draft or a result leave their entry untouched. Metrics of the
     first run are not changed by retries.
     """
     moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
@@ -54,6 +57,7 @@ def run_retry_cycle(
     outcomes, broken = retry_outcomes(due, drafts, send_results, attempts, restage_at)
     settled = write_and_read(outcomes.filter(F.col("send_status") != "pending"), "retry-outcomes")
     jobs = [row["job_id"] for row in settled.select("job_id").distinct().collect()]
-    store.audit.append(new_audit_rows(audit_rows(settled, moment), store.audit.read(jobs)))
-    store.queue.write(apply_results(queue, settled, moment))
+    attempt = "created_at" if row_per_retry else None
+    store.audit.append(new_audit_rows(audit_rows(settled, moment), store.audit.read(jobs), attempt_column=attempt))
+    store.queue.rewrite(settled.select(*KEY), lambda rows: apply_results(rows, settled, moment))
     return broken
