@@ -13,7 +13,8 @@ from duebook.operators.ledger import created_events, fold_jobs, ingest_decision,
 from duebook.operators.normalize import normalize_invoices, stage_invoices
 from duebook.plans.followup import Store, run_follow_up
 from duebook.session import write_and_read
-from duebook.sources.fingerprints import file_fingerprints
+from duebook.sources.claims import Claims
+from duebook.sources.fingerprints import known_fingerprints
 from duebook.sources.invoice_csv import read_mixed_csv, with_job_ids
 
 NO_ROWS = "the invoice file has no rows"
@@ -40,6 +41,36 @@ def _checked(jobs: DataFrame, invoices: DataFrame, on_bad_date: str) -> DataFram
     return jobs.join(counts, "job_id", "left").select("job_id", error.alias("error"))
 
 
+def _claimed(decided: DataFrame, claims: Claims, last: int, now: dt.datetime) -> DataFrame:
+    """The decisions with ``job_id`` of what this upload may run.
+
+    New contents and those whose job is still on record as open are claimed one by one (the driver holds
+    their hashes and numbers, no file). An open job whose claim has run out is ``resumed`` under its number; what
+    another upload holds is in progress. A number is claimed like a content, so no two uploads give out the same.
+    """
+    spark = decided.sparkSession
+    open_ = decided.filter("decision = 'new' OR existing_job_id IS NOT NULL AND decision = 'in_progress'")
+    rows = open_.select("file_path", "file_hash", "decision", "existing_job_id").orderBy("file_path").collect()
+    number, mine, seen = last, [], set()
+    for row in rows:
+        if row["file_hash"] in seen or not claims.take(row["file_hash"], row["file_path"], now):
+            continue
+        seen.add(row["file_hash"])
+        if row["decision"] == "in_progress":
+            mine.append((row["file_path"], "resumed", row["existing_job_id"]))
+            continue
+        number = claims.next_number(number)
+        mine.append((row["file_path"], "new", number))
+    taken = spark.createDataFrame(mine, "file_path string, _taken string, job_id long")
+    decision = F.when(F.col("_taken").isNotNull(), F.col("_taken")).when(F.col("decision") == "new", F.lit("in_progress"))
+    return decided.join(taken, "file_path", "left").withColumn("decision", F.coalesce(decision, F.col("decision"))).drop("_taken")
+
+
+def _release(new: DataFrame, claims: Claims) -> None:
+    for row in new.select("file_hash").collect():
+        claims.release(row["file_hash"])
+
+
 def run_uploads(
     store: Store,
     folder: str,
@@ -49,9 +80,12 @@ def run_uploads(
     send_results: Callable[[DataFrame], DataFrame] | None = None,
     date_mode: str = "dayfirst",
     on_bad_date: str = "quarantine",
+    lease: dt.timedelta = dt.timedelta(hours=6),
 ) -> DataFrame:
     """Decide on every file of a folder, run the new ones as jobs and record them; returns the decisions.
 
+    Only new and changed files are hashed, and only files that run are parsed. Two uploads at once run each
+    content once; a job that is still open after its ``lease``, because its driver died, is resumed under its number.
     A content met before is cached or in progress and not run; so are further copies of a new one. A
     job without rows, or with unreadable dates under ``on_bad_date='fail'``, fails with a message and
     leaves no outcomes; the others run together. ``drafts`` and ``send_results`` are given the staged
@@ -59,20 +93,20 @@ def run_uploads(
     """
     spark = store.spark
     moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    claims = Claims(spark, f"{store.root}/claims", lease)
     jobs = fold_jobs(store.job_events.read())
     last = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    decided = ingest_decision(file_fingerprints(spark, folder), jobs, "file_path").orderBy("file_path")
-    number = F.monotonically_increasing_id() + 1 + last
-    decided = write_and_read(
-        decided.withColumn("job_id", F.when(F.col("decision") == "new", number)), "decisions"
-    )
-    new = decided.filter("decision = 'new'")
+    prints = known_fingerprints(spark, folder, f"{store.root}/files")
+    decided = write_and_read(ingest_decision(prints, jobs, "file_path"), "prints")
+    decided = write_and_read(_claimed(decided, claims, last, now), "decisions")
+    new = decided.filter("decision IN ('new', 'resumed')")
     if new.isEmpty():
         return decided
-    store.job_events.append(created_events(new, moment))
+    store.job_events.append(created_events(new.filter("decision = 'new'"), moment))
     store.job_events.append(status_events(new, F.lit("running"), F.lit(1), moment))
 
-    raw = write_and_read(with_job_ids(read_mixed_csv(spark, folder), new), "uploaded")
+    paths = [row["file_path"] for row in new.select("file_path").collect()]
+    raw = write_and_read(with_job_ids(read_mixed_csv(spark, paths), new), "uploaded")
     normalized = normalize_invoices(raw, date_mode)
     checked = write_and_read(_checked(new.select("job_id"), normalized, on_bad_date), "checked")
     able = checked.filter("error IS NULL").select("job_id")
@@ -88,7 +122,9 @@ def run_uploads(
         store.job_events.append(
             status_events(checked, F.lit("failed"), F.lit(2), moment, F.coalesce("error", F.lit(str(broken)[:1000])))
         )
+        _release(new, claims)
         raise
     ends = F.when(F.col("error").isNull(), F.lit("completed")).otherwise(F.lit("failed"))
     store.job_events.append(status_events(checked, ends, F.lit(2), moment, F.col("error")))
+    _release(new, claims)
     return decided

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duebook.session import write_and_read
+from duebook.sources.invoice_csv import path_exists
+
 ONE_GIB = 1 << 30
 CHUNK = 8192
 
@@ -29,7 +32,10 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes)], names=["file_path", "length", "file_hash"])
 
 
-def file_fingerprints(spark: SparkSession, path: str, whole_up_to: int = ONE_GIB) -> DataFrame:
+FILES = "file_path string, length long, modified_at timestamp, file_hash string"
+
+
+def file_fingerprints(spark: SparkSession, path: str | list[str], whole_up_to: int = ONE_GIB) -> DataFrame:
     """file_path, length and file_hash (SHA-256 of the bytes) of every file.
 
     The hash is that of the content at every size. Files up to ``whole_up_to`` bytes are read as one
@@ -41,3 +47,28 @@ def file_fingerprints(spark: SparkSession, path: str, whole_up_to: int = ONE_GIB
     large = files.filter(F.col("length") > whole_up_to).select(*named)
     streamed = large.mapInArrow(_streamed, "file_path string, length long, file_hash string")
     return small.unionByName(streamed)
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_path, length and modified_at of every file, out of the listing alone: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified_at"))
+
+
+def known_fingerprints(spark: SparkSession, path: str, manifest: str) -> DataFrame:
+    """The fingerprints of all files, of which only new and changed ones are read.
+
+    ``manifest`` is a table of files met before, with length, time and hash; a file is new unless it's there
+    with the same length and time, and is added to it. The paths of new files are the only ones the driver holds.
+    """
+    schema = spark.createDataFrame([], FILES).schema
+    known = spark.read.schema(schema).parquet(manifest) if path_exists(spark, manifest) else spark.createDataFrame([], schema)
+    seen = ["file_path", "length", "modified_at"]
+    listed = write_and_read(listed_files(spark, path), "listed")
+    fresh = write_and_read(listed.join(known.select(*seen), seen, "left_anti"), "fresh")
+    paths = [row["file_path"] for row in fresh.select("file_path").collect()]
+    if paths:
+        hashed = file_fingerprints(spark, paths).select("file_path", "file_hash")
+        fresh.join(hashed, "file_path").select(*schema.fieldNames()).write.mode("append").parquet(manifest)
+        known = spark.read.schema(schema).parquet(manifest)
+    return listed.join(known.select(*seen, "file_hash").distinct(), seen).select("file_path", "length", "file_hash")

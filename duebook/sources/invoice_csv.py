@@ -69,7 +69,7 @@ def read_invoice_csv(
     return _null_tokens(rows, null_tokens)
 
 
-def _header_width(spark: SparkSession, path: str) -> int:
+def _header_width(spark: SparkSession, path: str | list[str]) -> int:
     """Cells of the widest line that holds all required names; 0 if there is none."""
     lines = spark.read.text(path)
     for name in fv.REQUIRED_COLUMNS:
@@ -78,7 +78,7 @@ def _header_width(spark: SparkSession, path: str) -> int:
     return lines.agg(F.coalesce(F.max(commas + 1), F.lit(0))).first()[0]
 
 
-def _cell_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _cell_rows(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows of all files as arrays of cells, the header of each file that has one)."""
     cells = [f"_c{i}" for i in range(max(_header_width(spark, path), len(fv.REQUIRED_COLUMNS)))]
     rows = (
@@ -101,9 +101,9 @@ def headless_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mixed_csv(
-    spark: SparkSession, path: str, null_tokens: tuple[str, ...] = ()
+    spark: SparkSession, path: str | list[str], null_tokens: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Read a folder of invoice files that each have their own column order.
+    """Read a folder, or a list, of invoice files that each have their own column order.
 
     Each file's header is the row holding all required names; its cells say which column is
     which. The headers, one row per file, are joined back on the file. Rows are read as wide as
