@@ -243,6 +243,7 @@ def rollup(nodes: DataFrame, members: DataFrame, scratch: Scratch, in_one_task:
         "node", "parent", "conv_id", "depth", "weight", "leaves", "tokens",
         component.alias("component"), zero.alias("n_leaves"), zero.alias("saved_tokens"),
     )
+    state = scratch.put(state, "state")  # a column now, no constant that would turn joins on it into cross joins
     index, small, level = None, [], 0
     while True:
         sizes = state.where("component IS NOT NULL").groupBy("component").agg(F.max("weight").alias("whole"))
