@@ -124,6 +124,15 @@ def exported_jobs(spark, folder):
     return spark.read.option("header", True).schema("id STRING, file_hash STRING, status STRING").csv(path)
 
 
+@query(f"SELECT job_id, invoice_no, error_type, error_message, retry_count, status FROM ({q._NEW_FAILED})")
+def exported_failures(spark, folder):
+    path = fresh_dir(spark, "failures-csv")
+    names = ["job_id", "invoice_no", "error_type", "error_message", "retry_count", "status"]
+    files.export_csv(q._queue_rows(spark, folder).select(*names), path)
+    kinds = "job_id LONG, invoice_no STRING, error_type STRING, error_message STRING, retry_count INT, status STRING"
+    return spark.read.option("header", True).option("escape", '"').schema(kinds).csv(path)
+
+
 def _run(spark, folder, runs=("sends",), raw=None, between=None):
     """Runs one after the other, each with the send results or dry."""
     store = Store(spark, fresh_dir(spark, "store"))
