@@ -127,7 +127,7 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select("page_id", "url")
-    mined = url_filters.mine(pages, _table(spark, folder, "labels"))
+    mined = url_filters.mine(pages, _table(spark, folder, "labels"), min_confidence=0.4, min_pages=10)
     stated = [
         url_filters.rule("allow", "org/"),
         url_filters.rule("block", "example.org/es/"),
@@ -238,17 +238,26 @@ WITH rest AS (
   FROM labelled_hosts
 ), judged AS (
   SELECT doc_id, bool_or(coalesce(quality = 0 OR toxic = 1, false)) AS bad FROM labels GROUP BY doc_id
-), baskets AS (
-  SELECT items, bad, count(*) OVER () AS n FROM tokens JOIN judged ON page_id = doc_id
+), baskets AS MATERIALIZED (
+  SELECT row_number() OVER () AS basket, items, bad FROM tokens JOIN judged ON page_id = doc_id
+), frequent AS (
+  SELECT token, list(basket ORDER BY basket) AS places
+  FROM (SELECT basket, bad, unnest(items) AS token FROM baskets) GROUP BY token HAVING count(*) FILTER (WHERE bad) >= 10
+), classes AS (
+  SELECT list_sort(list(token)) AS members, any_value(places) AS places FROM frequent GROUP BY frequent.places
+), shorter AS (
+  SELECT basket, list_sort(list(members[1])) AS items FROM (SELECT members, unnest(places) AS basket FROM classes) GROUP BY basket
 ), sets AS (
-  SELECT list_sort(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS held, bad, n
-  FROM (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM baskets) WHERE bit_count(mask) <= 9
-), mined AS (
+  SELECT list_filter(s.items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS held, bad
+  FROM (SELECT *, unnest(range(1, 1 << len(items))) AS mask FROM shorter) AS s JOIN baskets USING (basket)
+), kept_sets AS (
   SELECT held FROM sets GROUP BY held
-  HAVING count(*) FILTER (WHERE bad) >= greatest(ceil(0.001 * max(n)), 20)
-    AND count(*) FILTER (WHERE bad) >= 0.6 * count(*)
+  HAVING count(*) FILTER (WHERE bad) >= 10 AND count(*) FILTER (WHERE bad) >= 0.4 * count(*)
+), mined AS (
+  SELECT k.held AS names, flatten(list(members)) AS held
+  FROM (SELECT held, unnest(held) AS name FROM kept_sets) AS k JOIN classes ON members[1] = name GROUP BY k.held
 ), hits AS (
-  SELECT DISTINCT url FROM tokens JOIN mined ON list_has_all(items, held)
+  SELECT DISTINCT url FROM tokens JOIN mined ON list_has_all(items, mined.held)
 ), stated AS (
   SELECT page_id, url, host, path, arg_max(text, length(text)) AS rule, arg_max(decides, length(text)) AS decides
   FROM parts LEFT JOIN (VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'),

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 from collections import Counter
@@ -113,6 +114,58 @@ def test_mined_rules_block_what_they_fit(spark):
     assert judged[300] == "allow" and judged[301] == "block"
 
 
+def plain_rules(baskets, min_pages, min_confidence):
+    """Every set of tokens that enough bad pages hold, tokens in the same pages as one."""
+    at = {}
+    for k, (items, _) in enumerate(baskets):
+        for token in items:
+            at.setdefault(token, []).append(k)
+    classes = {}
+    for token, places in at.items():
+        if sum(baskets[k][1] for k in places) >= min_pages:
+            classes.setdefault(tuple(places), []).append(token)
+    found = {}
+    for size in range(1, len(classes) + 1):
+        for chosen in itertools.combinations(classes, size):
+            places = set.intersection(*map(set, chosen))
+            n_bad = sum(baskets[k][1] for k in places)
+            if n_bad >= min_pages and n_bad >= min_confidence * len(places):
+                found[frozenset(t for c in chosen for t in classes[c])] = n_bad / len(places)
+    return found
+
+
+def test_rules_are_those_of_all_sets(spark):
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice('ab')}.net/{rng.choice('xyz')}/{rng.choice('pq')}?{rng.choice('mn')}=1" for _ in range(80)]
+    bad = [int(rng.random() < (0.8 if "/x/" in u else 0.3)) for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, b) for k, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    items = [r.t for r in pages.orderBy("page_id").select(url_filters.tokens(F.col("url")).alias("t")).collect()]
+    mined = url_filters.mine(pages, labels, min_confidence=0.5, min_pages=6).collect()
+    found = {frozenset(r.antecedent): r.confidence for r in mined}
+    assert len(found) == len(mined) > 0
+    assert found == pytest.approx(plain_rules(list(zip(items, bad)), 6, 0.5))
+
+
+def test_copies_of_long_urls_make_one_rule(spark):
+    long = "http://x.org/" + "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    rows = [(k, long) for k in range(2500)] + [(5000 + k, f"ftp://y.com/q{chr(97 + k)}") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, int(k < 5000)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    mined = url_filters.mine(pages, labels).collect()
+    assert len(mined) == 1 and len(mined[0].antecedent) == 45 and mined[0].support == pytest.approx(2500 / 2520)
+    rules = spark.createDataFrame([tuple([r.antecedent]) for r in mined], "antecedent array<string>")
+    found = {r.page_id: r.verdict for r in url_filters.judge(pages, [], rules).collect()}
+    assert all(found[k] == ("block" if k < 5000 else "allow") for k, _ in rows)
+
+
+def test_judged_pages_keep_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/", "u", "h", "n")], "page_id long, url string, _url string, _HIT string, `__url` string")
+    rules = spark.createDataFrame([(["host=a.net"],)], "antecedent array<string>")
+    row = url_filters.judge(pages, [], rules).first()
+    assert (row.verdict, row["_url"], row["_HIT"], row["__url"]) == ("block", "u", "h", "n")
+
+
 def test_rules_need_support_and_confidence(spark):
     pages = spark.createDataFrame([(k, "http://a.net/") for k in range(10)], "page_id long, url string")
     labels = spark.createDataFrame([(k, 0, 1) for k in range(10)], "doc_id long, quality int, toxic int")
