@@ -30,5 +30,7 @@ def read_email_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(view: DataFrame, path: str) -> None:
-    """Write a view with a header and without row numbers, as one folder of part files."""
-    view.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Write a view with a header and without row numbers, as one folder of part files. Blanks around values stay."""
+    view.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from duebook.operators import audit, ledger, normalize, views
+from duebook.operators import audit, ledger, normalize, profiling, views
 from duebook.plans import upload
 from duebook.plans.followup import Store, run_follow_up
 from duebook.plans.retry_cycle import run_retry_cycle
 from duebook.schemas import AUDIT, DRAFTS, SEND_RESULTS
 from duebook.session import fresh_dir, write_and_read
 from duebook.sources import files, fingerprints, invoice_csv, star
+from duebook.sources.recent import RecentTable
+from duebook.sources.tables import PartitionedTable
 from duebook.streaming import conflicts, ingest, live_metrics, retry_state, settlements
 from duebook.streaming.batches import read_batches
 from registry import queries as q
@@ -133,6 +138,72 @@ def exported_failures(spark, folder):
     return spark.read.option("header", True).option("escape", '"').schema(kinds).csv(path)
 
 
+_AUDIT_EXPORT = ["job_id", "invoice_no", "client", "stage_key", "subject", "send_status", "error_message", "retry_count"]
+
+
+@query(
+    "SELECT job_id, retry_count, "
+    + ", ".join(f"nullif({c}, '') AS {c}" for c in _AUDIT_EXPORT if c not in ("job_id", "retry_count"))
+    + " FROM audit"
+)
+def exported_audit(spark, folder):
+    """Empty and missing texts are one in such a file, and read back as missing."""
+    path = fresh_dir(spark, "audit-csv")
+    files.export_csv(q._audit(spark, folder).select(*_AUDIT_EXPORT), path)
+    kinds = T.StructType([AUDIT[name] for name in _AUDIT_EXPORT])
+    return spark.read.option("header", True).option("escape", '"').schema(kinds).csv(path)
+
+
+@query(f'SELECT invoice_no, "to", subject, tone, body FROM ({q.EMAIL_LOG_SQL})')
+def exported_emails(spark, folder):
+    """Bodies run over several lines."""
+    path = fresh_dir(spark, "emails-csv")
+    files.export_csv(q.email_log(spark, folder).select("invoice_no", "to", "subject", "tone", "body"), path)
+    kinds = "invoice_no STRING, `to` STRING, subject STRING, tone STRING, body STRING"
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(kinds).csv(path)
+
+
+def _recent_audit(spark, folder):
+    table = RecentTable(spark, fresh_dir(spark, "recent"), AUDIT, seconds=600)
+    table.append(q._audit(spark, folder))
+    return table
+
+
+@query(f"{q._FEED_SELECT}{q._FEED}")
+def stored_email_feed(spark, folder):
+    """The feed out of folders by time, of which only the newest are opened."""
+    return views.email_feed(_recent_audit(spark, folder).newest(300))
+
+
+@query(
+    f"{q._FEED_SELECT}(SELECT * FROM audit WHERE job_id = 5 AND created_at < {TIME} + INTERVAL 900 SECOND "
+    "ORDER BY created_at DESC, job_id, invoice_no LIMIT 20)"
+)
+def stored_email_next_page(spark, folder):
+    """A page of one job from a time on, out of the folders that end there."""
+    after = (star.NOW + dt.timedelta(seconds=900), 10**6, "~")
+
+    def rest(rows):
+        return views.next_page(rows.filter("job_id = 5"), after)
+
+    return rest(_recent_audit(spark, folder).newest(20, rest, at=after[0]))
+
+
+_CLOSE = "unique_values BETWEEN 0.98 * exact AND 1.02 * exact"
+
+
+@query(f"SELECT * EXCLUDE (unique_values), true AS within_two_percent FROM ({q.PROFILE_SQL})")
+def profile_of_all_jobs(spark, folder):
+    """The profile of all jobs from the sketches stored per job, held against the exact one."""
+    loose = q._loose(spark, folder)
+    rows = profiling.profile_sketches(loose)
+    table = PartitionedTable(spark, fresh_dir(spark, "profiles"), rows.schema)
+    table.replace(rows)
+    exact = profiling.column_profile(loose).select("column_name", F.col("unique_values").alias("exact"))
+    merged = profiling.profile_from_sketches(table.read()).join(exact, "column_name")
+    return merged.select("column_name", "type", "filled_percent", F.expr(_CLOSE).alias("within_two_percent"))
+
+
 def _run(spark, folder, runs=("sends",), raw=None, between=None):
     """Runs one after the other, each with the send results or dry."""
     store = Store(spark, fresh_dir(spark, "store"))

@@ -1094,13 +1094,14 @@ def distinct_rows(spark, folder):
     return profiling.without_duplicates(star.table(spark, folder, "events").select("user_id", "event_type"))
 
 
-@query(
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, '{kind}' AS type, {percent(f'count({c})', 'count(*)', 1)} AS filled_percent, "
-        f"count(DISTINCT {c}) AS unique_values FROM ({_LOOSE})"
-        for c, kind in zip(_LOOSE_NAMES, ["bigint", "object", "object", "object", "object"], strict=True)
-    )
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{kind}' AS type, {percent(f'count({c})', 'count(*)', 1)} AS filled_percent, "
+    f"count(DISTINCT {c}) AS unique_values FROM ({_LOOSE})"
+    for c, kind in zip(_LOOSE_NAMES, ["bigint", "object", "object", "object", "object"], strict=True)
 )
+
+
+@query(PROFILE_SQL)
 def column_profile(spark, folder):
     return profiling.column_profile(_loose(spark, folder))
 
