@@ -20,7 +20,7 @@ from duebook.streaming import conflicts, ingest, live_metrics, retry_state, sett
 from duebook.streaming.batches import read_batches
 from registry import queries as q
 from registry.queries import query
-from registry.sql import TIME, backoff
+from registry.sql import TIME, backoff, retryable
 
 _ACCEPTED = (
     "SELECT job_id, invoice_no, CAST(CAST(amount_text AS DECIMAL(18,2)) AS DOUBLE) AS amount, "
@@ -297,21 +297,20 @@ def _outcome_schema(spark, folder):
 
 
 @query(
-    f"""SELECT job_id, invoice_no, 1 AS retry_count, CASE WHEN max_retries = 1 THEN 'permanent_failure' ELSE 'pending' END AS status,
-      CAST({TIME} + INTERVAL 2 HOUR + {backoff('retry_count + 1')} AS VARCHAR) AS next_retry_at
-    FROM (SELECT job_id, invoice_no, max_retries, 0 AS retry_count FROM outcomes WHERE outcome = 'attempt_failed')"""
+    f"""SELECT job_id, invoice_no, CASE WHEN {retryable('send_error')} THEN 'retryable' ELSE 'permanent' END AS error_type,
+      send_error AS error_message, max_retries, CAST(retry_count + CASE WHEN again THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
+      CASE WHEN again THEN 'pending' ELSE 'resolved' END AS status,
+      CAST(CASE WHEN again THEN {TIME} + INTERVAL 2 HOUR + {backoff('retry_count + 1')}
+        ELSE {TIME} + {backoff('retry_count')} END AS VARCHAR) AS next_retry_at,
+      CAST({TIME} AS VARCHAR) AS created_at, CAST({TIME} + INTERVAL 2 HOUR AS VARCHAR) AS updated_at
+    FROM (SELECT *, outcome = 'attempt_failed' OR retry_count < 2 AS again FROM outcomes WHERE send_status = 'failed')"""
 )
 def retry_cycle_run(spark, folder):
-    """Second cycle over the queue of a run: invalid drafts fail once more."""
-    import datetime as dt
-
+    """The whole queue after a cycle: invalid drafts and refused e-mails fail once more, and an entry that
+    may look at one revision only, a faulty one, is escalated and so resolved."""
     store, drafts, sends, _ = _run(spark, folder)
     run_retry_cycle(store, drafts, star.NOW + dt.timedelta(hours=2), sends, limit=None)
-    return (
-        store.queue.read()
-        .filter(F.col("error_message").startswith("Draft record"))
-        .select("job_id", "invoice_no", "retry_count", "status", "next_retry_at")
-    )
+    return store.queue.read().drop("invoice_state_json")
 
 
 def _uploads(spark, folder):

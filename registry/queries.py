@@ -26,6 +26,7 @@ from duebook.operators import (
     validation,
     views,
 )
+from duebook.schemas import DRAFT_FIELDS
 from duebook.sources import star
 from registry import sql
 from registry.sql import DAY, TIME, oracle, percent, stripped, two_digits
@@ -511,6 +512,25 @@ def outcomes_with_attempts(spark, folder):
     ).select("job_id", "invoice_no", "outcome", "send_error")
 
 
+@query(
+    f"""SELECT job_id, invoice_no, gone IS NULL AND success AS sent,
+      CASE WHEN gone THEN {sql.text(sql.NOTHING_TO_SEND)} WHEN NOT success THEN {sql.SEND_ERROR} END AS send_error
+    FROM (SELECT s.job_id, s.invoice_no, x.success, x.send_message, CASE WHEN s.o_orderkey % 5 = 0 THEN true END AS gone
+      FROM staged s JOIN send_results x ON x.job_id = s.job_id AND x.invoice_no = s.invoice_no WHERE s.route = 'draft')"""
+)
+def send_outcomes(spark, folder):
+    """How sending an approved e-mail went; every fifth draft has been taken away since it was approved."""
+    kept = star.drafts(spark, folder).filter((F.col("revision") == 0) & (_sequence().cast("long") % 5 != 0))
+    drafts_left = kept.select("job_id", "invoice_no", F.struct(*DRAFT_FIELDS).alias("draft"))
+    approved = star.staged(spark, folder).filter(outcomes.initial_route() == "draft").select("job_id", "invoice_no")
+    sends = star.send_results(spark, folder).select(
+        "job_id", "invoice_no", F.struct("success", "provider", "message").alias("send")
+    )
+    rows = approved.join(drafts_left, ["job_id", "invoice_no"], "left").join(sends, ["job_id", "invoice_no"])
+    went, error = outcomes.send_result(F.col("draft"), F.col("send"))
+    return rows.select("job_id", "invoice_no", went.alias("sent"), error.alias("send_error"))
+
+
 def _sequence():
     return F.substring("invoice_no", 5, 20).cast("double")
 

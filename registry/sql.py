@@ -30,6 +30,7 @@ MISSING_VALUE = "Email must include: {value}"
 NOT_OVERDUE = "Invoice is not overdue."
 ESCALATED_DAYS = "{days} days overdue — flagged for legal/finance review"
 ESCALATED_DRAFT = "Email validation failed after {n} retries — manual review required"
+NOTHING_TO_SEND = "No email draft available to send."
 SEND_FAILED = "Send failed via {provider}: {message}"
 TONES = ["Warm & Friendly", "Polite but Firm", "Formal & Serious", "Stern & Urgent", "Legal Review Required"]
 
@@ -216,6 +217,9 @@ _wording = {
     "send": filled(SEND_FAILED, provider="'mailer'", message="send_message"),
 }
 
+#: Error text of a send that the provider refused.
+SEND_ERROR = _wording["send"]
+
 CTES: dict[str, str] = {
     "stages": f"""
     SELECT * FROM (VALUES {_stage_rows}) AS t(stage_key, first_day, last_day, followup_number, tone,
