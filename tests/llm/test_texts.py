@@ -46,6 +46,32 @@ def test_token_files_read_back(spark):
         at += len(ids)
 
 
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_long_blocks_are_read_by_checkpoint(spark, monkeypatch, with_ids):
+    """Documents over many checkpoints, several in one, and ids that repeat, read as cut blocks and as whole ones."""
+    rng = random.Random(19)
+    texts = [*AWKWARD, words(rng, 4000), "b", words(rng, 2500), words(rng, 20), None]
+    docs = documents(spark, texts, first=-3).repartition(2)
+    docs = docs.union(docs.where("doc_id = 1")).withColumn("start", F.lit("mine"))
+    monkeypatch.setattr(token_files.encode_block, "__defaults__", (16, 4))
+    folder = token_files.new_folder(spark)
+    token_files.write_token_files(docs, folder, BPE, block_ids=900)
+    whole = sorted(map(tuple, token_files.read_token_files(spark, folder, with_ids).collect()))
+    for limit in (0, 1500):
+        cut = token_files.read_token_files(spark, folder, with_ids, whole_up_to=limit)
+        assert sorted(map(tuple, cut.collect())) == whole
+    assert len(whole) == len(texts) + 1 and sum(r[2] for r in whole) == sum(len(plain_ids(t)) for t in [*texts, texts[4]])
+    longest = max(whole, key=lambda r: r[2])
+    assert longest[3] == zlib.crc32(np.array(plain_ids(texts[longest[0] + 3]), "<u4").tobytes())
+
+
+def test_checksums_are_joined():
+    rng = random.Random(20)
+    for a, b in ((0, 0), (0, 5), (5, 0), (7, 3), (100, 3_000_001)):
+        one, two = rng.randbytes(a), rng.randbytes(b)
+        assert token_files.joined_crc32(zlib.crc32(one), zlib.crc32(two), b) == zlib.crc32(one + two)
+
+
 def test_token_files_of_no_documents(spark):
     folder = token_files.new_folder(spark)
     token_files.write_token_files(documents(spark, []), folder, BPE)
@@ -59,9 +85,13 @@ def test_token_blocks_and_checkpoints():
         table = token_files.Table(token_files.scaled(np.bincount(ids, minlength=5001)))
         data = token_files.encode_block(ids, table, lanes=64, between=32)
         assert (token_files.decode_block(data, table) == ids).all()
-        points = -(-(-(-n // 64)) // 32)
-        parts = [token_files.decode_block(data, table, k) for k in range(points)]
+        points = list(token_files.checkpoints(data))
+        assert len(points) == -(-n // (64 * 32))
+        parts = [point.decode(table) for point in points]
         assert np.concatenate([np.zeros(0, np.uint32), *parts]).tolist() == ids.tolist()
+    points[1].check ^= 1
+    with pytest.raises(token_files.CorruptBlock):
+        points[1].decode(table)
     with pytest.raises(token_files.CorruptBlock):
         token_files.decode_block(data[:100] + bytes([data[100] ^ 1]) + data[101:], table)
     with pytest.raises(ValueError):
