@@ -5,14 +5,15 @@
 
 Defined results: a null text counts as empty; an empty text has no words and fails ``few_words``;
 an empty table gives an empty table. Columns of the input other than the text are passed through;
-one that has the name of a measurement is replaced.
+one that has the name of a measurement is replaced. ``store`` keeps the ledger of a table, so that other
+policies and ablations are worked out later without reading a text again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -111,18 +112,27 @@ def _repeated_words(hashes: Column) -> Column:
     return F.get(covered, F.lit(0))
 
 
+def _free_names(rows: DataFrame, *names: str) -> list[str]:
+    """Names that no column has, whatever the case of its letters."""
+    lead = "_"
+    while any(c.lower().startswith(lead) for c in rows.columns):
+        lead += "_"
+    return [lead + name for name in names]
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The measurements of each text, one column each.
 
     Words are cut at space and the characters 9 to 13. Windows of five words are compared by a
     64-bit hash within their own text. No step leaves the row, so nothing is shuffled.
     """
-    kept = [c for c in docs.columns if c not in MEASURES]
-    words = F.array_remove(F.split("_text", BLANK), "")
-    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(IN_A_WORD))
+    kept = [c for c in docs.columns if c.lower() not in MEASURES]
+    text_, words_, lines_, hashes_, windows_ = _free_names(docs, "text", "words", "lines", "hashes", "windows")
+    words = F.array_remove(F.split(text_, BLANK), "")
+    lines = F.filter(F.split(text_, "\n"), lambda line: line.rlike(IN_A_WORD))
     window_hashes = F.flatten(
         F.transform(
-            F.array("_hashes"),
+            F.array(hashes_),
             lambda hs: F.transform(
                 F.slice(hs, F.lit(1), F.greatest(F.size(hs) - (WINDOW - 1), F.lit(0))),
                 lambda h, i: F.xxhash64(h, *(F.get(hs, i + k) for k in range(1, WINDOW))),
@@ -130,23 +140,23 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         )
     )
     rows = (
-        docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumn("_words", words)
-        .withColumn("_lines", lines)
-        .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-        .withColumn("_windows", window_hashes)
+        docs.withColumn(text_, F.coalesce(F.col(text), F.lit("")))
+        .withColumn(words_, words)
+        .withColumn(lines_, lines)
+        .withColumn(hashes_, F.transform(words_, lambda w: F.xxhash64(w)))
+        .withColumn(windows_, window_hashes)
     )
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    repeated = F.size(F.array_distinct(windows_)) < F.size(windows_)
     return rows.select(
-        *kept,
-        F.size("_words").cast("long").alias("n_words"),
-        _length_without(F.col("_text"), BLANK).alias("word_chars"),
-        _length_without(F.col("_text"), r"[^#*$%&|<>]+").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(repeated, _repeated_words(F.col("_windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        _length_without(F.col("_text"), r"[^\p{L}]+").alias("n_letters"),
-        _length_without(F.col("_text"), r"[^\p{Lu}]+").alias("n_upper"),
+        *(F.col(f"`{c}`") for c in kept),
+        F.size(words_).cast("long").alias("n_words"),
+        _length_without(F.col(text_), BLANK).alias("word_chars"),
+        _length_without(F.col(text_), r"[^#*$%&|<>]+").alias("n_symbols"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        F.when(repeated, _repeated_words(F.col(windows_))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        _length_without(F.col(text_), r"[^\p{L}]+").alias("n_letters"),
+        _length_without(F.col(text_), r"[^\p{Lu}]+").alias("n_upper"),
     )
 
 
@@ -211,6 +221,39 @@ def ablations(
     )
 
 
+def store(
+    docs: DataFrame,
+    folder: str,
+    run: str,
+    keys: tuple[str, ...] = ("doc_id",),
+    text: str = "text",
+    rules: tuple[Rule, ...] = RULES,
+) -> None:
+    """Evaluate every rule once and keep ``keys``, measurements and bits in ``folder``, under the name ``run``.
+
+    Storing a run again replaces it and leaves the others. The rules' names stand beside the bits, so that
+    ``stored`` refuses a ledger written with other rules.
+    """
+    keep_ = [c for c in keys if c.lower() not in MEASURES]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep_), F.col(f"`{text}`").alias(_free_names(docs, "judged")[0]))
+    judged = ledger(measure(rows, rows.columns[-1]).drop(rows.columns[-1]), rules)
+    judged.withColumns({"rules": F.lit(_rule_names(rules)), "run": F.lit(run)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run").parquet(folder)
+
+
+def _rule_names(rules: tuple[Rule, ...]) -> str:
+    return ",".join(f"{rule.bit}:{rule.name}" for rule in rules)
+
+
+def stored(spark: SparkSession, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The stored ledger, with its ``run``. Bits written by other rules are an error where they are read."""
+    rows = spark.read.parquet(folder)
+    others = F.raise_error(F.concat(F.lit("ledger written with the rules "), F.col("rules"))).cast("long")
+    bits = F.when(F.col("rules") == _rule_names(rules), F.col("failure_bits")).otherwise(others)
+    return rows.withColumns({"failure_bits": bits, "run": F.col("run").cast("string")}).drop("rules")
+
+
 def keep(docs: DataFrame, text: str = "text", policy: Policy = POLICIES[-1]) -> DataFrame:
     """The rows of ``docs`` that a policy keeps, with their columns as they were."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))

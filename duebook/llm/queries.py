@@ -58,7 +58,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-ORACLES["op9_quality_rules"] = r"""
+_LEDGER_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -93,12 +93,37 @@ WITH d AS (
     + CASE WHEN n_letters >= 40 AND 2 * n_upper > n_letters THEN 64 ELSE 0 END)::BIGINT AS failure_bits
   FROM m
 )
+"""
+
+ORACLES["op9_quality_rules"] = f"""{_LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits
 FROM b
 """
 
 
+@query
+def quality_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each policy keeps out, and what it alone does, from the stored ledger."""
+    store = fresh_dir(spark, "quality-ledger")
+    quality_rules.store(_table(spark, folder, "documents"), store, "documents")
+    return quality_rules.ablations(quality_rules.stored(spark, store))
+
+
+ORACLES["quality_ablations"] = f"""{_LEDGER_SQL}
+, cases(policy, policy_mask, rule, mask) AS (
+  VALUES ('base', 3, 'few_words', 1), ('base', 3, 'repeated_words', 2),
+    ('v1', 15, 'few_words', 1), ('v1', 15, 'repeated_words', 2), ('v1', 15, 'symbols', 4), ('v1', 15, 'duplicate_lines', 8),
+    ('v2', 127, 'few_words', 1), ('v2', 127, 'repeated_words', 2), ('v2', 127, 'symbols', 4), ('v2', 127, 'duplicate_lines', 8),
+    ('v2', 127, 'word_length', 16), ('v2', 127, 'few_letters', 32), ('v2', 127, 'shouting', 64)
+)
+SELECT policy, rule, count(*) FILTER (WHERE failure_bits & mask <> 0) AS failed,
+  count(*) FILTER (WHERE failure_bits & policy_mask = mask) AS failed_by_it_alone,
+  count(*) FILTER (WHERE failure_bits & policy_mask <> 0) AS rejected_by_policy
+FROM b, cases GROUP BY policy, rule
+"""
+
+
 @query
 def op10_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")

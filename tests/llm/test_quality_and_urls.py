@@ -43,6 +43,36 @@ def test_measures_replace_columns_of_their_name_and_pass_others(spark):
     assert row.n_words == 2 and row.source == "s"
 
 
+def test_measures_leave_columns_of_any_other_name(spark):
+    names = ["_text", "_words", "_Lines", "_hashes", "_windows", "__text", "a.b", "rules", "run"]
+    docs = documents(spark, ["a b c d e a b c d e\nx", None])
+    for name in names:
+        docs = docs.withColumn(name, F.lit(f"mine {name}"))
+    for row in quality_rules.measure(docs).collect():
+        assert [row[name] for name in names] == [f"mine {name}" for name in names]
+        assert (row.n_words, row.n_repeat_words) == ((11, 10) if row.doc_id == 0 else (0, 0))
+
+
+def test_a_stored_ledger_answers_for_all_policies(spark, tmp_path):
+    """Runs replace only themselves, null keys and repeated rows stay, another rule set is refused."""
+    folder, texts = str(tmp_path / "ledger"), [words(random.Random(3), 60), "short", None, "# " * 40]
+    docs = documents(spark, texts).withColumn("run", F.lit("clash"))
+    docs = docs.union(docs.where("doc_id = 1")).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    quality_rules.store(docs.limit(0), folder, "a")
+    quality_rules.store(docs, folder, "a")
+    quality_rules.store(docs.where("doc_id = 1"), folder, "b")
+    quality_rules.store(docs, folder, "a")
+    rows = quality_rules.stored(spark, folder)
+    assert {r.run: r["count"] for r in rows.groupBy("run").count().collect()} == {"a": 5, "b": 2}
+    fresh = quality_rules.ledger(quality_rules.measure(docs))
+    columns = ["doc_id", *quality_rules.MEASURES, "failure_bits"]
+    assert sorted(map(str, rows.where("run = 'a'").select(*columns).collect())) == sorted(map(str, fresh.select(*columns).collect()))
+    once = {tuple(r) for r in quality_rules.ablations(rows.where("run = 'a'")).collect()}
+    assert once == {tuple(r) for r in quality_rules.ablations(fresh).collect()}
+    with pytest.raises(Exception, match="written with the rules"):
+        quality_rules.stored(spark, folder, quality_rules.RULES[:3]).agg(F.sum("failure_bits")).collect()
+
+
 def test_keep_returns_rows_as_they_were(spark):
     good = words(random.Random(2), 60)
     docs = documents(spark, [good, good, "short", None]).withColumn("failure_bits", F.lit("mine"))
