@@ -128,29 +128,34 @@ def plan_table(bins: list[tuple[int, list[int]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first_number", "first_bin", "offset"]).astype("int64")
 
 
-def number_within_length(rows: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
-    """Rows with ``number``, from 0 within their length, and the number of rows of each length.
+def number_within_length(rows: DataFrame, *order: str) -> tuple[DataFrame, str, dict[int, int]]:
+    """Rows with a column of their number, from 0 within their length, its name, and the number of rows of each length.
 
     Rows are counted by stored file and length; a file's rows are numbered on their own, and what the
-    files before hold is added. So a length that most pieces have is not gathered anywhere.
+    files before hold is added. So a length that most pieces have is not gathered anywhere. The columns
+    added have names that none of the rows' columns has.
     """
-    stored = write_and_read(rows, "pieces").withColumn("_part", F.col("_metadata.file_name")).withColumn(
-        "_block", F.col("_metadata.file_block_start")
-    )
-    per_file = stored.groupBy("_part", "_block", "length").agg(F.count(F.lit(1)).alias("n"))
+    lead = "_"
+    while any(c.lower().startswith(lead) for c in rows.columns):
+        lead += "_"
+    part, block, own, before, number = (lead + c for c in ("part", "block", "own", "before", "number"))
+    stored = write_and_read(rows, "pieces")
+    place = stored.metadataColumn("_metadata")  # the scan's own, also where the rows have a column of that name
+    stored = stored.select("*", place["file_name"].alias(part), place["file_block_start"].alias(block))
+    per_file = stored.groupBy(part, block, "length").agg(F.count(F.lit(1)).alias("n"))
     per_file = write_and_read(per_file, "counts")
     totals = {r[0]: r[1] for r in per_file.groupBy("length").agg(F.sum("n")).collect()}
-    before = per_file.withColumn(
-        "before", F.sum("n").over(Window.partitionBy("length").orderBy("_part", "_block")) - F.col("n")
+    earlier = per_file.withColumn(
+        before, F.sum("n").over(Window.partitionBy("length").orderBy(part, block)) - F.col("n")
     ).drop("n")
-    in_file = Window.partitionBy("_part", "_block", "length").orderBy(*order)
+    in_file = Window.partitionBy(part, block, "length").orderBy(*order)
     numbered = (
-        stored.withColumn("_own", F.row_number().over(in_file) - 1)
-        .join(before.hint("merge"), ["_part", "_block", "length"])
-        .withColumn("number", F.col("_own") + F.col("before"))
-        .drop("_part", "_block", "_own", "before")
+        stored.withColumn(own, F.row_number().over(in_file) - 1)
+        .join(earlier.hint("merge"), [part, block, "length"])
+        .withColumn(number, F.col(own) + F.col(before))
+        .drop(part, block, own, before)
     )
-    return numbered, totals
+    return numbered, number, totals
 
 
 def pack(rows: DataFrame, room: int = 2048, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -158,8 +163,10 @@ def pack(rows: DataFrame, room: int = 2048, order: tuple[str, ...] = ("doc_id",
 
     Offsets of a sequence follow one another from 0 without a gap. An empty table stays empty. The plan
     sent to the tasks has a row per place and kind of bin; its size depends on ``room``, not on the rows.
+    Other columns pass; those named ``sequence_id`` or ``offset`` are replaced.
     """
-    numbered, totals = number_within_length(rows, *order)
+    rows = rows.drop("sequence_id", "offset")
+    numbered, number, totals = number_within_length(rows, *order)
     table = plan_table(plan_bins(totals, room)).sort_values(["length", "first_number"])
     runs = {
         int(length): tuple(part[c].to_numpy() for c in ("first_number", "first_bin", "offset"))
@@ -168,7 +175,7 @@ def pack(rows: DataFrame, room: int = 2048, order: tuple[str, ...] = ("doc_id",
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lengths, numbers = batch["length"].to_numpy(), batch["number"].to_numpy()
+            lengths, numbers = batch[tokens_in].to_numpy(), batch["number"].to_numpy()
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
@@ -178,5 +185,8 @@ def pack(rows: DataFrame, room: int = 2048, order: tuple[str, ...] = ("doc_id",
                 offset[at] = offsets[run]
             yield batch.drop(columns="number").assign(sequence_id=sequence, offset=offset)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return numbered.select(*rows.columns, "number").mapInPandas(placed, f"{schema}, sequence_id long, offset long")
+    plain = [f"c{k}" for k in range(len(rows.columns))]  # mapInPandas can't read names with a dot
+    tokens_in = plain[rows.columns.index("length")]
+    schema = ", ".join(f"{c} {t}" for c, (_, t) in zip(plain, rows.dtypes, strict=True))
+    slim = numbered.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(rows.columns, plain, strict=True)), F.col(number).alias("number"))
+    return slim.mapInPandas(placed, f"{schema}, sequence_id long, offset long").toDF(*rows.columns, "sequence_id", "offset")

@@ -150,6 +150,17 @@ def test_packing_documents(spark):
     assert packing.pack(packing.pieces(documents(spark, []), BPE), 2048).count() == 0
 
 
+def test_packing_leaves_columns_of_any_other_name(spark):
+    cut = packing.pieces(documents(spark, ["a b c", None, "a b c", "d " * 90]), BPE, longest=64)
+    plain = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in packing.pack(cut, 64).collect()}
+    names = ["number", "_part", "_Block", "_own", "before", "n", "_metadata", "a.b"]
+    for name in [*names, "offset"]:
+        cut = cut.withColumn(name, F.lit(f"mine {name}"))
+    rows = packing.pack(cut, 64).collect()
+    assert {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in rows} == plain
+    assert all([r[name] for name in names] == [f"mine {name}" for name in names] for r in rows)
+
+
 def plain_repeats(docs, length):
     seen = Counter(d[i : i + length] for d in docs.values() for i in range(len(d) - length + 1))
     out = {}
