@@ -1,7 +1,7 @@
-"""The retry queue as streaming state, one machine per (job_id, invoice_no).
+"""The retry queue as streaming state, one entry per (job_id, invoice_no).
 
 An entry's events depend on each other in order, so a key is one task's work; a batch holds few of
-them per key, and the state of a key is one small row.
+them per key. Entries are kept by bucket of their keys.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from duebook import fixed_values as fv
 from duebook.operators.validation import KEY
+from duebook.streaming.buckets import BUCKETS, by_key, in_buckets
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,6 +45,26 @@ STATE = T.StructType(
         T.StructField("seq", T.LongType()),
     ]
 )
+# The pending entries of a bucket of keys. ``told`` marks those whose waiting time has been reported, and
+# ``timer`` is the earliest time of the others, for which the bucket has its one timer.
+ENTRIES = T.StructType(
+    [
+        T.StructField(
+            "entries",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("job_id", T.LongType()),
+                        T.StructField("invoice_no", T.StringType()),
+                        *STATE.fields,
+                        T.StructField("told", T.BooleanType()),
+                    ]
+                )
+            ),
+        ),
+        T.StructField("timer", T.LongType()),
+    ]
+)
 CHANGES = T.StructType(
     [
         T.StructField("job_id", T.LongType()),
@@ -67,13 +88,31 @@ class RetryMachine(StatefulProcessor):
     """Failures enter as pending with a timer, results settle or reschedule, timers report due.
 
     The state holds pending entries only: one that is resolved or has failed for good is handed on and
-    forgotten, and later results of it change nothing. A timer is taken back before its entry is changed, so
-    each waiting time is reported once.
+    forgotten, and later results of it change nothing. A changed entry waits anew, and each waiting time is
+    reported once. A key's entries share a value and a timer with the others of its bucket.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", STATE)
+        self.entries = handle.getValueState("entries", ENTRIES)
+
+    def _held(self) -> tuple[dict, int | None]:
+        """The bucket's entries by key, each with whether it has been reported, and the time of its timer."""
+        stored = self.entries.get()
+        if stored is None:
+            return {}, None
+        return {(e[0], e[1]): (tuple(e[2:-1]), e[-1]) for e in stored[0]}, stored[1]
+
+    def _keep(self, held: dict, timer: int | None) -> None:
+        due = min((entry[4] for entry, told in held.values() if not told), default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if held:
+            self.entries.update(([(*place, *entry, told) for place, (entry, told) in held.items()], due))
+        else:
+            self.entries.clear()
 
     def _row(self, key: tuple, change: str, entry: tuple) -> Row:
         status, retry_count, max_retries, error, due, seq = entry
@@ -99,39 +138,44 @@ class RetryMachine(StatefulProcessor):
         return ("pending", count, limit, event.error_message, _due(at, count), seq)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.entry.get()
-        before = after = tuple(stored) if stored is not None else None
-        for event in sorted(rows, key=lambda event: event.seq):
-            after = self._next(after, event) or after
-        if after == before:
-            return
-        if before is not None:
-            self.handle.deleteTimer(before[4])
-        if after[0] == "pending":
-            self.entry.update(after)
-            self.handle.registerTimer(after[4])
-        else:
-            self.entry.clear()
-        yield self._row(key, "state", after)
+        held, timer = self._held()
+        changed = False
+        for place, events in by_key(rows).items():
+            before = after = held[place][0] if place in held else None
+            for event in sorted(events, key=lambda event: event.seq):
+                after = self._next(after, event) or after
+            if after == before:
+                continue
+            changed = True
+            if after[0] == "pending":
+                held[place] = (after, False)
+            else:
+                held.pop(place, None)
+            yield self._row(place, "state", after)
+        if changed:
+            self._keep(held, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        stored = self.entry.get()
-        if stored is not None and stored[0] == "pending":
-            yield self._row(key, "due", tuple(stored))
+        held, timer = self._held()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        for place, (entry, told) in held.items():
+            if not told and entry[4] <= now:
+                held[place] = (entry, True)
+                yield self._row(place, "due", entry)
+        self._keep(held, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
 
     def close(self) -> None:
         pass
 
 
-def retry_changes(events: DataFrame) -> DataFrame:
+def retry_changes(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """State after each micro-batch, and a ``due`` row when a waiting time ends.
 
     Needs the RocksDB state store. Timers follow the clock of the cluster, so how many due rows
     appear depends on when the stream runs; the state rows do not.
     """
     return (
-        events.select(*EVENTS.fieldNames())
-        .groupBy(*KEY)
+        in_buckets(events.select(*EVENTS.fieldNames()), buckets)
         .transformWithState(
             statefulProcessor=RetryMachine(),
             outputStructType=CHANGES,
@@ -194,5 +238,5 @@ def current_state(changes: DataFrame) -> DataFrame:
 
 def stored_entries(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The entries in the state store of a stream that isn't running: those that are pending."""
-    rows = spark.read.format("statestore").option("stateVarName", "entry").load(checkpoint)
-    return rows.select("key.*", "value.*")
+    rows = spark.read.format("statestore").option("stateVarName", "entries").load(checkpoint)
+    return rows.select(F.inline("value.entries")).drop("told")

@@ -172,3 +172,78 @@ def test_only_touched_jobs_are_written(spark):
     assert {j for j, _ in seen[0] & seen[1]} == {1} and {j for j, _ in seen[1]} == {1, 2}
     table = live_metrics.metrics_table(spark, out, spark.createDataFrame([], kind)).read()
     assert {(r.job_id, r.total_records, r.sent_count, r.failed_count) for r in table.collect()} == {(1, 1, 1, 0), (2, 2, 1, 1)}
+
+
+def test_keys_of_one_bucket_keep_their_own_entries(spark):
+    source, out, state = (fresh_dir(spark, n) for n in ("in", "out", "state"))
+    waves = (
+        [(1, n, 0, "failure", NOW, None, "e", 0, 2) for n in "abc"] + [(None, None, 0, "failure", NOW, None, "e", 1, 2)],
+        [(1, "a", 1, "result", NOW, "sent", None, None, None), (1, "b", 1, "result", NOW, "failed", "again", None, None)],
+        [(9, "z", 0, "result", NOW, "sent", None, None, None)],
+    )
+    with retry_state.replay_settings(spark):
+        for rows in waves:
+            spark.createDataFrame(rows, EVENT).write.mode("append").parquet(source)
+            changes = retry_state.retry_changes(spark.readStream.schema(retry_state.EVENTS).parquet(source), buckets=1)
+            run = changes.writeStream.outputMode("update").option("checkpointLocation", state)
+            run.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+        held = {(r.invoice_no, r.retry_count) for r in retry_state.stored_entries(spark, state).collect()}
+    told = [(r.invoice_no, r.retry_count) for r in spark.read.schema(retry_state.CHANGES).parquet(out).filter("change = 'due'").collect()]
+    assert held == {("b", 1), ("c", 0), (None, 1)}
+    assert len(told) == len(set(told)) and {("b", 1), ("c", 0), (None, 1)} <= set(told)
+    assert run_rows(spark, state) == 1
+
+
+def run_rows(spark, state):
+    """How many values the state of a retry stream holds."""
+    with retry_state.replay_settings(spark):
+        return spark.read.format("statestore").option("stateVarName", "entries").load(state).count()
+
+
+def test_facts_kept_for_a_key_lapse_though_its_bucket_lives():
+    held = {}
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            return held.get(self.name)
+
+        def update(self, value):
+            held[self.name] = value
+
+        def clear(self):
+            held.pop(self.name, None)
+
+    machine = settlements.Settlements(None, 1000)
+    machine.invoices, machine.facts, machine.kept = Value("invoices"), Value("facts"), Value("kept")
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    from pyspark.sql import Row
+
+    def result(number):
+        kind = Row("job_id", "invoice_no", "invoice", "asked", "draft", "marks", "send")
+        return kind(1, number, None, None, None, None, (True, "p", ""))
+
+    for number, at in (("A", 0), ("B", 900), ("C", 1500)):
+        assert list(machine.handleInputRows((0,), iter([result(number)]), At(at))) == []
+    assert [known[1] for known in held["kept"][0]] == ["B", "C"]
+
+
+def test_rows_of_later_batches_are_not_new(spark):
+    source, out, state = (fresh_dir(spark, n) for n in ("in", "out", "state"))
+    for wave in (["b", "a"], ["0"]):
+        rows = [audit_row(number, "sent", 0, error) for error in wave for number in ("N", None)]
+        spark.createDataFrame(rows, AUDIT).coalesce(1).write.mode("append").parquet(source)
+        with retry_state.replay_settings(spark):
+            run = ingest.stream_first_wins(spark.readStream.schema(AUDIT).parquet(source), out, state, ["error_message"])
+            run.awaitTermination()
+    found = read_batches(spark, out, AUDIT).collect()
+    assert sorted((r.invoice_no or "", r.error_message) for r in found) == [("", "a"), ("N", "a")]
