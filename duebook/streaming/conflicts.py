@@ -18,53 +18,38 @@ from duebook.operators.outcomes import WAITING, audit_rows, queue_rows
 from duebook.operators.validation import KEY
 from duebook.schemas import AUDIT, FAILED
 from duebook.streaming.batches import read_batches, write_batch
+from duebook.streaming.buckets import BUCKETS, by_key, in_buckets
 
-SEEN = T.StructType([T.StructField("seen", T.BooleanType())])
 CHANGES = T.StructType([*FAILED.fields, T.StructField("version", T.LongType())])
+ENTRIES = T.StructType([T.StructField("entries", T.ArrayType(CHANGES))])
 _OTHERS = [f.name for f in FAILED if f.name not in KEY]
-ENTRY = T.StructType([*(FAILED[c] for c in _OTHERS), T.StructField("version", T.LongType())])
-
-
-class FirstWins(StatefulProcessor):
-    """Hands on the first row of a key, of one micro-batch the least by the first ``places`` columns, and remembers the key."""
-
-    def __init__(self, columns: list[str], places: int):
-        self.columns, self.places = columns, places
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", SEEN)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        self.seen.update((True,))
-        least = min(rows, key=lambda row: tuple((x is not None, x if x is not None else 0) for x in row[: self.places]))
-        yield Row(**{c: least[c] for c in self.columns})
-
-    def close(self) -> None:
-        pass
 
 
 def first_of_all(rows: DataFrame, order_by: list[str | Column], key: list[str] = AUDIT_KEY) -> DataFrame:
     """The first row to arrive for each key; two nulls are one key. Of one micro-batch the least by ``order_by`` counts.
 
-    The state holds one flag per key and nothing is read back. Needs the RocksDB state store.
+    A streaming aggregate for output mode ``update``. Its state holds a key's row and the times of the first and the
+    last micro-batch with that key; a key is new if both are the time of this one, also if the clock was set back.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     order = [*order, F.xxhash64(*rows.columns)]
-    marked = rows.select(*(c.alias(f"_{k}") for k, c in enumerate(order)), "*")
-    return marked.groupBy(*key).transformWithState(
-        statefulProcessor=FirstWins(rows.columns, len(order)), outputStructType=rows.schema, outputMode="Append", timeMode="None"
+    place = F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)))
+    marked = rows.select(*key, F.struct(*rows.columns).alias("_row"), place.alias("_place"), F.current_timestamp().alias("_batch"))
+    seen = marked.groupBy(*key).agg(
+        F.min_by("_row", "_place").alias("_row"), F.min("_batch").alias("_first"), F.max("_batch").alias("_last")
     )
+    now = F.current_timestamp()
+    return seen.filter((F.col("_first") == now) & (F.col("_last") == now)).select("_row.*")
 
 
 class QueueKeeper(StatefulProcessor):
     """One queue entry per key: a failure replaces it but for ``created_at``, another outcome resolves it if it waits."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", ENTRY)
+        self.entries = handle.getValueState("entries", ENTRIES)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def _after(self, rows: list[Row], before: dict | None) -> dict | None:
+        """The entry after a micro-batch's rows of its key; none if they change nothing."""
         newest, settled = None, None
         for row in rows:
             if row["failed"]:
@@ -72,25 +57,33 @@ class QueueKeeper(StatefulProcessor):
                 newest = (place, row) if newest is None or place < newest[0] else newest
             else:
                 settled = row["updated_at"] if settled is None else max(settled, row["updated_at"])
-        stored = self.entry.get()
-        before = dict(zip(ENTRY.fieldNames(), stored, strict=True)) if stored is not None else None
         version = before["version"] + 1 if before else 0
         if newest is not None:
-            after = {c: newest[1][c] for c in _OTHERS} | {"version": version}
-            if before:
-                after["created_at"] = before["created_at"]
-        elif before and settled is not None and before["status"] == "pending":
-            after = before | {"status": "resolved", "updated_at": settled, "version": version}
-        else:
-            return
-        self.entry.update(tuple(after[c] for c in ENTRY.fieldNames()))
-        yield Row(**(dict(zip(KEY, key, strict=True)) | after))
+            after = {c: newest[1][c] for c in FAILED.fieldNames()} | {"version": version}
+            return after | {"created_at": before["created_at"]} if before else after
+        if before and settled is not None and before["status"] == "pending":
+            return before | {"status": "resolved", "updated_at": settled, "version": version}
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored, names = self.entries.get(), CHANGES.fieldNames()
+        held = {(entry[0], entry[1]): tuple(entry) for entry in stored[0]} if stored is not None else {}
+        changed = False
+        for place, arrived in by_key(rows).items():
+            before = held.get(place)
+            after = self._after(arrived, dict(zip(names, before, strict=True)) if before else None)
+            if after:
+                changed = True
+                held[place] = tuple(after[c] for c in names)
+                yield Row(**{c: after[c] for c in names})
+        if changed:
+            self.entries.update((list(held.values()),))
 
     def close(self) -> None:
         pass
 
 
-def queue_changes(outcomes: DataFrame, now: Column) -> DataFrame:
+def queue_changes(outcomes: DataFrame, now: Column, buckets: int = BUCKETS) -> DataFrame:
     """Every change of a queue entry that the outcomes of an invoice bring about, with its ``version``.
 
     Waiting outcomes change nothing. An invoice number that fails and is sent in one micro-batch has failed.
@@ -104,26 +97,26 @@ def queue_changes(outcomes: DataFrame, now: Column) -> DataFrame:
         F.lit(False).alias("failed"),
         F.lit(None).cast("long").alias("_tie"),
     )
-    return failed.unionByName(fine).groupBy(*KEY).transformWithState(
+    return in_buckets(failed.unionByName(fine), buckets).transformWithState(
         statefulProcessor=QueueKeeper(), outputStructType=CHANGES, outputMode="Append", timeMode="None"
     ).select(*CHANGES.fieldNames())
 
 
-def _to_folder(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def _to_folder(rows: DataFrame, out: str, checkpoint: str, mode: str) -> StreamingQuery:
     return (
-        rows.writeStream.outputMode("append").foreachBatch(lambda batch, n: write_batch(batch, out, n) and None)
+        rows.writeStream.outputMode(mode).foreachBatch(lambda batch, n: write_batch(batch, out, n) and None)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def stream_audit(outcomes: DataFrame, out: str, checkpoint: str, now: Column) -> StreamingQuery:
     """Append the audit rows of arriving outcomes whose key no row before had."""
-    return _to_folder(first_of_all(audit_rows(outcomes, now), ["created_at"]), out, checkpoint)
+    return _to_folder(first_of_all(audit_rows(outcomes, now), ["created_at"]), out, checkpoint, "update")
 
 
 def stream_queue(outcomes: DataFrame, out: str, checkpoint: str, now: Column) -> StreamingQuery:
     """Append the changes of queue entries that arriving outcomes bring about."""
-    return _to_folder(queue_changes(outcomes, now), out, checkpoint)
+    return _to_folder(queue_changes(outcomes, now), out, checkpoint, "append")
 
 
 def read_audit(spark: SparkSession, out: str) -> DataFrame:

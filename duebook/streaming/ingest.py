@@ -82,10 +82,10 @@ def stream_first_wins(rows: DataFrame, out: str, checkpoint: str, order_by: list
     """Append audit rows whose key has not been seen in this or any earlier batch.
 
     Exact however late a copy arrives: the keys seen are in the state store, so no batch reads what earlier ones
-    have written. Needs the RocksDB store (``replay_settings``).
+    have written. Keep it in the RocksDB store (``replay_settings``), which need not fit into memory.
     """
     return (
-        first_of_all(rows, order_by).writeStream.outputMode("append")
+        first_of_all(rows, order_by).writeStream.outputMode("update")
         .foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id) and None)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
