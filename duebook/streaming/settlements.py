@@ -1,8 +1,8 @@
 """Invoices that wait in streaming state until their drafts and results have arrived.
 
 Three streams meet on (job_id, invoice_no): invoices in an e-mail stage, drafts, send results. Invoices
-that need no e-mail and faulty ones pass by the state. The state of a key is a list of the invoices that
-wait and, beside it, the facts about them: one draft per revision and one send result. An invoice
+that need no e-mail and faulty ones pass by the state. The state of a bucket of keys is a list of the invoices that
+wait and, beside it, the facts about them: one draft per revision and one send result of each key. An invoice
 leaves the state, with its facts, once they settle it; what becomes of it is then worked out by the same
 expressions as in a batch run. While no invoice of a key waits, its facts are only kept for a time
 (``keep_facts``), so that a draft may be ahead of its invoice and a repeated invoice meets them too.
@@ -29,6 +29,7 @@ from duebook.operators.outcomes import WAITING, decide_outcomes, email_log_rows,
 from duebook.operators.validation import KEY, draft_marks, draft_text, invoice_marks
 from duebook.schemas import DRAFT_FIELDS
 from duebook.streaming.batches import read_batches, write_batch
+from duebook.streaming.buckets import BUCKETS, by_key, in_buckets
 
 DRAFT = T.StructType([T.StructField("revision", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in DRAFT_FIELDS]])
 SEND = T.StructType(
@@ -37,6 +38,16 @@ SEND = T.StructType(
 MARKS = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "recipient", "tone", "subject", "text")])
 KNOWN = T.StructType([T.StructField("draft", DRAFT), T.StructField("marks", MARKS)])
 FACTS = T.StructType([T.StructField("drafts", T.ArrayType(KNOWN)), T.StructField("send", SEND)])
+# The facts of a bucket's keys; ``until`` is the time up to which those of a key without a waiting invoice count.
+KNOWN_FACTS = T.StructType(
+    [
+        T.StructField("job_id", T.LongType()),
+        T.StructField("invoice_no", T.StringType()),
+        *FACTS.fields,
+        T.StructField("until", T.LongType()),
+    ]
+)
+BUCKET_FACTS = T.StructType([T.StructField("known", T.ArrayType(KNOWN_FACTS))])
 ASKED = T.StructType(
     [
         T.StructField("revisions", T.IntegerType()),
@@ -100,15 +111,40 @@ def _order(value: dict) -> tuple:
 
 
 class Settlements(StatefulProcessor):
-    """Keeps invoices until their facts settle them, and hands both on together."""
+    """Keeps invoices until their facts settle them, and hands both on together.
+
+    State is kept by bucket of keys: the list of its waiting invoices, the facts of their keys, and the facts of
+    other keys, each with the time it counts until. The latter are dropped when the bucket is next written, and all
+    of them once nothing has come to the bucket for so long.
+    """
 
     def __init__(self, waiting: T.StructType, keep_ms: int):
         self.waiting, self.keep_ms = waiting, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.invoices = handle.getListState("invoices", self.waiting)
-        self.facts = handle.getValueState("facts", FACTS)
-        self.kept = handle.getValueState("kept", FACTS, self.keep_ms)
+        self.facts = handle.getValueState("facts", BUCKET_FACTS)
+        self.kept = handle.getValueState("kept", BUCKET_FACTS, self.keep_ms)
+
+    @staticmethod
+    def _read(state) -> dict:
+        """The facts of each key in one of the two values."""
+        stored = as_dict(state.get(), BUCKET_FACTS)
+        return {(k["job_id"], k["invoice_no"]): k for k in stored["known"]} if stored else {}
+
+    @staticmethod
+    def _write(state, known: dict) -> None:
+        if known:
+            state.update(as_tuple({"known": list(known.values())}, BUCKET_FACTS))
+        else:
+            state.clear()
+
+    def _waiting(self) -> dict[tuple, list]:
+        found: dict[tuple, list] = {}
+        for value in self.invoices.get():
+            one = as_dict(value, self.waiting)
+            found.setdefault((one["invoice"]["job_id"], one["invoice"]["invoice_no"]), []).append(one)
+        return found
 
     def _arrivals(self, rows: Iterator[Row]) -> tuple[list, dict, dict | None]:
         invoices, drafts, send = [], {}, None
@@ -127,37 +163,57 @@ class Settlements(StatefulProcessor):
         return invoices, drafts, send
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        arrived, drafts, send = self._arrivals(rows)
-        waits = self.invoices.exists()
-        stored = as_dict(self.facts.get() if waits else self.kept.get(), FACTS)
-        before = {k["draft"]["revision"]: k for k in stored["drafts"]} if stored else {}
-        known = drafts | before
-        if stored and stored["send"]:
-            send = stored["send"]
-        news = len(known) > len(before) or (send is not None and not (stored and stored["send"]))
-
-        earlier = [as_dict(v, self.waiting) for v in self.invoices.get()] if waits and news else []
-        remaining = [one for one in earlier if still_waits(one["asked"], known, send)]
-        new = [one for one in arrived if still_waits(one["asked"], known, send)]
-        for one in [*earlier, *arrived]:
-            if not still_waits(one["asked"], known, send):
-                yield Row(invoice=one["invoice"], drafts=[k["draft"] for k in known.values()], send=send)
-
-        if len(remaining) < len(earlier):
+        now = timerValues.getCurrentProcessingTimeInMs()
+        facts, kept = self._read(self.facts), self._read(self.kept)
+        kept = {place: known for place, known in kept.items() if known["until"] > now}
+        waiting, added = None, []
+        cleared, news_of_waiting, news_of_kept = False, False, False
+        for place, arrivals in by_key(rows).items():
+            arrived, drafts, send = self._arrivals(arrivals)
+            waits = place in facts
+            stored = facts[place] if waits else kept.get(place)
+            before = {k["draft"]["revision"]: k for k in stored["drafts"]} if stored else {}
+            known = drafts | before
+            if stored and stored["send"]:
+                send = stored["send"]
+            news = len(known) > len(before) or (send is not None and not (stored and stored["send"]))
+
+            if waits and news and waiting is None:
+                waiting = self._waiting()
+            earlier = waiting.get(place, []) if waits and news else []
+            remaining = [one for one in earlier if still_waits(one["asked"], known, send)]
+            new = [one for one in arrived if still_waits(one["asked"], known, send)]
+            for one in [*earlier, *arrived]:
+                if not still_waits(one["asked"], known, send):
+                    yield Row(invoice=one["invoice"], drafts=[k["draft"] for k in known.values()], send=send)
+
+            if len(remaining) < len(earlier):
+                cleared = True
+                waiting[place] = remaining
+            added += new
+            still = bool(remaining or new) or (waits and not earlier)
+            found = {"job_id": place[0], "invoice_no": place[1], "drafts": list(known.values()), "send": send, "until": None}
+            if still and (news or not waits):
+                facts[place] = found
+                news_of_waiting = True
+                news_of_kept = kept.pop(place, None) is not None or news_of_kept
+            elif not still:
+                news_of_waiting = facts.pop(place, None) is not None or news_of_waiting
+                if known or send is not None:
+                    kept[place] = found | {"until": now + self.keep_ms}
+                    news_of_kept = True
+
+        if cleared:
             self.invoices.clear()
-            if remaining:
-                self.invoices.put([as_tuple(one, self.waiting) for one in remaining])
-        if new:
-            self.invoices.appendList([as_tuple(one, self.waiting) for one in new])
-        still = bool(remaining or new) or (waits and not earlier)
-        facts = as_tuple({"drafts": list(known.values()), "send": send}, FACTS)
-        if still and (news or not waits):
-            self.facts.update(facts)
-            self.kept.clear()
-        elif not still:
-            self.facts.clear()
-            if known or send is not None:
-                self.kept.update(facts)
+            left = [one for ones in waiting.values() for one in ones] + added
+            if left:
+                self.invoices.put([as_tuple(one, self.waiting) for one in left])
+        elif added:
+            self.invoices.appendList([as_tuple(one, self.waiting) for one in added])
+        if news_of_waiting:
+            self._write(self.facts, facts)
+        if news_of_kept:
+            self._write(self.kept, kept)
 
     def close(self) -> None:
         pass
@@ -198,6 +254,7 @@ def stream_settlements(
     date_mode: str = "dayfirst",
     strict: bool = False,
     keep_facts: dt.timedelta = dt.timedelta(days=7),
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Settle invoices as their drafts and send results arrive, in any order; all three are streams.
 
@@ -215,7 +272,7 @@ def stream_settlements(
     whole = T.StructType([T.StructField("invoice", shape), T.StructField("drafts", T.ArrayType(DRAFT)), T.StructField("send", SEND)])
     waiting = T.StructType([T.StructField("invoice", shape), T.StructField("asked", ASKED)])
     keep_ms = int(keep_facts.total_seconds() * 1000)
-    settled = _events(staged.filter(mailed), drafts, send_results, strict).groupBy(*KEY).transformWithState(
+    settled = in_buckets(_events(staged.filter(mailed), drafts, send_results, strict), buckets).transformWithState(
         statefulProcessor=Settlements(waiting, keep_ms), outputStructType=whole, outputMode="Append", timeMode="ProcessingTime"
     )
     quiet = marked.filter(~good | ~mailed)
