@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from duebook.schemas import EMAIL_LOG
-
+from duebook.sources.fingerprints import opened
 
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -34,3 +38,30 @@ def export_csv(view: DataFrame, path: str) -> None:
     view.write.mode("overwrite").option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_text_files(rows: DataFrame, path: str, key: str, text: str) -> None:
+    """A file ``<key>=<value>.txt`` for each value of a key: the texts of its rows, each with a line end.
+
+    Each task writes its files straight into one folder of its own. Spark's writer would make a folder for every file,
+    which the driver then moves and each reader has to list.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = f"{path}/part={TaskContext.get().partitionId()}"
+        system, place = opened(folder)
+        system.create_dir(place, recursive=True)
+        last, stream, n = None, None, 0
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = "__HIVE_DEFAULT_PARTITION__" if name is None else str(name)
+                if name != last:
+                    if stream:
+                        stream.close()
+                    last, stream, n = name, system.open_output_stream(f"{place}/{key}={name}.txt"), n + 1
+                stream.write((value or "").encode() + b"\n")
+        if stream:
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select(key, text).repartition(key).sortWithinPartitions(key).mapInArrow(write, "n long").agg({"n": "sum"}).collect()

@@ -77,7 +77,7 @@ def file_fingerprints(spark, folder):
     """Every document as a file of its own; files over 4000 bytes are hashed chunk by chunk."""
     path = fresh_dir(spark, "document-files")
     docs = star.table(spark, folder, "documents").select("text", "doc_id")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    files.write_text_files(docs, path, "doc_id", "text")
     prints = fingerprints.file_fingerprints(spark, path, whole_up_to=4000)
     return prints.filter(F.col("file_path").endswith(".txt")).select(
         F.regexp_extract("file_path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "length", "file_hash"

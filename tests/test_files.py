@@ -167,3 +167,18 @@ def test_old_versions_go_and_jobs_are_cleared(spark, tmp_path):
     jobs.clear([1, 9])
     assert sorted(r.job_id for r in jobs.read().collect()) == [2, 3]
     assert [r.x for r in jobs.read([3]).collect()] == [3]
+
+
+def test_many_files_are_few_folders_and_few_tasks(spark):
+    """Equal keys share a file, missing texts are empty lines; nothing is left of the settings changed for reading."""
+    path = fresh_dir(spark, "texts")
+    texts = {n: f"text {n} \u00e9" for n in range(300)}
+    rows = [(n, text) for n, text in texts.items()] + [(300, None), (301, "twice"), (301, "twice")]
+    files.write_text_files(spark.createDataFrame(rows, "n long, t string").repartition(5), path, "n", "t")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    prints = fingerprints.file_fingerprints(spark, path, whole_up_to=10)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    found = {int(r.file_path.rsplit("n=", 1)[1][:-4]): r.file_hash for r in prints.collect()}
+    want = {n: f"{text}\n" for n, text in texts.items()} | {300: "\n", 301: "twice\ntwice\n"}
+    assert found == {n: hashlib.sha256(text.encode()).hexdigest() for n, text in want.items()}
+    assert len({r.file_path.rsplit("/", 1)[0] for r in prints.collect()}) <= 8
