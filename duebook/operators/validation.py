@@ -96,16 +96,28 @@ def draft_marks(draft: Column) -> Column:
     )
 
 
-def judge(draft: Column, strict: bool = False, marks: Column | None = None, asked: Column | None = None) -> Column:
+def searched_text(draft: Column, strict: bool = False) -> Column:
+    """The draft's text as ``first_missing_value`` searches it; never null."""
+    return words_only(draft_text(draft)) if strict else draft_text(draft)
+
+
+def judge(
+    draft: Column,
+    strict: bool = False,
+    marks: Column | None = None,
+    asked: Column | None = None,
+    text: Column | None = None,
+) -> Column:
     """First rule a draft fails, as struct(status, rule, feedback).
 
     ``status`` is approved, rejected, or invalid for a draft that is no proper record. ``marks`` and ``asked`` are the
-    draft's and the invoice's marks, where they have been worked out before.
+    draft's and the invoice's marks and ``text`` its ``searched_text``, where they have been worked out before. With
+    marks and text given, the draft is only asked whether it is there.
     """
     marks = draft_marks(draft) if marks is None else marks
     asked = invoice_marks(strict) if asked is None else asked
-    text = draft_text(draft)
-    missing = first_missing_value(words_only(text) if strict else text, asked["values"], strict)
+    text = searched_text(draft, strict) if text is None else text
+    missing = first_missing_value(text, asked["values"], strict)
     return (
         F.when(draft.isNull() | (marks["kind"] == "empty"), _ruling("rejected", 1, fv.TEXT_NO_DRAFT))
         .when(
@@ -134,10 +146,19 @@ def judge_drafts(invoices: DataFrame, drafts: DataFrame, strict: bool = False) -
 
     Needs the columns of ``with_subject``. Drafts are made unique per revision first, so an
     invoice number used many times does not multiply with drafts used many times.
+
+    The text is made searchable once per draft, before the join, and only what the rules read is joined. Written
+    into the rules it would be made anew for each value looked for and each column of the ruling.
     """
     one_each = drafts.groupBy(*KEY, "revision").agg(F.min(F.struct(*DRAFT_FIELDS)).alias("_draft"))
-    judged = invoices.join(one_each, KEY, "left").withColumn("_ruling", judge(F.col("_draft"), strict))
-    return judged.select(*KEY, "revision", "_ruling.status", "_ruling.rule", "_ruling.feedback")
+    draft = F.col("_draft")
+    read = F.struct(draft_marks(draft).alias("_marks"), searched_text(draft, strict).alias("_text"))
+    one_each = one_each.select(*KEY, "revision", F.inline(F.array(read)))
+    asked = [F.col("tone"), F.col("expected_subject"), *[F.col(name) for name in CHECKED_VALUES if name not in KEY]]
+    slim = invoices.select(*KEY, *asked, invoice_marks(strict).alias("_asked"))
+    text = F.col("_text")
+    ruling = judge(text, strict, F.col("_marks"), F.col("_asked"), text)
+    return slim.join(one_each, KEY, "left").select(*KEY, "revision", F.inline(F.array(ruling)))
 
 
 def drafts_by_invoice(drafts: DataFrame, revisions: int) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from duebook.operators import audit, batching, drafts, failures, hot_keys, metrics, normalize, outcomes, profiling
+from duebook.operators import audit, batching, drafts, failures, hot_keys, metrics, normalize, outcomes, profiling, validation
 from duebook.session import write_and_read
 from duebook.sources import star
 
@@ -56,6 +56,12 @@ def test_first_wins_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(audit.first_per_key(rows, ["attempt"]))
 
 
+def test_a_drafts_text_is_made_searchable_once(spark):
+    staged, draft, _ = tables(spark)
+    text = plan(validation.judge_drafts(drafts.with_subject(staged), draft, strict=True))
+    assert text.count("regexp_replace(concat_ws(") == 1
+
+
 def test_metrics_are_combined_before_the_shuffle(spark):
     assert "partial_count" in plan(metrics.job_metrics(outcomes.decide_outcomes(*tables(spark))))
 
