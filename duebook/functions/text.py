@@ -16,6 +16,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
+def is_blank(text: Column) -> Column:
+    """Whether a text is null or all white space; looks no further than its first other character."""
+    return text.isNull() | (F.ltrim(text, F.lit(fv.WHITE_SPACE)) == "")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(strip(text), F.lit(""))
 
@@ -26,15 +31,13 @@ def mask_email(email: Column) -> Column:
     An empty local part gives ``*@domain``.
     """
     at = F.instr(email, "@")
-    local = F.substring(email, F.lit(1), at - 1)
-    domain = F.substring(email, at + 1, F.length(email))
     hidden = (
-        F.when(F.length(local) == 0, F.lit("*"))
-        .when(F.length(local) <= 2, F.concat(F.left(local, F.lit(1)), F.lit("*")))
-        .otherwise(F.concat(F.left(local, F.lit(2)), F.repeat(F.lit("*"), F.length(local) - 2)))
+        F.when(at == 1, F.lit("*"))
+        .when(at <= 3, F.concat(F.left(email, F.lit(1)), F.lit("*")))
+        .otherwise(F.concat(F.left(email, F.lit(2)), F.repeat(F.lit("*"), at - 3)))
     )
     return F.when(email.isNull() | (at == 0), F.lit("")).otherwise(
-        F.concat(hidden, F.lit("@"), domain)
+        F.concat(hidden, F.substring(email, at, F.length(email)))
     )
 
 

@@ -11,12 +11,15 @@ from duebook.operators.validation import KEY
 from duebook.schemas import FAILED, INVOICE_STATE
 
 
-def upsert_failures(queue: DataFrame, new: DataFrame, order_by: list[str | Column] | None = None) -> DataFrame:
+def upsert_failures(
+    queue: DataFrame, new: DataFrame, order_by: list[str | Column] | None = None, one_each: bool = False
+) -> DataFrame:
     """The queue after new failures: a new entry replaces the old one but for ``created_at``.
 
-    Of several new entries for one invoice the latest stays (``order_by`` names the newest first).
+    Of several new entries for one invoice the latest stays (``order_by`` names the newest first). ``one_each`` says
+    that there are no such, so none are looked for.
     """
-    latest = first_per_key(new, order_by or newest_first(new), KEY)
+    latest = new if one_each else first_per_key(new, order_by or newest_first(new), KEY)
     marked = latest.select(
         *KEY, F.struct(*[c for c in FAILED.fieldNames() if c not in KEY]).alias("_new")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from duebook import fixed_values as fv
 from duebook.functions.dates import days_overdue, parse_due_date
 from duebook.functions.money import to_double
-from duebook.functions.text import blank_to_null, strip
+from duebook.functions.text import is_blank, strip
 from duebook.schemas import MONEY, stage_table
 
 
@@ -73,7 +73,7 @@ def stage_invoices(invoices: DataFrame, as_of: Column) -> DataFrame:
 def faults() -> Column:
     """Names of everything wrong with a normalized row, as an array."""
     def blank(name: str) -> Column:
-        return blank_to_null(F.col(name)).isNull()
+        return is_blank(F.col(name))
 
     return F.array_compact(
         F.array(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duebook.operators.audit import new_audit_rows
+from duebook.operators.audit import append_new, key_counts
 from duebook.operators.failures import close_entries, closed_keys, upsert_failures
 from duebook.operators.metrics import job_metrics
 from duebook.operators.normalize import normalize_invoices, split_faulty, split_marked, stage_invoices, with_faults
@@ -118,11 +118,13 @@ def run_follow_up(
     quarantine.replace(faulty)
     written = table.read(jobs)
 
-    store.audit.append(new_audit_rows(audit_rows(written, moment), store.audit.read(jobs)))
-    failed = queue_rows(written, moment)
+    append_new(store.audit, audit_rows(written, moment), jobs)
+    failed = write_and_read(queue_rows(written, moment), "failed")
+    one_each = key_counts(failed, key=KEY)["repeated"] == 0
     closed = write_and_read(closed_keys(store.queue.read(), written, jobs), "closed")
     store.queue.rewrite(
-        failed.select(*KEY).unionByName(closed), lambda rows: close_entries(upsert_failures(rows, failed), closed, moment)
+        failed.select(*KEY).unionByName(closed),
+        lambda rows: close_entries(upsert_failures(rows, failed, one_each=one_each), closed, moment),
     )
     clear_jobs(store.spark, store.email_log, jobs)
     replace_email_log(email_log_rows(written, moment, ("job_id",)), store.email_log)

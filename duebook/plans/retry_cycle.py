@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duebook import fixed_values as fv
-from duebook.operators.audit import new_audit_rows
+from duebook.operators.audit import append_new
 from duebook.operators.failures import due_failures, split_states
 from duebook.operators.outcomes import audit_rows, decide_outcomes
 from duebook.operators.retries import apply_results, restored_invoices
@@ -57,7 +57,6 @@ def run_retry_cycle(
     outcomes, broken = retry_outcomes(due, drafts, send_results, attempts, restage_at)
     settled = write_and_read(outcomes.filter(F.col("send_status") != "pending"), "retry-outcomes")
     jobs = [row["job_id"] for row in settled.select("job_id").distinct().collect()]
-    attempt = "created_at" if row_per_retry else None
-    store.audit.append(new_audit_rows(audit_rows(settled, moment), store.audit.read(jobs), attempt_column=attempt))
+    append_new(store.audit, audit_rows(settled, moment), jobs, "created_at" if row_per_retry else None)
     store.queue.rewrite(settled.select(*KEY), lambda rows: apply_results(rows, settled, moment))
     return broken

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duebook.sources.tables import _file_system
+from duebook.sources.tables import _file_system, no_rows
 
 
 class RecentTable:
@@ -46,7 +46,7 @@ class RecentTable:
 
     def _read(self, spans: list[int | None]) -> DataFrame:
         if not spans:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         names = ["__HIVE_DEFAULT_PARTITION__" if span is None else str(span) for span in spans]
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/_span={name}" for name in names))
 

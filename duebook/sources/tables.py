@@ -17,6 +17,12 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table that the planner knows to be empty, so joins with it and tasks to read it fall away."""
+    nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema.fields]
+    return spark.range(1).select(*nothing).filter(F.lit(False))
+
+
 def clear_jobs(spark: SparkSession, path: str, jobs: list, by: str = "job_id") -> None:
     """Remove the folders of some jobs from a table kept in one folder per job."""
     for job in jobs:
@@ -50,7 +56,7 @@ class SnapshotTable:
     def read(self) -> DataFrame:
         versions = self.versions()
         if not versions:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
 
     def write(self, rows: DataFrame) -> int:
@@ -80,7 +86,7 @@ class PartitionedTable:
         """All rows, or those of some jobs, of which only the folders are read."""
         folder, fs = _file_system(self.spark, self.path)
         if not fs.exists(folder):
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         rows = self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.fieldNames())
         return rows if only is None else rows.filter(F.col(self.by).isin(*only))
 
@@ -175,7 +181,7 @@ class KeyedTable:
     def _read(self, folders: dict[int, str], only: list[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/data/{name}/part={part}" for part, name in folders.items() if only is None or part in only]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def read(self) -> DataFrame:

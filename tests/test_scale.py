@@ -5,9 +5,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from duebook.operators import audit, batching, drafts, failures, hot_keys, metrics, normalize, outcomes, profiling, validation
+from duebook.operators import audit, batching, drafts, failures, hot_keys, metrics, normalize, outcomes, profiling, quality, validation
+from duebook.schemas import AUDIT
 from duebook.session import write_and_read
 from duebook.sources import star
+from duebook.sources import tables as tables_module
+from duebook.sources.tables import PartitionedTable
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,6 +65,44 @@ def test_a_drafts_text_is_made_searchable_once(spark):
     assert text.count("regexp_replace(concat_ws(") == 1
 
 
+def test_whole_audit_rows_are_shuffled_only_where_they_must_be(spark):
+    kind = "job_id long, invoice_no string, send_status string, retry_count int, created_at timestamp"
+    now = dt.datetime(2026, 5, 14)
+    rows = spark.createDataFrame([(1, "A", "sent", 0, now), (1, None, None, 0, now), (1, "B", "sent", 0, now)], kind)
+    old = spark.createDataFrame([(1, None, None, 0, now), (2, "A", "sent", 0, now)], kind)
+    none = audit.key_counts(rows, tables_module.no_rows(spark, rows.schema))
+    assert none.asDict() == {"known": 0, "fresh": 3, "repeated": 0}
+    assert "Exchange" not in plan(audit.new_audit_rows(rows, old.limit(0), counts=none))
+    some = audit.key_counts(rows.union(rows), old)
+    assert some.asDict() == {"known": 1, "fresh": 2, "repeated": 2}
+    added = audit.new_audit_rows(rows.union(rows), old, counts=some)
+    assert sorted(r.invoice_no for r in added.collect()) == ["A", "B"]
+
+
+def test_a_run_again_appends_no_audit_rows(spark, tmp_path):
+    table = PartitionedTable(spark, str(tmp_path / "audit"), AUDIT)
+    rows = write_and_read(outcomes.audit_rows(outcomes.decide_outcomes(*tables(spark)), star.now()), "rows")
+    audit.append_new(table, rows.union(rows), list(range(star.JOBS)))
+    files = sorted(tmp_path.rglob("*.parquet"))
+    audit.append_new(table, rows, list(range(star.JOBS)))
+    assert sorted(tmp_path.rglob("*.parquet")) == files
+    assert table.read().exceptAll(rows).count() == 0 and rows.exceptAll(table.read()).count() == 0
+
+
+def test_the_checks_work_each_table_out_once(spark):
+    times = "timestamp'2026-05-14' AS created_at, timestamp'2026-05-14' AS updated_at"
+    rows = spark.range(3).selectExpr(
+        "id", "id AS job_id", "'A' AS invoice_no", "'c' AS client", "'sent' AS send_status", "0 AS retry_count", "'{}' AS invoice_state_json",
+        "'queued' AS status", "'p' AS file_path", "IF(id = 0, NULL, 'h') AS file_hash", *times.split(", "),
+    )
+    report = quality.constraint_audit(rows, rows, rows.withColumn("invoice_state_json", F.lit(None).cast("string")))
+    assert "Range (" not in plan(report)
+    found = {(r.table_name, r.rule): r.violations for r in report.collect() if r.violations}
+    assert found == {
+        ("jobs", "file_hash not null"): 1, ("failed_invoices", "invoice_state_json not null"): 3, ("failed_invoices", "status accepted"): 3,
+    }
+
+
 def test_metrics_are_combined_before_the_shuffle(spark):
     assert "partial_count" in plan(metrics.job_metrics(outcomes.decide_outcomes(*tables(spark))))
 
