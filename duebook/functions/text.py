@@ -12,8 +12,13 @@ from duebook.functions.money import grouped_amount
 
 
 def strip(text: Column) -> Column:
-    """Cut white space, Unicode included, from both ends."""
-    return F.btrim(text, F.lit(fv.WHITE_SPACE))
+    """Cut white space, Unicode included, from both ends.
+
+    Only the ends are looked at first, as ``btrim`` goes through the whole text even where there is nothing to cut.
+    """
+    ends = [F.substring(text, 1, 1), F.substring(text, -1, 1)]
+    cut = ends[0].isin(*fv.WHITE_SPACE) | ends[1].isin(*fv.WHITE_SPACE)
+    return F.when(cut, F.btrim(text, F.lit(fv.WHITE_SPACE))).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:

@@ -48,16 +48,19 @@ def key_counts(rows: DataFrame, existing: DataFrame | None = None, key: list[str
     ).first()
 
 
-def append_new(table, rows: DataFrame, jobs: list, attempt_column: str | None = None) -> None:
+def append_new(
+    table, rows: DataFrame, jobs: list, attempt_column: str | None = None, by_job: bool = False
+) -> None:
     """Append the ``new_audit_rows`` of some jobs to a stored table.
 
     The keys are counted first. Whole rows are only shuffled for a key that comes twice or is there already, and
-    nothing is written if there is nothing new.
+    nothing is written if there is nothing new. ``by_job`` says that the rows are read out of one folder per job.
     """
     existing = table.read(jobs)
     counts = key_counts(rows, existing, _audit_key(attempt_column))
     if counts["fresh"]:
-        table.append(new_audit_rows(rows, existing, attempt_column=attempt_column, counts=counts))
+        as_read = by_job and not counts["repeated"] and not counts["known"]
+        table.append(new_audit_rows(rows, existing, attempt_column=attempt_column, counts=counts), as_read)
 
 
 def _audit_key(attempt_column: str | None) -> list[str]:

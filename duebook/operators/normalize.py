@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,24 +74,20 @@ def stage_invoices(invoices: DataFrame, as_of: Column) -> DataFrame:
 
 
 def faults() -> Column:
-    """Names of everything wrong with a normalized row, as an array."""
+    """Names of everything wrong with a normalized row, as an array. Nulls are only cut out of it where something is wrong."""
     def blank(name: str) -> Column:
         return is_blank(F.col(name))
 
-    return F.array_compact(
-        F.array(
-            F.when(blank("invoice_no"), F.lit("missing invoice_no")),
-            F.when(blank("client"), F.lit("missing client")),
-            F.when(blank("contact_email"), F.lit("missing contact_email")),
-            F.when(
-                F.col("amount_raw").isNull() | F.isnan("amount_raw") | F.col("amount").isNull(),
-                F.lit("unreadable amount"),
-            ),
-            F.when(blank("due_date_text"), F.lit("missing due_date")).when(
-                F.col("due_date").isNull(), F.lit("unreadable due_date")
-            ),
-        )
-    )
+    wrong = {
+        "missing invoice_no": blank("invoice_no"),
+        "missing client": blank("client"),
+        "missing contact_email": blank("contact_email"),
+        "unreadable amount": F.col("amount_raw").isNull() | F.isnan("amount_raw") | F.col("amount").isNull(),
+        "missing due_date": blank("due_date_text"),
+        "unreadable due_date": ~blank("due_date_text") & F.col("due_date").isNull(),
+    }
+    found = F.array_compact(F.array(*[F.when(is_wrong, F.lit(name)) for name, is_wrong in wrong.items()]))
+    return F.when(reduce(or_, wrong.values()), found).otherwise(F.array().cast("array<string>"))
 
 
 def with_faults(invoices: DataFrame) -> DataFrame:

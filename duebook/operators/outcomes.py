@@ -79,14 +79,8 @@ def _with_draft(
 ) -> DataFrame:
     """Invoices that get an e-mail: validate, then read how sending went."""
     hot = find_hot_keys(rows, KEY, rows_per_task)
-    rows = fold_revisions(rows, drafts, revisions, strict, hot)
-    if attempts is not None:
-        rows = resolve_attempts(rows, attempts, hot=hot)
-    else:
-        rows = rows.withColumns(
-            {"attempt_state": F.lit("succeeded"), "attempt_error": F.lit(None).cast("string")}
-        )
     if send_results is not None:
+        # Before the fold: what comes out of it isn't known to be in order any more and would be sorted again.
         sends = send_results.groupBy(*KEY).agg(
             F.min(F.struct("success", "provider", "message")).alias("_send")
         )
@@ -95,6 +89,13 @@ def _with_draft(
         rows = rows.withColumn(
             "_send", F.expr("struct(true AS success, 'dry_run' AS provider, '' AS message)")
         )
+    rows = fold_revisions(rows, drafts, revisions, strict, hot)
+    if attempts is not None:
+        rows = resolve_attempts(rows, attempts, hot=hot)
+    else:
+        rows = rows.withColumns(
+            {"attempt_state": F.lit("succeeded"), "attempt_error": F.lit(None).cast("string")}
+        )
 
     state, tried = F.col("draft_state"), F.col("attempt_state")
     outcome = (

@@ -16,6 +16,8 @@ KEY = ["job_id", "invoice_no"]
 EMAIL_ADDRESS = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
 _DRAFT_TYPE = "struct<" + ",".join(f"{name}:string" for name in DRAFT_FIELDS) + ">"
 CHECKED_VALUES = ["client", "invoice_no", "days_overdue", "payment_link"]
+#: Stands for the number of a rule where a revision isn't there yet.
+_AWAITING = -1
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -101,6 +103,30 @@ def searched_text(draft: Column, strict: bool = False) -> Column:
     return words_only(draft_text(draft)) if strict else draft_text(draft)
 
 
+def _checks(draft: Column, marks: Column, asked: Column, lacking: Column) -> list[tuple[int, Column]]:
+    """The rules in the order they are asked, each with the condition that breaks it."""
+    return [
+        (1, draft.isNull() | (marks["kind"] == "empty")),
+        (6, marks["kind"] == "invalid"),
+        (2, ~marks["recipient"].eqNullSafe(asked["recipient"])),
+        (3, marks["tone"] != asked["tone"]),
+        (4, marks["subject"] != asked["subject"]),
+        (5, lacking),
+    ]
+
+
+def _feedback(marks: Column, missing: Column) -> dict[int, Column]:
+    """What is said of a draft that breaks a rule."""
+    return {
+        1: F.lit(fv.TEXT_NO_DRAFT),
+        6: F.concat(F.lit("Draft record is not valid: "), marks["fault"]),
+        2: F.lit(fv.TEXT_WRONG_RECIPIENT),
+        3: _filled(fv.TEXT_WRONG_TONE, "tone", F.col("tone")),
+        4: _filled(fv.TEXT_WRONG_SUBJECT, "subject", F.col("expected_subject")),
+        5: _filled(fv.TEXT_MISSING_VALUE, "value", missing),
+    }
+
+
 def judge(
     draft: Column,
     strict: bool = False,
@@ -118,27 +144,10 @@ def judge(
     asked = invoice_marks(strict) if asked is None else asked
     text = searched_text(draft, strict) if text is None else text
     missing = first_missing_value(text, asked["values"], strict)
-    return (
-        F.when(draft.isNull() | (marks["kind"] == "empty"), _ruling("rejected", 1, fv.TEXT_NO_DRAFT))
-        .when(
-            marks["kind"] == "invalid",
-            _ruling("invalid", 6, F.concat(F.lit("Draft record is not valid: "), marks["fault"])),
-        )
-        .when(~marks["recipient"].eqNullSafe(asked["recipient"]), _ruling("rejected", 2, fv.TEXT_WRONG_RECIPIENT))
-        .when(
-            marks["tone"] != asked["tone"],
-            _ruling("rejected", 3, _filled(fv.TEXT_WRONG_TONE, "tone", F.col("tone"))),
-        )
-        .when(
-            marks["subject"] != asked["subject"],
-            _ruling("rejected", 4, _filled(fv.TEXT_WRONG_SUBJECT, "subject", F.col("expected_subject"))),
-        )
-        .when(
-            missing.isNotNull(),
-            _ruling("rejected", 5, _filled(fv.TEXT_MISSING_VALUE, "value", missing)),
-        )
-        .otherwise(_ruling("approved", 0, ""))
-    )
+    feedback, ruling = _feedback(marks, missing), F
+    for rule, broken in _checks(draft, marks, asked, missing.isNotNull()):
+        ruling = ruling.when(broken, _ruling("invalid" if rule == 6 else "rejected", rule, feedback[rule]))
+    return ruling.otherwise(_ruling("approved", 0, ""))
 
 
 def judge_drafts(invoices: DataFrame, drafts: DataFrame, strict: bool = False) -> DataFrame:
@@ -191,46 +200,62 @@ def fold_revisions(
     max(1, max_retries - retry_count) revisions; ``revisions`` is the largest such number the plan
     is made for, and a row that needs more stops the job rather than being judged on fewer.
 
-    What the rules read of a draft or an invoice alone is worked out once each, in compiled code before
-    the join; the expression applied to the array of drafts only compares. Written out once per revision the rules
-    would make more generated code than the JVM compiles. The result comes out of ``inline``,
+    What the rules read of a draft alone is worked out before the join, what they read of an invoice after it, so
+    it isn't shuffled, and so are the texts, once each. The expression applied to the array of drafts is not compiled:
+    it only compares, and gives the number of the rule that each breaks. Written out once per revision it
+    would make more generated code than the JVM compiles. The words are made for the revision that
+    settles the invoice. The result comes out of ``inline``,
     because a later filter on it would otherwise be pushed down as many copies of the rules.
     """
     grouped = drafts_by_invoice(drafts, revisions)
     nothing = F.array_repeat(F.lit(None).cast(grouped.schema["_drafts"].dataType.elementType), revisions)
-    limit = F.col("_asked")["revisions"]
+    joined = spread_join(invoices, grouped, KEY, hot)
+    ones = [F.get(F.col("_drafts"), F.lit(k)) for k in range(revisions)]
+    texts = [F.when(one["marks"]["kind"] == "whole", searched_text(one["draft"], strict)) for one in ones]
+    rows = joined.withColumns(
+        {"_asked": invoice_marks(strict), "_texts": F.array(*texts), "_drafts": F.coalesce("_drafts", nothing)}
+    )
+    asked, rules = F.col("_asked"), F.col("_rules")
+
+    def rule_on(one: Column, place: Column) -> Column:
+        text = F.get(F.col("_texts"), place)
+        lacking = _any([~text.contains(asked["values"][k]) for k in range(len(CHECKED_VALUES))])
+        rule = F.when(one.isNull(), F.lit(_AWAITING))
+        for number, broken in _checks(one["draft"], one["marks"], asked, lacking):
+            rule = rule.when(broken, F.lit(number))
+        return rule.otherwise(F.lit(0))
+
+    limit = asked["revisions"]
     too_many = F.raise_error(
         F.concat(F.lit("fold_revisions needs revisions >= "), limit.cast("string"))
     ).cast("int")
-    joined = spread_join(invoices.withColumn("_asked", invoice_marks(strict)), grouped, KEY, hot)
-    rows = joined.withColumns(
-        {
-            "_drafts": F.coalesce("_drafts", nothing),
-            "_limit": F.when(limit > revisions, too_many).otherwise(limit),
-        }
+    rows = rows.withColumns(
+        {"_rules": F.transform("_drafts", rule_on), "_limit": F.when(limit > revisions, too_many).otherwise(limit)}
     )
-
-    def rule_on(one: Column) -> Column:
-        return F.when(
-            one.isNull(),
-            _ruling("awaiting_draft", 0, ""),
-        ).otherwise(judge(one["draft"], strict, one["marks"], F.col("_asked")))
-
-    rows = rows.withColumn("_rulings", F.transform(F.slice("_drafts", F.lit(1), F.col("_limit")), rule_on))
-    ends = F.transform("_rulings", lambda ruling: ruling["status"] != "rejected")
-    rows = rows.withColumn("_end", F.array_position(ends, True).cast("int"))
-    rows = rows.withColumn("_at", F.when(F.col("_end") > 0, F.col("_end")).otherwise(F.col("_limit")))
-    rows = rows.withColumn("_status", F.get(F.col("_rulings"), F.col("_at") - 1)["status"])
-    waiting = F.col("_status") == "awaiting_draft"
-    last = F.col("_at") - F.when(waiting, F.lit(2)).otherwise(F.lit(1))
-    ruling = F.get(F.col("_rulings"), last)
-    exhausted = F.col("_status") == "rejected"
+    ends = [
+        F.when((F.lit(k) < F.col("_limit")) & ~F.get(rules, F.lit(k)).between(1, 5), F.lit(k + 1)) for k in range(revisions)
+    ]
+    rows = rows.withColumn("_at", F.coalesce(*ends, "_limit"))
+    rows = rows.withColumn("_end", F.get(rules, F.col("_at") - 1))
+    waiting = F.col("_end") == _AWAITING
+    rows = rows.withColumn("_last", F.col("_at") - F.when(waiting, F.lit(2)).otherwise(F.lit(1)))
+    last = {"_rule": "_rules", "_one": "_drafts", "_text": "_texts"}
+    rows = rows.withColumns({name: F.get(F.col(of), F.col("_last")) for name, of in last.items()})
+    one, rule = F.col("_one"), F.col("_rule")
+    feedback = F
+    for number, said in _feedback(one["marks"], first_missing_value(F.col("_text"), asked["values"], strict)).items():
+        feedback = feedback.when(rule == number, said)
+    exhausted = F.col("_end").between(1, 5)
     folded = F.struct(
-        F.when(exhausted, F.lit("exhausted")).otherwise(F.col("_status")).alias("draft_state"),
+        F.when(waiting, F.lit("awaiting_draft"))
+        .when(exhausted, F.lit("exhausted"))
+        .when(F.col("_end") == 6, F.lit("invalid"))
+        .otherwise(F.lit("approved"))
+        .alias("draft_state"),
         F.when(exhausted, F.col("_at")).otherwise(F.col("_at") - 1).alias("rejections"),
-        F.coalesce(ruling["feedback"], F.lit("")).alias("draft_feedback"),
-        ruling["rule"].alias("draft_rule"),
-        F.get(F.col("_drafts"), last)["draft"].alias("draft"),
+        F.coalesce(feedback, F.lit("")).alias("draft_feedback"),
+        rule.alias("draft_rule"),
+        one["draft"].alias("draft"),
     )
     return rows.select(*invoices.columns, F.inline(F.array(folded)))
 

@@ -118,7 +118,7 @@ def run_follow_up(
     quarantine.replace(faulty)
     written = table.read(jobs)
 
-    append_new(store.audit, audit_rows(written, moment), jobs)
+    append_new(store.audit, audit_rows(written, moment), jobs, by_job=True)
     failed = write_and_read(queue_rows(written, moment), "failed")
     one_each = key_counts(failed, key=KEY)["repeated"] == 0
     closed = write_and_read(closed_keys(store.queue.read(), written, jobs), "closed")
@@ -127,5 +127,5 @@ def run_follow_up(
         lambda rows: close_entries(upsert_failures(rows, failed, one_each=one_each), closed, moment),
     )
     clear_jobs(store.spark, store.email_log, jobs)
-    replace_email_log(email_log_rows(written, moment, ("job_id",)), store.email_log)
+    replace_email_log(email_log_rows(written, moment, ("job_id",)), store.email_log, as_read=True)
     return job_metrics(written, loaded)

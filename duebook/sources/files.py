@@ -19,13 +19,16 @@ def append_email_log(rows: DataFrame, path: str) -> None:
     rows.select(*EMAIL_LOG.fieldNames()).write.mode("append").option("timestampFormat", _TIME).json(path)
 
 
-def replace_email_log(rows: DataFrame, path: str) -> None:
-    """Write the log of whole jobs, one folder per job_id, in place of what those jobs had."""
-    rows.select("job_id", *EMAIL_LOG.fieldNames()).hint("rebalance", "job_id").write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").option("timestampFormat", _TIME).partitionBy(
-        "job_id"
-    ).json(path)
+def replace_email_log(rows: DataFrame, path: str, as_read: bool = False) -> None:
+    """Write the log of whole jobs, one folder per job_id, in place of what those jobs had.
+
+    ``as_read`` is for rows just read out of one folder per job: they make no more files than they come from, unshuffled.
+    """
+    rows = rows.select("job_id", *EMAIL_LOG.fieldNames())
+    rows = rows if as_read else rows.hint("rebalance", "job_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "timestampFormat", _TIME
+    ).partitionBy("job_id").json(path)
 
 
 def read_email_log(spark: SparkSession, path: str) -> DataFrame:

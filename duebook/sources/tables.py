@@ -99,10 +99,11 @@ class PartitionedTable:
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(self.by).parquet(self.path)
 
-    def append(self, rows: DataFrame) -> None:
-        rows.select(*self.schema.fieldNames()).hint("rebalance", self.by).write.mode("append").partitionBy(
-            self.by
-        ).parquet(self.path)
+    def append(self, rows: DataFrame, as_read: bool = False) -> None:
+        """``as_read`` is for rows just read out of one folder per job: they make no more files than they come from, unshuffled."""
+        rows = rows.select(*self.schema.fieldNames())
+        rows = rows if as_read else rows.hint("rebalance", self.by)
+        rows.write.mode("append").partitionBy(self.by).parquet(self.path)
 
 
 class ConcurrentUpdate(RuntimeError):

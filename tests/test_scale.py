@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from duebook import fixed_values as fv
+from duebook.functions.text import strip
 from duebook.operators import audit, batching, drafts, failures, hot_keys, metrics, normalize, outcomes, profiling, quality, validation
 from duebook.schemas import AUDIT
 from duebook.session import write_and_read
@@ -164,3 +166,37 @@ def test_copies_collapse_before_the_shuffle_in_profiles(spark):
     table = spark.range(0, 9000, 1, 6).select(F.when(F.col("id") % 3 != 0, F.col("id")).otherwise(F.lit(-1)).alias("v"))
     assert profiling.duplicate_rows(table).first()[0] == 2999
     assert "partial_count" in plan(profiling.duplicate_rows(table))
+
+
+def test_rows_read_by_job_are_written_unshuffled(spark, tmp_path):
+    rows = write_and_read(outcomes.audit_rows(outcomes.decide_outcomes(*tables(spark)), star.now()), "rows")
+    by_job, table = (PartitionedTable(spark, str(tmp_path / name), AUDIT) for name in ("by_job", "audit"))
+    by_job.append(rows)
+    jobs = list(range(star.JOBS))
+    audit.append_new(table, by_job.read(jobs), jobs, by_job=True)
+    assert len(list((tmp_path / "audit").rglob("*.parquet"))) <= len(list((tmp_path / "by_job").rglob("*.parquet")))
+    assert table.read().exceptAll(rows).count() == 0 and rows.exceptAll(table.read()).count() == 0
+    audit.append_new(table, by_job.read(jobs), jobs, by_job=True)
+    assert table.read().count() == rows.count()
+
+
+def test_the_fold_shuffles_no_marks_and_sorts_its_rows_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        staged, draft, sends = (write_and_read(rows, "fold") for rows in tables(spark))
+        lines = plan(outcomes.decide_outcomes(staged, draft, sends)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    fold = next(k for k, line in enumerate(lines) if "Generate inline" in line)
+    assert not any(" Sort [" in line for line in lines[:fold])
+    shuffled = [lines[k + 1] for k, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 3 and not any("_asked" in line for line in shuffled)
+
+
+def test_white_space_is_cut_from_either_end_alone(spark):
+    blanks = fv.WHITE_SPACE
+    texts = ["", "a", "a b", *(f"{b}a{c}b" for b in blanks for c in "x　"), *(f"é{b}a{b}" for b in blanks), blanks, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("cut")).collect()
+    assert [r.cut for r in rows] == [None if r.t is None else r.t.strip(blanks) for r in rows]
