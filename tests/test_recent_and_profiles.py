@@ -64,6 +64,32 @@ def test_times_before_1970_and_repeated_appends(spark, tmp_path):
     assert [r.invoice_no for r in table.newest(2).collect()] == ["new", "new"]
 
 
+def test_an_append_over_many_spans_makes_few_folders(spark, tmp_path):
+    table = RecentTable(spark, str(tmp_path / "feed"), spark.createDataFrame([], KIND).schema, 3600, most_folders=10)
+    rows, late = hours(spark, 0, 300), hours(spark, 290, 295, per_hour=3)
+    table.append(rows)
+    assert len(table.spans()) <= 10 and table.read().count() == rows.count()
+    table.append(late)  # in folders of an hour, next to a wide one that ends later
+    everything = rows.unionByName(late)
+    for n in (1, 25, 200, 2000):
+        assert views.email_feed(table.newest(n), limit=n).collect() == views.email_feed(everything, limit=n).collect()
+    at = START + dt.timedelta(hours=100, minutes=30)
+
+    def page(t):
+        return views.next_page(t.filter("job_id = 1"), (at, 10**6, "~"), 7)
+
+    assert page(table.newest(7, page, at=at)).collect() == page(everything).collect()
+
+
+def test_a_wide_folder_does_not_hide_later_rows_of_the_next(spark, tmp_path):
+    table = RecentTable(spark, str(tmp_path / "feed"), spark.createDataFrame([], KIND).schema, 3600, most_folders=1)
+    table.append(hours(spark, 0, 60, per_hour=1))
+    table.append(spark.createDataFrame([(START + dt.timedelta(hours=61), 1, "new")], KIND))
+    wide, narrow = table.folders()
+    assert wide.width > 1 == narrow.width and narrow.last < wide.last
+    assert [r.invoice_no for r in views.email_feed(table.newest(1), limit=1).collect()] == ["new"]
+
+
 def test_profile_out_of_stored_sketches(spark, tmp_path):
     rows = spark.range(60000).select(
         (F.col("id") % 4).alias("job_id"),
