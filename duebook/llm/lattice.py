@@ -89,22 +89,27 @@ class Matcher:
             by_length.setdefault(len(vocabulary.pieces[i]), []).append(i)
         self.byte_ids = np.array(vocabulary.byte_ids)
         self.tables = {}
+        self.prefixes = {}
         for length, ids in by_length.items():
             codes = np.frombuffer("".join(vocabulary.pieces[i] for i in ids).encode("utf-32-le"), np.uint32)
             h = np.zeros(len(ids), np.uint64)
-            for column in codes.reshape(-1, length).T:
+            for place, column in enumerate(codes.reshape(-1, length).T, 1):
                 h = (h + column + np.uint64(1)) * _PRIME
+                self.prefixes[place] = np.union1d(self.prefixes.get(place, h[:0]), h)
             order = np.argsort(h)
             self.tables[length] = (h[order], np.array(ids)[order], codes.reshape(-1, length)[order])
         self._filters: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
-        return {"byte_ids": self.byte_ids, "tables": self.tables, "_filters": {}}
+        return {"byte_ids": self.byte_ids, "tables": self.tables, "prefixes": self.prefixes, "_filters": {}}
 
     def _filter(self, length: int) -> np.ndarray:
+        """By a run's hash: 0 if no piece starts with it, 2 if a piece of this length may be it, else 1."""
         if length not in self._filters:
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[(self.tables[length][0] * _MIX) >> np.uint64(64 - FILTER_BITS)] = True
+            seen = np.zeros(1 << FILTER_BITS, np.uint8)
+            seen[(self.prefixes[length] * _MIX) >> np.uint64(64 - FILTER_BITS)] = 1
+            if length in self.tables:
+                seen[(self.tables[length][0] * _MIX) >> np.uint64(64 - FILTER_BITS)] = 2
             self._filters[length] = seen
         return self._filters[length]
 
@@ -124,10 +129,13 @@ class Matcher:
             if not len(at):
                 break
             h = (h + codes[at + length - 1] + np.uint64(1)) * _PRIME
+            kind = self._filter(length)[(h * _MIX) >> np.uint64(64 - FILTER_BITS)]
+            starting = np.flatnonzero(kind)
+            at, h, kind = at[starting], h[starting], kind[starting]
             if length not in self.tables:
                 continue
             keys, pieces, letters = self.tables[length]
-            maybe = np.flatnonzero(self._filter(length)[(h * _MIX) >> np.uint64(64 - FILTER_BITS)])
+            maybe = np.flatnonzero(kind == 2)
             found = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
             true = keys[found] == h[maybe]
             maybe, found = maybe[true], found[true]

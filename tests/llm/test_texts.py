@@ -257,6 +257,21 @@ def test_sampled_pieces_are_lossless_and_repeatable(spark):
     assert piece_sampling.encode(docs.limit(0), PIECES).count() == 0
 
 
+def test_lattices_of_repeated_units_are_made_once(monkeypatch):
+    made, match = [], lattice.Matcher.match
+    monkeypatch.setattr(lattice.Matcher, "match", lambda self, units: made.extend(units) or match(self, units))
+    rng = random.Random(16)
+    texts = [words(rng, 30, "abcé\n") for _ in range(40)] + ["", " ", "一 ▁ 一", "once"]
+    keys = list(range(len(texts)))
+    own, small = piece_sampling.Sampler(PIECES), piece_sampling.Sampler(PIECES)
+    whole = [x.tolist() for x in own.encode(keys * 2, texts * 2)]
+    assert whole[: len(texts)] == whole[len(texts) :]
+    made.clear()
+    assert [x.tolist() for x in own.encode(keys, texts)] == whole[: len(texts)] and not made
+    small.lattices.most = 20
+    assert [small.encode([k], [t])[0].tolist() for k, t in zip(keys, texts, strict=True)] == whole[: len(texts)]
+
+
 def segmentations(word, ids):
     if not word:
         return [()]
