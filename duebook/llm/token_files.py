@@ -96,16 +96,17 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, between: int
         raise ValueError("an id isn't in the table")
     x = np.full(lanes, LOW, np.uint64)
     words, states = [], []
-    shift = np.uint64(SCALE_BITS)
+    wide = np.uint64(32)
+    freq, start = table.freq[ids], table.start[ids]
+    limit, rest = freq << np.uint64(63 - SCALE_BITS), np.uint64(1 << SCALE_BITS) - freq
     for step in range(steps - 1, -1, -1):
-        some = ids[step * lanes : (step + 1) * lanes]
-        f = table.freq[some]
-        now = x[: len(some)]
-        full = now >= (f << np.uint64(63 - SCALE_BITS))
-        words.append(now[full].astype(np.uint32))
-        now = np.where(full, now >> np.uint64(32), now)
-        q = now // f
-        x[: len(some)] = (q << shift) + (now - q * f) + table.start[some]
+        some = slice(step * lanes, min(n, (step + 1) * lanes))
+        now = x[: some.stop - some.start]
+        full = np.flatnonzero(now >= limit[some])
+        out = now[full]
+        words.append(out.astype(np.uint32))
+        now[full] = out >> wide
+        now += start[some] + now // freq[some] * rest[some]
         if step % between == 0:
             states.append(x.copy())
     words.reverse()

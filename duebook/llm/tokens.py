@@ -2,7 +2,9 @@
 
 Byte-level BPE cuts a text before every run of blanks that follows something else, and between
 letters and marks, so a text's ids are those of its pieces, one after the other.
-Pieces met before are looked up, others are encoded by the tokenizers library. Texts with rarer
+Pieces met before are looked up, others are encoded by the tokenizers library; pieces between single
+blanks are numbered over many texts, so that each different one is looked up once, and kept if it
+occurs twice among them. Texts with rarer
 blanks, whose cuts depend on what stands next to them, are encoded whole.
 """
 
@@ -13,6 +15,10 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Between single blanks a text can be cut by ``split``; with runs of blanks, pieces are looked for.
 RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -23,6 +29,8 @@ OTHER_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u
 #: merges can be asked for at once. The apostrophe isn't among the marks, it starts pieces of its own.
 WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 LONGEST_KEPT = 40
+#: Letters of the texts whose pieces are numbered together.
+CHUNK = 8 << 20
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -45,6 +53,7 @@ class _Pieces(dict):
         self.tokenizer, self.most, self.blank, self.old = tokenizer, most, blank, {}
         self.model = tokenizer.model
         self.letter_of = byte_letters()
+        self.spelled_blank = self.letter_of[32] if blank else ""
         self.marks: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
 
@@ -52,18 +61,15 @@ class _Pieces(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merged(self, blank: str, letters: str) -> bytes:
-        line = blank + letters
-        spelled = (self.letter_of[32] if blank else "") + letters
         if not letters.isascii():
-            spelled = "".join(map(self.letter_of.__getitem__, line.encode()))
+            letters = letters.encode().decode("latin-1").translate(self.letter_of)
+        spelled = self.spelled_blank + letters if blank else letters
         return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
     def _mark_ids(self, marks: str) -> bytes:
-        ids = self.marks.get(marks)
-        if ids is None:
-            ids = self._ids(marks)
-            if len(self.marks) < 10_000:
-                self.marks[marks] = ids
+        ids = self._ids(marks)
+        if len(self.marks) < 10_000:
+            self.marks[marks] = ids
         return ids
 
     def _fresh(self, piece: str) -> bytes:
@@ -71,11 +77,14 @@ class _Pieces(dict):
         if not word:
             return self._ids(piece if piece[:1] == "\n" else self.blank + piece)
         line, letters, marks = word.groups()
-        if line:
-            ids = self.line_end + self._merged("", letters)
-        else:
-            ids = self[letters] if marks else self._merged(self.blank, letters)
-        return ids + self._mark_ids(marks) if marks else ids
+        if not line and not marks:
+            return self._merged(self.blank, letters)
+        ids = self.line_end + self._merged("", letters) if line else self[letters]
+        return ids + (self.marks.get(marks) or self._mark_ids(marks)) if marks else ids
+
+    def ids(self, piece: str, keep: bool) -> bytes:
+        """A piece's ids, kept for later if asked to."""
+        return self[piece] if keep or piece in self.old else self._fresh(piece)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -105,6 +114,39 @@ class Encoder:
         self.after_blank = _Pieces(self.tokenizer, most_kept, " ")
         self.others = _Pieces(self.tokenizer, most_kept // 4)
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces between single blanks are looked up once for all texts, and kept if met twice."""
+        out, single = [b""] * len(texts), []
+        for k, text in enumerate(texts):
+            if not text or any(run in text for run in RUNS) or any(blank in text for blank in OTHER_BLANKS):
+                out[k] = self.encode(text)
+            else:
+                single.append(k)
+        if not single:
+            return out
+        split = pc.split_pattern(pa.array([texts[k].replace("\n", " \n") for k in single], pa.large_string()), " ")
+        pieces = split.flatten().dictionary_encode()
+        starts, distinct = split.offsets.to_numpy(), pieces.dictionary.to_pylist()
+        piece = pieces.indices.to_numpy().astype(np.int64)
+        firsts = [distinct[k] for k in piece[starts[:-1]].tolist()]
+        piece[starts[:-1]] = len(distinct) + np.arange(len(single))
+        used = np.bincount(piece, minlength=len(distinct))[: len(distinct)]
+        met, known = self.after_blank.get, self.after_blank.ids
+        ids = [(met(p) or known(p, n > 1)) if n else b"" for p, n in zip(distinct, used.tolist(), strict=True)]
+        ids += [self.others[p] if p else b"" for p in firsts]
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, lengths_here = (np.cumsum(lengths) - lengths)[piece], lengths[piece]
+        ends = np.cumsum(lengths_here)
+        # a batch's texts have less than 2**31 bytes, and no more ids than bytes
+        place = np.repeat((begin - (ends - lengths_here)).astype(np.int32), lengths_here)
+        place += np.arange(len(place), dtype=np.int32)
+        data = flat[place].tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[starts]).tolist()
+        for k, a, b in zip(single, bounds, bounds[1:], strict=False):
+            out[k] = data[a:b]
+        return out
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -131,5 +173,11 @@ def encode_stream(path: str, texts: Iterable[str | None], end_id: int | None) ->
     """The ids of each text in turn (null: none), with ``end_id`` after them."""
     own = encoder(path)
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
+    some, size = [], 0
     for text in texts:
-        yield own.encode(text or "") + end
+        some.append(text or "")
+        size += len(some[-1])
+        if size >= CHUNK:
+            yield from (ids + end for ids in own.encode_many(some))
+            some, size = [], 0
+    yield from (ids + end for ids in own.encode_many(some))

@@ -31,6 +31,17 @@ def test_pieces_looked_up_give_the_same_ids():
         assert np.frombuffer(small.encode(text), "<u4").tolist() == plain_ids(text)[:-1], text
 
 
+def test_pieces_are_looked_up_once_and_kept_if_repeated(monkeypatch):
+    own = tokens.Encoder(BPE)
+    monkeypatch.setattr(tokens, "encoder", lambda path: own)
+    texts = ["all our words", None, "and our own", *(f"once q{chr(97 + k)}x words" for k in range(20)), *AWKWARD]
+    want = [plain_ids(t) for t in texts]
+    assert [list(np.frombuffer(x, np.uint32)) for x in tokens.encode_stream(BPE, texts, 0)] == want
+    assert {"our", "words"} <= set(own.after_blank) and not {"own", "qax", "qtx"} & set(own.after_blank)
+    monkeypatch.setattr(tokens, "CHUNK", 7)
+    assert [list(np.frombuffer(x, np.uint32)) for x in tokens.encode_stream(BPE, iter(texts), 0)] == want
+
+
 def test_token_files_read_back(spark):
     rng = random.Random(9)
     texts = [*AWKWARD, words(rng, 3000), words(rng, 50)]
