@@ -10,14 +10,22 @@ expressions as in a batch run. While no invoice of a key waits, its facts are on
 Of drafts for one revision, and of send results, the first to arrive counts, in one micro-batch the
 least. The state asks of an invoice only whether it still waits; the texts it compares are prepared by
 column expressions.
+
+To and from the state machine, and in the state, an invoice, a draft and a send result are one JSON text each, made
+and read by column expressions: a struct costs Python about a microsecond a field each time it is handed over. The machine
+reads of them what it compares, and examines a draft once for an invoice that waits. In the state they are compressed blobs.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import pickle
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -35,19 +43,7 @@ DRAFT = T.StructType([T.StructField("revision", T.IntegerType()), *[T.StructFiel
 SEND = T.StructType(
     [T.StructField("success", T.BooleanType()), T.StructField("provider", T.StringType()), T.StructField("message", T.StringType())]
 )
-MARKS = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "recipient", "tone", "subject", "text")])
-KNOWN = T.StructType([T.StructField("draft", DRAFT), T.StructField("marks", MARKS)])
-FACTS = T.StructType([T.StructField("drafts", T.ArrayType(KNOWN)), T.StructField("send", SEND)])
-# The facts of a bucket's keys; ``until`` is the time up to which those of a key without a waiting invoice count.
-KNOWN_FACTS = T.StructType(
-    [
-        T.StructField("job_id", T.LongType()),
-        T.StructField("invoice_no", T.StringType()),
-        *FACTS.fields,
-        T.StructField("until", T.LongType()),
-    ]
-)
-BUCKET_FACTS = T.StructType([T.StructField("known", T.ArrayType(KNOWN_FACTS))])
+DRAFTS = T.ArrayType(DRAFT)
 ASKED = T.StructType(
     [
         T.StructField("revisions", T.IntegerType()),
@@ -57,29 +53,35 @@ ASKED = T.StructType(
         T.StructField("values", T.ArrayType(T.StringType())),
     ]
 )
+MARKS = ("kind", "recipient", "tone", "subject", "text")
+# The parts of a draft's text.
+TEXT = ("greeting", "body", "closing")
+SENDING = -1
+# What the state machine is given, all texts, and what it hands on.
+EVENT = [*KEY, "invoice", "asked", "draft", "marks", "send"]
+HANDED = T.StructType([T.StructField(name, T.StringType()) for name in ("invoice", "drafts", "send")])
+BLOB = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+# Nulls are written out, so that a struct's values stand in their order; times keep their microseconds.
+_WRITE = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_READ = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1), "timestampFormat": _WRITE["timestampFormat"]}
+
 
+_decode = json.JSONDecoder().raw_decode
 
-def as_dict(value, kind: T.DataType):
-    """A value out of a row or a state (a dict, a row or a tuple) with its structs as dicts."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        parts = [value[f.name] for f in kind] if isinstance(value, dict) else list(value)
-        return {f.name: as_dict(v, f.dataType) for f, v in zip(kind, parts, strict=True)}
-    if isinstance(kind, T.ArrayType):
-        return [as_dict(v, kind.elementType) for v in value]
-    return value
 
+def parsed(text: str) -> dict:
+    """The struct of a text of ``as_json``, which holds nothing around it; ``json.loads`` looks for that at each call."""
+    return _decode(text)[0]
 
-def as_tuple(value, kind: T.DataType):
-    """The same for a state: structs as tuples."""
-    if value is None:
-        return None
-    if isinstance(kind, T.StructType):
-        return tuple(as_tuple(value[f.name], f.dataType) for f in kind)
-    if isinstance(kind, T.ArrayType):
-        return [as_tuple(v, kind.elementType) for v in value]
-    return value
+
+def as_json(value: Column) -> Column:
+    """A struct as JSON."""
+    return F.to_json(value, _WRITE)
+
+
+def out_of_json(text: Column, kind: T.DataType) -> Column:
+    """What ``as_json`` was given; a text that can't be read fails the job."""
+    return F.from_json(text, kind, _READ)
 
 
 def passes(asked: dict, marks: dict) -> bool:
@@ -91,23 +93,68 @@ def passes(asked: dict, marks: dict) -> bool:
     )
 
 
-def still_waits(asked: dict, drafts: dict, send: dict | None) -> bool:
-    """Whether an invoice needs more than these facts to be settled."""
-    for revision in range(asked["revisions"]):
-        known = drafts.get(revision)
-        if known is None:
-            return True
-        kind = known["marks"]["kind"]
-        if kind == "invalid":
-            return False
-        if kind == "whole" and passes(asked, known["marks"]):
-            return send is None
-    return False
+def marks_of(known: tuple) -> dict:
+    """The marks of a whole draft, with its text if they don't hold it."""
+    marks = dict(zip(MARKS, known[2], strict=True))
+    if marks["text"] is None:
+        parts = parsed(known[1])
+        marks["text"] = " ".join(parts[c] for c in TEXT if parts[c] is not None)
+    return marks
 
 
-def _order(value: dict) -> tuple:
+def examine(asked: str, drafts: dict[int | None, tuple], send: str | tuple | None, at: int = 0) -> int | None:
+    """Where an invoice waits: at the revision that isn't there yet or, once one is approved, ``SENDING``.
+
+    None if these facts settle it. ``at`` is where it waited before, as revisions examined once stay as they were.
+    """
+    if at != SENDING:
+        if at not in drafts:
+            return at
+        asks = parsed(asked)
+        for revision in range(at, asks["revisions"]):
+            known = drafts.get(revision)
+            if known is None:
+                return revision
+            kind = known[2][0]
+            if kind == "invalid":
+                return None
+            if kind == "whole" and passes(asks, marks_of(known)):
+                break
+        else:
+            return None
+    return SENDING if send is None else None
+
+
+def _order(text: str) -> tuple:
     """Nulls first, then by value, field by field."""
-    return tuple((x is not None, x if x is not None else 0) for x in value.values())
+    return tuple((x is not None, x if x is not None else 0) for x in parsed(text).values())
+
+
+def packed(value) -> tuple[int, bytes]:
+    """A value as one compressed blob behind its size: a state of texts costs memory and calls by its bytes."""
+    whole = pickle.dumps(value, 5)
+    return len(whole), pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpacked(size: int, blob: bytes):
+    return pickle.loads(pa.decompress(blob, size, codec="zstd", asbytes=True))
+
+
+class Packed:
+    """A value of the state as one blob, which costs the same few calls however much is in it."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self):
+        stored = self.state.get()
+        return unpacked(*stored) if stored else None
+
+    def update(self, value) -> None:
+        self.state.update(packed(value))
+
+    def clear(self) -> None:
+        self.state.clear()
 
 
 class Settlements(StatefulProcessor):
@@ -116,6 +163,9 @@ class Settlements(StatefulProcessor):
     State is kept by bucket of keys: the list of its waiting invoices, the facts of their keys, and the facts of
     other keys, each with the time it counts until. The latter are dropped when the bucket is next written, and all
     of them once nothing has come to the bucket for so long.
+
+    A key's facts are (job_id, invoice_no, drafts, send, until), a draft is (revision, draft, marks). An invoice that waits
+    is (asked, where it waits, invoice); an element of the list holds those that one micro-batch has added or left.
     """
 
     def __init__(self, waiting: T.StructType, keep_ms: int):
@@ -123,93 +173,104 @@ class Settlements(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.invoices = handle.getListState("invoices", self.waiting)
-        self.facts = handle.getValueState("facts", BUCKET_FACTS)
-        self.kept = handle.getValueState("kept", BUCKET_FACTS, self.keep_ms)
+        self.facts = Packed(handle.getValueState("facts", BLOB))
+        self.kept = Packed(handle.getValueState("kept", BLOB, self.keep_ms))
 
     @staticmethod
     def _read(state) -> dict:
         """The facts of each key in one of the two values."""
-        stored = as_dict(state.get(), BUCKET_FACTS)
-        return {(k["job_id"], k["invoice_no"]): k for k in stored["known"]} if stored else {}
+        stored = state.get()
+        return {known[:2]: known for known in stored[0]} if stored else {}
 
     @staticmethod
     def _write(state, known: dict) -> None:
         if known:
-            state.update(as_tuple({"known": list(known.values())}, BUCKET_FACTS))
+            state.update((list(known.values()),))
         else:
             state.clear()
 
     def _waiting(self) -> dict[tuple, list]:
+        """The invoices that wait, by key."""
         found: dict[tuple, list] = {}
-        for value in self.invoices.get():
-            one = as_dict(value, self.waiting)
-            found.setdefault((one["invoice"]["job_id"], one["invoice"]["invoice_no"]), []).append(one)
+        for size, blob, _ in self.invoices.get():
+            for place, *one in unpacked(size, blob):
+                found.setdefault(place, []).append(tuple(one))
         return found
 
-    def _arrivals(self, rows: Iterator[Row]) -> tuple[list, dict, dict | None]:
+    @staticmethod
+    def _element(ones: list[tuple]) -> tuple:
+        """Invoices that wait, each behind its key, as an element of the list."""
+        return *packed(ones), None
+
+    @staticmethod
+    def _arrivals(rows: list[tuple]) -> tuple[list, dict, str | tuple | None]:
         invoices, drafts, send = [], {}, None
         for row in rows:
-            if row.invoice is not None:
-                invoices.append(as_dict((row.invoice, row.asked), self.waiting))
-            elif row.draft is not None:
-                known = as_dict((row.draft, row.marks), KNOWN)
-                revision = known["draft"]["revision"]
+            _, _, invoice, asked, draft, marks, sent = row
+            if invoice is not None:
+                invoices.append((asked, 0, invoice))
+            elif draft is not None:
+                read = parsed(marks)
+                revision = read["revision"]
                 least = drafts.get(revision)
-                if least is None or _order(known["draft"]) < _order(least["draft"]):
-                    drafts[revision] = known
-            elif row.send is not None:
-                one = as_dict(row.send, SEND)
-                send = one if send is None else min(send, one, key=_order)
+                if least is None or _order(draft) < _order(least[1]):
+                    drafts[revision] = (revision, draft, tuple(map(read.get, MARKS)))
+            elif sent is not None:
+                send = sent if send is None else min(send, sent, key=_order)
         return invoices, drafts, send
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[tuple]:
         now = timerValues.getCurrentProcessingTimeInMs()
         facts, kept = self._read(self.facts), self._read(self.kept)
-        kept = {place: known for place, known in kept.items() if known["until"] > now}
+        kept = {place: known for place, known in kept.items() if known[4] > now}
         waiting, added = None, []
-        cleared, news_of_waiting, news_of_kept = False, False, False
+        changed, news_of_waiting, news_of_kept = False, False, False
         for place, arrivals in by_key(rows).items():
             arrived, drafts, send = self._arrivals(arrivals)
             waits = place in facts
             stored = facts[place] if waits else kept.get(place)
-            before = {k["draft"]["revision"]: k for k in stored["drafts"]} if stored else {}
+            before = {known[0]: known for known in stored[2]} if stored else {}
             known = drafts | before
-            if stored and stored["send"]:
-                send = stored["send"]
-            news = len(known) > len(before) or (send is not None and not (stored and stored["send"]))
+            if stored and stored[3]:
+                send = stored[3]
+            news = len(known) > len(before) or (send is not None and not (stored and stored[3]))
 
             if waits and news and waiting is None:
                 waiting = self._waiting()
             earlier = waiting.get(place, []) if waits and news else []
-            remaining = [one for one in earlier if still_waits(one["asked"], known, send)]
-            new = [one for one in arrived if still_waits(one["asked"], known, send)]
-            for one in [*earlier, *arrived]:
-                if not still_waits(one["asked"], known, send):
-                    yield Row(invoice=one["invoice"], drafts=[k["draft"] for k in known.values()], send=send)
-
-            if len(remaining) < len(earlier):
-                cleared = True
+            remaining, new = [], []
+            for ones, left in ((earlier, remaining), (arrived, new)):
+                for asked, before_at, invoice in ones:
+                    at = examine(asked, known, send, before_at)
+                    if at is None:
+                        yield invoice, f"[{','.join(draft for _, draft, _ in known.values())}]", send
+                    else:
+                        left.append((asked, at, invoice))
+
+            if remaining != earlier:
+                changed = True
                 waiting[place] = remaining
-            added += new
+            added += [(place, *one) for one in new]
             still = bool(remaining or new) or (waits and not earlier)
-            found = {"job_id": place[0], "invoice_no": place[1], "drafts": list(known.values()), "send": send, "until": None}
+            found = (*place, list(known.values()), send)
             if still and (news or not waits):
-                facts[place] = found
+                facts[place] = (*found, None)
                 news_of_waiting = True
                 news_of_kept = kept.pop(place, None) is not None or news_of_kept
             elif not still:
                 news_of_waiting = facts.pop(place, None) is not None or news_of_waiting
                 if known or send is not None:
-                    kept[place] = found | {"until": now + self.keep_ms}
+                    kept[place] = (*found, now + self.keep_ms)
                     news_of_kept = True
 
-        if cleared:
-            self.invoices.clear()
-            left = [one for ones in waiting.values() for one in ones] + added
+        if changed:
+            left = [(place, *one) for place, ones in waiting.items() for one in ones] + added
             if left:
-                self.invoices.put([as_tuple(one, self.waiting) for one in left])
+                self.invoices.put([self._element(left)])
+            else:
+                self.invoices.clear()
         elif added:
-            self.invoices.appendList([as_tuple(one, self.waiting) for one in added])
+            self.invoices.appendList([self._element(added)])
         if news_of_waiting:
             self._write(self.facts, facts)
         if news_of_kept:
@@ -219,23 +280,35 @@ class Settlements(StatefulProcessor):
         pass
 
 
+class FramedSettlements(Settlements):
+    """The same for rows that come and go as data frames, whose columns are handed over whole."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = (event for frame in rows for event in frame.iloc[:, : len(EVENT)].itertuples(index=False, name=None))
+        found = list(super().handleInputRows(key, events, timerValues))
+        if found:
+            yield pd.DataFrame(found, columns=HANDED.fieldNames())
+
+
 def _events(staged: DataFrame, drafts: DataFrame, sends: DataFrame, strict: bool) -> DataFrame:
-    """The three streams as one, each row with one of ``invoice``, ``draft`` and ``send``."""
+    """The three streams as one, each row with one of ``invoice``, ``draft`` and ``send`` as JSON.
+
+    What the rules read of a draft is in ``marks``, what they ask of an invoice in ``asked``. Only the text of
+    whole words is put into the marks, as the plain one is a draft's parts.
+    """
     asked = with_subject(staged.withColumn("invoice", F.struct(*staged.columns)))
-    none = {name: F.lit(None).cast(kind) for name, kind in (("asked", ASKED), ("draft", DRAFT), ("marks", MARKS), ("send", SEND))}
-    none["invoice"] = F.lit(None).cast(staged.select(F.struct(*staged.columns).alias("s")).schema["s"].dataType)
-    names = ["invoice", "asked", "draft", "marks", "send"]
 
     def event(rows: DataFrame, **given: Column) -> DataFrame:
-        return rows.select(*KEY, *(given.get(n, none[n]).alias(n) for n in names))
+        key = [F.col(name).cast("string") for name in KEY]
+        return rows.select(*key, *((as_json(given[n]) if n in given else F.lit(None).cast("string")).alias(n) for n in EVENT[2:]))
 
-    draft = F.struct("revision", *DRAFT_FIELDS).cast(DRAFT)
-    read = draft_marks(F.struct(*DRAFT_FIELDS))
-    text = draft_text(F.struct(*DRAFT_FIELDS))
-    marks = F.struct(*(read[c].alias(c) for c in MARKS.fieldNames()[:-1]), (words_only(text) if strict else text).alias("text"))
+    draft = F.struct(*DRAFT_FIELDS)
+    read = draft_marks(draft)
+    text = [words_only(draft_text(draft)).alias("text")] if strict else []
+    marks = F.struct("revision", *(read[c].alias(c) for c in MARKS[:-1]), *text)
     return (
         event(asked, invoice=F.col("invoice"), asked=invoice_marks(strict).cast(ASKED))
-        .union(event(drafts, draft=draft, marks=marks.cast(MARKS)))
+        .union(event(drafts, draft=F.struct("revision", *DRAFT_FIELDS).cast(DRAFT), marks=marks))
         .union(event(sends, send=F.struct("success", "provider", "message").cast(SEND)))
     )
 
@@ -269,16 +342,18 @@ def stream_settlements(
     mailed = F.coalesce(initial_route() == "draft", F.lit(False))
     invoice = F.struct(*staged.columns).alias("invoice")
     shape = staged.select(invoice).schema["invoice"].dataType
-    whole = T.StructType([T.StructField("invoice", shape), T.StructField("drafts", T.ArrayType(DRAFT)), T.StructField("send", SEND)])
-    waiting = T.StructType([T.StructField("invoice", shape), T.StructField("asked", ASKED)])
+    waiting = T.StructType([*BLOB.fields, T.StructField("invoice", shape)])
     keep_ms = int(keep_facts.total_seconds() * 1000)
-    settled = in_buckets(_events(staged.filter(mailed), drafts, send_results, strict), buckets).transformWithState(
-        statefulProcessor=Settlements(waiting, keep_ms), outputStructType=whole, outputMode="Append", timeMode="ProcessingTime"
+    settled = in_buckets(_events(staged.filter(mailed), drafts, send_results, strict), buckets).transformWithStateInPandas(
+        statefulProcessor=FramedSettlements(waiting, keep_ms), outputStructType=HANDED, outputMode="Append", timeMode="ProcessingTime"
     )
+    kinds = {"invoice": shape, "drafts": DRAFTS, "send": SEND}
     quiet = marked.filter(~good | ~mailed)
     faults = F.when(F.size("faults") > 0, F.col("faults"))
-    rows = settled.withColumn("faults", F.lit(None).cast("array<string>")).unionByName(
-        quiet.select(invoice, F.lit(None).cast(T.ArrayType(DRAFT)).alias("drafts"), F.lit(None).cast(SEND).alias("send"), faults.alias("faults"))
+    rows = settled.select(
+        *(out_of_json(F.col(name), kind).alias(name) for name, kind in kinds.items()), F.lit(None).cast("array<string>").alias("faults")
+    ).unionByName(
+        quiet.select(invoice, F.lit(None).cast(DRAFTS).alias("drafts"), F.lit(None).cast(SEND).alias("send"), faults.alias("faults"))
     )
 
     def settle(batch: DataFrame, batch_id: int) -> None:
@@ -310,9 +385,18 @@ def read_settled(spark: SparkSession, out: str, sink: str) -> DataFrame:
     return read_batches(spark, f"{out}/{sink}")
 
 
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The texts of the invoices in elements of the list."""
+    for frame in frames:
+        for size, blob in frame.itertuples(index=False, name=None):
+            yield pd.DataFrame({"text": [one[3] for one in unpacked(size, blob)]})
+
+
 def waiting_invoices(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The invoices that the state still holds, read from the store of a stream that isn't running."""
-    rows = (
-        spark.read.format("statestore").option("stateVarName", "invoices").load(checkpoint)
-    )
-    return rows.select(F.col("list_element.invoice").alias("invoice")).select("invoice.*")
+    """The invoices that the state still holds, read from the store of a stream that isn't running.
+
+    The store's own column ``invoice`` is always null; its type tells how to read the texts.
+    """
+    rows = spark.read.format("statestore").option("stateVarName", "invoices").load(checkpoint).select("list_element.*")
+    texts = rows.select(*BLOB.fieldNames()).mapInPandas(_texts, "text string")
+    return texts.select(out_of_json(F.col("text"), rows.schema["invoice"].dataType).alias("invoice")).select("invoice.*")

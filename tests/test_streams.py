@@ -1,9 +1,13 @@
 """Streams whose rules reach over micro-batches: what the state holds, hands on and forgets."""
 
 import datetime as dt
+import json
+from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duebook.functions.text import words_only
 from duebook.operators.drafts import template_drafts, with_subject
@@ -247,3 +251,119 @@ def test_rows_of_later_batches_are_not_new(spark):
             run.awaitTermination()
     found = read_batches(spark, out, AUDIT).collect()
     assert sorted((r.invoice_no or "", r.error_message) for r in found) == [("", "a"), ("N", "a")]
+
+
+class Stored:
+    """A value or a list of the state, which counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held or []) if isinstance(self.held, list) else self.held
+
+    def update(self, value):
+        self.calls, self.held = self.calls + 1, value
+
+    put = update
+
+    def appendList(self, value):
+        self.update([*(self.held or []), *value])
+
+    def clear(self):
+        self.update(None)
+
+
+class At:
+    def getCurrentProcessingTimeInMs(self):
+        return 0
+
+
+def test_a_draft_is_examined_once_for_an_invoice_that_waits(monkeypatch):
+    seen = []
+    monkeypatch.setattr(settlements, "passes", lambda asked, marks, f=settlements.passes: seen.append(marks["text"]) or f(asked, marks))
+    machine = settlements.FramedSettlements(None, 1000)
+    machine.invoices = Stored()
+    machine.facts, machine.kept = settlements.Packed(Stored()), settlements.Packed(Stored())
+
+    def text(**values):
+        return json.dumps(values)
+
+    def arrive(*rows):
+        frame = pd.DataFrame(rows, columns=["job_id", "invoice_no", "invoice", "asked", "draft", "marks", "send", "_bucket"])
+        return [tuple(r) for f in machine.handleInputRows((0,), iter([frame]), At()) for r in f.itertuples(index=False)]
+
+    def draft(number, revision, body):
+        given = dict(revision=revision, recipient="r", subject="s", greeting="Dear", body=body, closing=None, tone="t")
+        return ("1", number, None, None, text(**given), text(revision=revision, kind="whole", recipient="r", tone="t", subject="s"), None, 0)
+
+    def sent(number, provider):
+        return ("1", number, None, None, None, None, text(success=True, provider=provider, message=None), 0)
+
+    asked = text(revisions=3, recipient="r", tone="t", subject="s", values=["good"])
+    numbers = [f"N{n}" for n in range(50)]
+    assert arrive(*[("1", n, text(invoice=n), asked, None, None, None, 0) for n in numbers]) == []
+    assert arrive(*[draft(n, 0, "bad") for n in numbers]) == [] and seen == ["Dear bad"] * 50
+    assert arrive(*[draft(n, 1, "good") for n in numbers]) == [] and seen[50:] == ["Dear good"] * 50
+    assert arrive(*[draft(n, 0, "good") for n in numbers]) == []  # the first to arrive counts
+    done = arrive(*[sent(n, p) for n in numbers for p in "qp"])
+    assert len(seen) == 100 and machine.invoices.held is None
+    assert [(json.loads(i)["invoice"], sorted(d["body"] for d in json.loads(f)), json.loads(s)["provider"]) for i, f, s in done] == [
+        (n, ["bad", "good"], "p") for n in numbers
+    ]
+    # Five micro-batches over 50 keys of one bucket: one call for each value read or written, whatever the keys.
+    assert machine.facts.state.calls + machine.kept.state.calls + machine.invoices.calls <= 25
+    assert [type(value) for value in machine.kept.state.held] == [int, bytes]
+
+
+ODD = ["a\nb", 'quo"te\\ \\n', "tab\there\r", " é\U0001f600\u0000\u001f", "", " ", "null", "[{}]"]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_odd_texts_settle_as_in_a_batch(spark, strict):
+    rows = [(1, f"A{k}", f"Client {text}", f"a{k}@example.com", "10.10", "2026-05-09") for k, text in enumerate(ODD)]
+    raw = spark.createDataFrame([(*r, *rest) for r, rest in zip(rows, [(None, None)] * 4 + [(NOW.replace(microsecond=7), 0.1)] * 4, strict=True)], "job_id long, invoice_number string, client_name string, recipient_email string, amount string, due_date string, seen timestamp, share double")
+    staged = stage_invoices(normalize_invoices(raw, "iso"), F.lit(TODAY))
+    ready = template_drafts(staged).select(*(F.col(f.name).cast(f.dataType) for f in DRAFTS))
+    wrong = ready.withColumn("closing", F.lit(None).cast("string")).filter("invoice_no = 'A1'")
+    found = ready.filter("invoice_no NOT IN ('A1', 'A2')").union(wrong)
+    results = spark.createDataFrame([(1, "A0", False, None, ODD[3]), (1, "A3", None, "p", ODD[1]), *[(1, f"A{k}", True, "p", "") for k in (4, 5, 6)]], SEND_RESULTS)
+    source, drafts, sends, out, state = (fresh_dir(spark, n) for n in ("in", "drafts", "sends", "out", "state"))
+    for path, empty in ((drafts, ready), (sends, results)):
+        empty.limit(0).write.parquet(path)
+    for wave, path in ((raw, source), (found, drafts), (results, sends)):
+        wave.write.mode("append").parquet(path)
+        with retry_state.replay_settings(spark):
+            settlements.stream_settlements(
+                spark.readStream.schema(raw.schema).parquet(source), spark.readStream.schema(DRAFTS).parquet(drafts),
+                spark.readStream.schema(SEND_RESULTS).parquet(sends), out, state, TODAY, NOW, "iso", strict,
+            ).awaitTermination()
+    with retry_state.replay_settings(spark):
+        waiting = settlements.waiting_invoices(spark, state)
+        assert [(f.name, f.dataType) for f in waiting.schema] == [(f.name, f.dataType) for f in staged.schema]
+        waits = {tuple(r) for r in waiting.collect()}
+    batch = decide_outcomes(staged, found, results, strict=strict)
+    still = {r.invoice_no for r in batch.filter(F.col("outcome").isin(*WAITING)).collect()}
+    assert still >= {"A2", "A7"} and waits == {tuple(r) for r in staged.collect() if r.invoice_no in still}
+    want = {tuple(r) for r in batch.filter(~F.col("outcome").isin(*WAITING)).collect()}
+    assert len(want) == 8 - len(still) and {tuple(r) for r in settlements.read_settled(spark, out, "outcomes").select(*batch.columns).collect()} == want
+    kept = settlements.read_settled(spark, out, "settled").filter("faults IS NULL")
+    assert {tuple(r) for r in kept.select("invoice.*").collect()} == {tuple(r) for r in staged.collect() if r.invoice_no not in still}
+
+
+def test_typed_values_come_back_out_of_json(spark):
+    kind = "d date, m decimal(38,18), x double, t timestamp, n bigint, b binary, flags array<boolean>, s struct<a: string, b: int>"
+    rows = [
+        (dt.date(1, 1, 1), Decimal("12345678901234567890.123456789012345678"), 0.1 + 0.2, dt.datetime(1999, 12, 31, 23, 59, 59, 999999), 2**63 - 1, b"\x00\xff", [True, None], (None, 1)),
+        (dt.date(9999, 12, 31), Decimal("-0.000000000000000001"), float("-inf"), dt.datetime(1900, 1, 1), -(2**63), b"", [], None),
+        (None, None, 5e-324, None, None, None, None, ("", None)),
+    ]
+    given = spark.createDataFrame(rows, kind)
+    text = given.select(settlements.as_json(F.struct("*")).alias("text"))
+    assert all(list(settlements.parsed(r.text)) == given.columns for r in text.collect())
+    back = text.select(settlements.out_of_json(F.col("text"), T.StructType(given.schema.fields)).alias("v")).select("v.*")
+    assert back.collect() == given.collect()
+    far = spark.sql("SELECT date_add(DATE'9999-12-31', 400) AS d, date_sub(DATE'0001-01-01', 800) AS e")
+    again = far.select(settlements.out_of_json(settlements.as_json(F.struct("*")), T.StructType(far.schema.fields)).alias("v")).select("v.*")
+    assert again.select(F.unix_date("d"), F.unix_date("e")).collect() == far.select(F.unix_date("d"), F.unix_date("e")).collect()
